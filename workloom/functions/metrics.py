@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from workloom.functions.formats import fixed, with_unit
+
 GIB = 1024 ** 3
 MIB = 1024 ** 2
 
@@ -34,15 +36,11 @@ def is_slow(duration_ms: Column, threshold_s: float = 60) -> Column:
 
 def duration_text(duration_ms: Column) -> Column:
     seconds = duration_ms / 1000
-    return F.when(seconds < 60, F.format_string("%.1fs", seconds)).otherwise(
-        F.format_string("%.1fm", seconds / 60)
-    )
+    return F.when(seconds < 60, with_unit(seconds, 1, "s")).otherwise(with_unit(seconds / 60, 1, "m"))
 
 
 def bytes_text(n: Column) -> Column:
-    return F.when(n / GIB < 1, F.format_string("%.1fMB", n / MIB)).otherwise(
-        F.format_string("%.2fGB", n / GIB)
-    )
+    return F.when(n / GIB < 1, with_unit(n / MIB, 1, "MB")).otherwise(with_unit(n / GIB, 2, "GB"))
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -97,7 +95,7 @@ def network_rating(shuffle_ratio: Column) -> Column:
 def network_evidence(shuffle_ratio: Column) -> Column:
     return (
         F.when(shuffle_ratio.isNull(), F.lit(None).cast("string"))
-        .when(shuffle_ratio > 1.0, F.format_string("shuffle is %.1f%% of the scan", shuffle_ratio * 100))
+        .when(shuffle_ratio > 1.0, with_unit(shuffle_ratio * 100, 1, "% of the scan", "shuffle is "))
         .when(shuffle_ratio > 0.5, "high network traffic relative to the scan")
         .when(shuffle_ratio == 0.0, "no shuffle, probably a broadcast join")
         .otherwise("usual shuffle volume")
@@ -168,8 +166,8 @@ def run_cost(hourly: Column, duration_ms: Column) -> Column:
 
 def waste_text(actual_ms: Column, baseline_ms: Column) -> Column:
     return F.when(actual_ms <= baseline_ms, "already at its best").otherwise(
-        F.format_string(
-            "takes %.1fx longer than optimal (%.0fs vs %.0fs)",
-            actual_ms / baseline_ms, actual_ms / 1000, baseline_ms / 1000,
+        F.concat(
+            F.lit("takes "), fixed(actual_ms / baseline_ms, 1), F.lit("x longer than optimal ("),
+            fixed(actual_ms / 1000, 0), F.lit("s vs "), fixed(baseline_ms / 1000, 0), F.lit("s)"),
         )
     )
