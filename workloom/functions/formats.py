@@ -18,3 +18,14 @@ def fixed(value: Column, digits: int) -> Column:
 
 def with_unit(value: Column, digits: int, suffix: str, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), fixed(value, digits), F.lit(suffix))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Round half up by plain double arithmetic, the same on every engine."""
+    scale = 10 ** digits
+    return F.floor(value * F.lit(float(scale)) + 0.5) / F.lit(float(scale))
+
+
+def rounded_sql(value: str, digits: int) -> str:
+    scale = 10 ** digits
+    return f"(floor(({value}) * {scale}.0::DOUBLE + 0.5::DOUBLE) / {scale}.0::DOUBLE)"

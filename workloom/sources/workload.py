@@ -7,6 +7,7 @@ same rows. Every view scales with the table it is derived from.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from workloom.sources.tables import TABLES, table
 
@@ -224,9 +225,9 @@ def view_sql(name: str) -> str:
 
 
 def node_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(NODE_TYPES),
-        "node_type string, memory_mb bigint, core_count int, gpu_count int, category string",
+    """A literal relation, so that Spark knows its exact size when it plans a join."""
+    return spark.sql(node_types_sql()[1:-1]).select(
+        "node_type", F.col("memory_mb").cast("bigint").alias("memory_mb"), "core_count", "gpu_count", "category"
     )
 
 
