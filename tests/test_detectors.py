@@ -105,4 +105,4 @@ def test_custom_rule(spark):
         rows = d.detect(d.with_context(df), ["LIMIT_MISSING"]).collect()
         assert [r.statement_text for r in rows] == ["SELECT a FROM t"]
     finally:
-        del d.RULES["LIMIT_MISSING"]
+        d.unregister_rule("LIMIT_MISSING")

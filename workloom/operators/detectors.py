@@ -100,10 +100,7 @@ S = _Statement()
 
 
 def _any_in(name: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(name, F.lit(w))
-    return out
+    return name.rlike("|".join(words))
 
 
 # --- the rules -------------------------------------------------------------------------------
@@ -267,10 +264,8 @@ def distinct_on_unique() -> Column:
 
     def unique(name: Column) -> Column:
         low = F.lower(name)
-        hit = F.exists(F.col("unique_columns"), lambda u: low.endswith(F.lower(u)))
-        for ending in UNIQUE_NAMES:
-            hit = hit | low.endswith(ending)
-        return hit
+        return low.rlike(f"(?:{'|'.join(UNIQUE_NAMES)})$") | F.exists(
+            F.col("unique_columns"), lambda u: low.endswith(F.lower(u)))
 
     def check(items: Column) -> Column:
         plain = F.filter(lx.comma_items(items), lambda i: i.rlike(r"(?i)^[A-Za-z_][\w.]*( AS \w+| \w+)?$"))
@@ -517,6 +512,16 @@ RULES: dict[str, Rule] = {
 DEFAULT_RULES = ("CARTESIAN_JOIN", "NON_SARGABLE", "SELECT_STAR")
 
 
+_BUILT: dict[tuple[str, str], Column] = {}
+
+
+def _findings_of(key: str, app: str) -> Column:
+    """The rule's Column, built once per application; it only refers to columns by name."""
+    if (app, key) not in _BUILT:
+        _BUILT[app, key] = F.coalesce(RULES[key].check(), F.array().cast(f"array<{FINDING}>"))
+    return _BUILT[app, key]
+
+
 def register_rule(key: str, rule_id: str, severity: str, check: Callable[[], Column]) -> None:
     """Add a user rule: a function that returns an array of ``finding`` columns."""
     if key in RULES:
@@ -524,12 +529,24 @@ def register_rule(key: str, rule_id: str, severity: str, check: Callable[[], Col
     RULES[key] = Rule(rule_id, severity, check)
 
 
+def unregister_rule(key: str) -> None:
+    RULES.pop(key)
+    for built in [k for k in _BUILT if k[1] == key]:
+        del _BUILT[built]
+
+
 def distinct_texts(statements: DataFrame) -> DataFrame:
     """Each text once, with its hash. Grouping has a map-side combine, so copies of a hot
-    text never meet in one task."""
+    text never meet in one task.
+
+    The texts are few bytes but much regex work, so they keep the full shuffle width instead
+    of being packed into few tasks by size.
+    """
+    width = int(statements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         statements.select("statement_text").filter(F.trim("statement_text") != "").distinct()
         .withColumn("query_hash", statement_hash(F.col("statement_text")))
+        .repartition(width, "query_hash")
     )
 
 
@@ -573,10 +590,11 @@ def detect(texts: DataFrame, keys: list[str] | tuple[str, ...] | None = None) ->
     ``texts`` comes from ``with_context``.
     """
     chosen = list(keys or RULES)
+    app = texts.sparkSession.sparkContext.applicationId
 
     def tagged(key: str) -> Column:
         rule = RULES[key]
-        return F.transform(F.coalesce(rule.check(), F.array().cast(f"array<{FINDING}>")), lambda v: F.struct(
+        return F.transform(_findings_of(key, app), lambda v: F.struct(
             F.lit(key).alias("rule_key"), F.lit(rule.rule_id).alias("rule_id"), v["severity"].alias("severity"),
             v["message"].alias("message"), v["context"].alias("context"), v["fix"].alias("fix")))
 
