@@ -54,3 +54,22 @@ def latest_per_key(df: DataFrame, keys: list[str], order: Column | list[Column])
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row"))
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def previous_row(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], columns: list[str], out: str) -> DataFrame:
+    """``lag`` of a struct of columns per key, without sorting a whole key in one task.
+
+    Inside a bucket it is a plain lag; the first row of a bucket takes the last row of the
+    bucket before it. ``bucket`` must not decrease along ``order``.
+    """
+    cut = df.withColumn("_bucket", bucket)
+    row = F.struct(*columns)
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    ends = (
+        cut.groupBy(*keys, "_bucket").agg(F.max_by(row, rank).alias("_last"))
+        .withColumn("_carried", F.lag("_last").over(W.partitionBy(*keys).orderBy("_bucket")))
+        .drop("_last")
+    )
+    local = cut.withColumn("_prev", F.lag(row).over(W.partitionBy(*keys, "_bucket").orderBy(*order)))
+    return local.join(ends, [*keys, "_bucket"], "left").withColumn(
+        out, F.coalesce("_prev", "_carried")).drop("_prev", "_carried", "_bucket")
