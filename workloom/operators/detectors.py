@@ -515,7 +515,7 @@ DEFAULT_RULES = ("CARTESIAN_JOIN", "NON_SARGABLE", "SELECT_STAR")
 _BUILT: dict[tuple[str, str], Column] = {}
 
 
-def _findings_of(key: str, app: str) -> Column:
+def findings_of(key: str, app: str) -> Column:
     """The rule's Column, built once per application; it only refers to columns by name."""
     if (app, key) not in _BUILT:
         _BUILT[app, key] = F.coalesce(RULES[key].check(), F.array().cast(f"array<{FINDING}>"))
@@ -594,7 +594,7 @@ def detect(texts: DataFrame, keys: list[str] | tuple[str, ...] | None = None) ->
 
     def tagged(key: str) -> Column:
         rule = RULES[key]
-        return F.transform(_findings_of(key, app), lambda v: F.struct(
+        return F.transform(findings_of(key, app), lambda v: F.struct(
             F.lit(key).alias("rule_key"), F.lit(rule.rule_id).alias("rule_id"), v["severity"].alias("severity"),
             v["message"].alias("message"), v["context"].alias("context"), v["fix"].alias("fix")))
 

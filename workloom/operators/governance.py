@@ -161,21 +161,25 @@ def statement_tables(statements: DataFrame) -> DataFrame:
     return df.withColumn("tables", lx.full_table_refs(lx.table_names(F.col("code"), F.col("segs")))).drop("code", "segs")
 
 
-def table_usage(statements: DataFrame) -> DataFrame:
-    """Statements and users per table. Names are found once per distinct text."""
-    texts = statements.groupBy("statement_text", "executed_by").agg(F.count("*").alias("n"))
+def tables_by_text(statements: DataFrame) -> DataFrame:
+    """(statement_text, tables), each distinct text read once over the full shuffle width."""
     width = int(statements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = statement_tables(texts.select("statement_text").distinct().repartition(width, "statement_text"))
-    used = texts.join(names, "statement_text").select("executed_by", "n", F.explode("tables").alias("table_name"))
+    return statement_tables(statements.select("statement_text").distinct().repartition(width, "statement_text"))
+
+
+def table_usage(statements: DataFrame) -> DataFrame:
+    """Statements and users per table, counted per (text, user) before the join."""
+    runs = statements.groupBy("statement_text", "executed_by").agg(F.count("*").alias("n"))
+    used = runs.join(tables_by_text(statements), "statement_text").select(
+        "executed_by", "n", F.explode("tables").alias("table_name"))
     return used.filter(~is_system_table(F.col("table_name"))).groupBy("table_name").agg(
         F.sum("n").alias("statements"), F.count_distinct("executed_by").alias("users"))
 
 
 def statement_schemas(statements: DataFrame, tables: DataFrame) -> DataFrame:
     """Statement to catalog document of each table it names, system tables left out."""
-    width = int(statements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = statement_tables(statements.select("statement_text").distinct().repartition(width, "statement_text"))
-    refs = texts.select("statement_text", F.explode("tables").alias("table_name")).filter(~is_system_table(F.col("table_name")))
+    refs = tables_by_text(statements).select("statement_text", F.explode("tables").alias("table_name")).filter(
+        ~is_system_table(F.col("table_name")))
     return statements.select("statement_id", "statement_text").join(refs, "statement_text").join(tables, "table_name").drop("statement_text")
 
 

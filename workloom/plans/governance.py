@@ -119,7 +119,9 @@ TABLES_CASE = "CASE template_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in
 
 @query("G6_statement_tables", f"SELECT statement_id, {TABLES_CASE} AS tables FROM {H}")
 def g6(spark, d):
-    return ops.statement_tables(history(spark, d)).select("statement_id", F.array_join("tables", ", ").alias("tables"))
+    h = history(spark, d)
+    found = ops.tables_by_text(h).select("statement_text", F.array_join("tables", ", ").alias("tables"))
+    return h.select("statement_id", "statement_text").join(found, "statement_text").drop("statement_text")
 
 
 NAMES = "SELECT p_partkey, concat(CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'web.' WHEN 2 THEN 'prod.web.' WHEN 3 THEN 'system.a.' ELSE 'a.b.c.' END, lower(replace(p_brand, '#', '_'))) AS table_name FROM {part}"
