@@ -52,6 +52,15 @@ FRIENDLY_ERRORS = {
 FRIENDLY_DEFAULT = "An error occurred"
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it.
+
+    Spark inlines an aliased expression into every place a pushed-down filter needs it; a
+    lambda variable keeps it a value.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def statement_hash(text: Column) -> Column:
     """Short identity of a statement: the first 12 hex characters of its SHA-256."""
     return F.substring(F.sha2(text, 256), 1, 12)
@@ -67,9 +76,9 @@ def strip_comments(text: Column) -> Column:
 
 def injection_hits(text: Column) -> Column:
     """The patterns that occur in the text, as an array of pattern strings."""
-    return F.array_compact(F.array(*[
-        F.when(text.rlike(p), F.lit(p)) for p in INJECTION_PATTERNS
-    ]))
+    return bound(text, lambda t: F.array_compact(F.array(*[
+        F.when(t.rlike(p), F.lit(p)) for p in INJECTION_PATTERNS
+    ])))
 
 
 def injection_severity(hits: Column) -> Column:

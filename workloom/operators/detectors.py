@@ -550,6 +550,13 @@ def distinct_texts(statements: DataFrame) -> DataFrame:
     )
 
 
+CONTEXT_KINDS = {
+    "partition_specs": "array<struct<table_name:string,columns:array<string>>>",
+    "unique_columns": "array<string>",
+    "column_types": "array<struct<name:string,type:string>>",
+}
+
+
 def with_context(texts: DataFrame, partitions: DataFrame | None = None, uniques: DataFrame | None = None,
                  columns: DataFrame | None = None) -> DataFrame:
     """Attach measured table facts to each text by the tables it names.
@@ -558,30 +565,36 @@ def with_context(texts: DataFrame, partitions: DataFrame | None = None, uniques:
     (table_name, column_name, data_type).
     """
     base = prepared(texts)
-    named = base.select("statement_text", F.explode("tables").alias("table_name"))
-    extra = {
-        "partition_specs": "array<struct<table_name:string,columns:array<string>>>",
-        "unique_columns": "array<string>",
-        "column_types": "array<struct<name:string,type:string>>",
-    }
-    found = {}
-    if partitions is not None:
-        specs = partitions.groupBy("table_name").agg(F.array_sort(F.collect_set("column_name")).alias("columns"))
-        found["partition_specs"] = named.join(specs, "table_name").groupBy("statement_text").agg(
-            F.array_sort(F.collect_list(F.struct("table_name", "columns"))).alias("partition_specs"))
-    if uniques is not None:
-        found["unique_columns"] = named.join(uniques, "table_name").groupBy("statement_text").agg(
-            F.array_sort(F.collect_set("column_name")).alias("unique_columns"))
-    if columns is not None:
-        found["column_types"] = named.join(columns, "table_name").groupBy("statement_text").agg(
-            F.array_sort(F.collect_set(F.struct(F.col("column_name").alias("name"), F.col("data_type").alias("type")))).alias("column_types"))
-    for name, kind in extra.items():
-        if name in found:
-            base = base.join(found[name], "statement_text", "left").withColumn(
-                name, F.coalesce(F.col(name), F.array().cast(kind)))
-        else:
-            base = base.withColumn(name, F.array().cast(kind))
-    return base
+    if partitions is None and uniques is None and columns is None:
+        return base.withColumns({name: F.array().cast(kind) for name, kind in CONTEXT_KINDS.items()})
+    # One row of facts per table; a table is as wide as its definition.
+    facts = None
+    for df, name, item in (
+        (partitions, "partition_columns", F.col("column_name")), (uniques, "unique_names", F.col("column_name")),
+        (columns, "types", F.struct(F.col("column_name").alias("name"), F.col("data_type").alias("type"))
+         if columns is not None else None),
+    ):
+        if df is None:
+            continue
+        one = df.groupBy("table_name").agg(F.array_sort(F.collect_set(item)).alias(name))
+        facts = one if facts is None else facts.join(one, "table_name", "full_outer")
+    for name, kind in (("partition_columns", "array<string>"), ("unique_names", "array<string>"),
+                       ("types", "array<struct<name:string,type:string>>")):
+        if name not in facts.columns:
+            facts = facts.withColumn(name, F.lit(None).cast(kind))
+    # The lexical columns ride along once per named table, so the regex work is done once.
+    rest = [c for c in base.columns if c not in texts.columns]
+    wide = base.select(
+        *texts.columns, F.struct(*rest).alias("lex"), F.explode_outer("tables").alias("table_name"))
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = wide.join(facts, "table_name", "left").groupBy(*texts.columns).agg(
+        F.any_value("lex").alias("lex"),
+        F.array_sort(F.collect_list(F.when(F.size("partition_columns") > 0, F.struct(
+            "table_name", F.col("partition_columns").alias("columns"))))).alias("partition_specs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("unique_names")))).alias("unique_columns"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("column_types"),
+    ).repartition(width, *texts.columns)
+    return joined.select(*texts.columns, "lex.*", *CONTEXT_KINDS)
 
 
 def detect(texts: DataFrame, keys: list[str] | tuple[str, ...] | None = None) -> DataFrame:
@@ -600,8 +613,11 @@ def detect(texts: DataFrame, keys: list[str] | tuple[str, ...] | None = None) ->
 
     rest = [c for c in ("query_hash", "statement_text") if c in texts.columns]
     per_rule = texts.select(*rest, *[tagged(k).alias(k) for k in chosen])
+    # An outer explode: for an inner one Spark derives a filter on the array, which would run
+    # the rules a second time, below the distinct, on every execution of a text.
     return (
-        per_rule.select(*rest, F.posexplode(F.concat(*[F.col(k) for k in chosen])).alias("pos", "v"))
+        per_rule.select(*rest, F.posexplode_outer(F.concat(*[F.col(k) for k in chosen])).alias("pos", "v"))
+        .filter(F.col("v").isNotNull())
         .select(*rest, (F.col("pos") + 1).alias("ordinal"), "v.*")
     )
 

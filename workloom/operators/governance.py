@@ -171,15 +171,15 @@ def table_usage(statements: DataFrame) -> DataFrame:
     """Statements and users per table, counted per (text, user) before the join."""
     runs = statements.groupBy("statement_text", "executed_by").agg(F.count("*").alias("n"))
     used = runs.join(tables_by_text(statements), "statement_text").select(
-        "executed_by", "n", F.explode("tables").alias("table_name"))
-    return used.filter(~is_system_table(F.col("table_name"))).groupBy("table_name").agg(
+        "executed_by", "n", F.explode_outer("tables").alias("table_name"))
+    return used.filter(F.col("table_name").isNotNull() & ~is_system_table(F.col("table_name"))).groupBy("table_name").agg(
         F.sum("n").alias("statements"), F.count_distinct("executed_by").alias("users"))
 
 
 def statement_schemas(statements: DataFrame, tables: DataFrame) -> DataFrame:
     """Statement to catalog document of each table it names, system tables left out."""
-    refs = tables_by_text(statements).select("statement_text", F.explode("tables").alias("table_name")).filter(
-        ~is_system_table(F.col("table_name")))
+    refs = tables_by_text(statements).select("statement_text", F.explode_outer("tables").alias("table_name")).filter(
+        F.col("table_name").isNotNull() & ~is_system_table(F.col("table_name")))
     return statements.select("statement_id", "statement_text").join(refs, "statement_text").join(tables, "table_name").drop("statement_text")
 
 

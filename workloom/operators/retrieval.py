@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from workloom.functions.text import shorten  # noqa: F401  (re-exported for callers)
 from workloom.operators.budget import take_until_overflow, take_what_fits
 from workloom.operators.ranking import spread_by, top_k
+from workloom.session import written
 
 # Priority keywords and their scores; anything else scores 40.
 TOP_WORDS = ("CRITICAL", "MANDATORY", "MUST", "REQUIRED")
@@ -68,7 +69,7 @@ def sections(docs: DataFrame, text: str = "markdown") -> DataFrame:
         lambda acc: acc["starts"],
     )
     rows = pieces.withColumn("starts", starts).withColumn("last", F.size("pieces") - 1).select(
-        *rest, "starts", "last", F.posexplode("pieces").alias("pos", "piece"))
+        *rest, "starts", "last", F.posexplode_outer("pieces").alias("pos", "piece"))
     rows = rows.filter(F.col("piece").rlike(r"^##\s+\S")).withColumn("lines", F.split("piece", "\n"))
     is_last = F.col("pos") == F.col("last")
     n_lines = F.when(is_last, F.size("lines")).otherwise(F.size("lines") - 1)
@@ -118,11 +119,13 @@ def relevance(described_sections: DataFrame, query_tables: list[str]) -> DataFra
 def select_sections(scored: DataFrame, groups: list[str], row_id: list[str], max_tokens: int = 2000) -> DataFrame:
     """Critical sections that fit first, then the others in order until one does not fit."""
     order = F.struct("score", *row_id)
+    keys = list(dict.fromkeys([*groups, *row_id]))
+    # Several passes read the scores; they are written once, without the texts.
+    scored = written(scored.select(*keys, "score", "priority", "tokens"))
     critical = take_what_fits(
         scored.filter(F.col("priority") <= 10), groups, order, "tokens", row_id, max_tokens
     ).select(*groups, *row_id, "tokens")
     used = critical.groupBy(*groups).agg(F.sum("tokens").alias("used_tokens"))
-    keys = list(dict.fromkeys([*groups, *row_id]))
     rest = scored.join(critical.select(*keys), keys, "left_anti")
     second = take_until_overflow(rest, groups, order, "tokens", row_id, max_tokens, used)
     return critical.select(*keys, "tokens").withColumn("pass", F.lit(1)).unionByName(

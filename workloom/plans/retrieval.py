@@ -11,7 +11,7 @@ from workloom.operators.ranking import spread_by, top_k
 from workloom.plans.detection import expected_sql, violations
 from workloom.plans.history import H, history
 from workloom.plans.registry import query
-from workloom.sources.tables import table
+from workloom.sources.tables import table, widened
 from workloom.sources.workload import view, view_sql
 
 GL = view_sql("guidelines")
@@ -33,7 +33,7 @@ SCORED = f"""(SELECT d.*, docs.source, list_has_any(affected_tables, ['main.sale
 
 
 def guidelines(spark, d):
-    return view(spark, d, "guidelines")
+    return widened(view(spark, d, "guidelines"))
 
 
 def described(spark, d):
@@ -43,8 +43,7 @@ def described(spark, d):
 def scored(spark, d):
     """Sections with their relevance and the source of their document."""
     docs = table(spark, d, "documents").select("doc_id", "source")
-    g = guidelines(spark, d).join(docs, "doc_id")
-    return ops.relevance(ops.described(ops.sections(g)), QUERY_TABLES)
+    return ops.relevance(described(spark, d), QUERY_TABLES).join(docs, "doc_id")
 
 
 @query("K1_sections", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_no) AS n, heading, content, line_start, line_end FROM {SECTIONS}")
@@ -176,7 +175,7 @@ def patterned(spark, d):
 
 @query("K9_paragraphs", f"SELECT doc_id, para FROM {PARAS}")
 def k9(spark, d):
-    return guidelines(spark, d).select("doc_id", F.explode(ops.paragraphs(F.col("markdown"))).alias("para"))
+    return guidelines(spark, d).select("doc_id", F.explode_outer(ops.paragraphs(F.col("markdown"))).alias("para"))
 
 
 BLOCK_SQL = f"""(SELECT doc_id, trim(string_agg(line, chr(10) ORDER BY line_no), ' ' || chr(10) || chr(9)) AS block, b FROM (SELECT *, sum(CASE WHEN regexp_matches(line, '^#+(\\s|$)') AND line_no > 0 AND regexp_matches(line, '^#+\\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM {LINES}) GROUP BY doc_id, b)"""
@@ -184,12 +183,12 @@ BLOCK_SQL = f"""(SELECT doc_id, trim(string_agg(line, chr(10) ORDER BY line_no),
 
 @query("K9_header_blocks", f"SELECT doc_id, block FROM {BLOCK_SQL} WHERE block <> ''")
 def k9h(spark, d):
-    return guidelines(spark, d).select("doc_id", F.explode(ops.header_blocks(F.col("markdown"))).alias("block"))
+    return guidelines(spark, d).select("doc_id", F.explode_outer(ops.header_blocks(F.col("markdown"))).alias("block"))
 
 
 @query("K10_section_scores", f"SELECT doc_id, para, {PARA_SCORE} AS score FROM {PARAS}")
 def k10(spark, d):
-    p = patterned(spark, d).select("doc_id", "words", "cls", F.explode(ops.paragraphs(F.col("markdown"))).alias("para"))
+    p = patterned(spark, d).select("doc_id", "words", "cls", F.explode_outer(ops.paragraphs(F.col("markdown"))).alias("para"))
     return p.select("doc_id", "para", ops.section_score(F.col("para"), F.col("words"), F.col("cls")).alias("score"))
 
 

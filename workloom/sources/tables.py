@@ -10,5 +10,12 @@ TABLES = (
 )
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """Spread rows when a scan has fewer tasks than the cluster has cores (one big row group),
+    for work that is heavy per row. A scan with enough splits is left as it is: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

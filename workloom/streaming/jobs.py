@@ -104,7 +104,8 @@ def violation_counts(statements: DataFrame, keys=detectors.DEFAULT_RULES) -> Dat
         return F.transform(detectors.findings_of(key, app), lambda v: F.lit(key))
 
     found = detectors.prepared(ready).select(
-        "start_time", F.explode(F.concat(*[named(k) for k in keys])).alias("rule_key"))
+        "start_time", F.explode_outer(F.concat(*[named(k) for k in keys])).alias("rule_key")).filter(
+        F.col("rule_key").isNotNull())
     return found.groupBy(F.window("start_time", "1 day"), "rule_key").agg(F.count("*").alias("violations")).select(
         F.col("window.start").alias("day"), "rule_key", "violations")
 
