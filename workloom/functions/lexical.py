@@ -65,7 +65,7 @@ def calls_marked(code: Column) -> Column:
     out = F.regexp_replace(out, r"(?i)\bCOUNT ?\( ?DISTINCT (\w+) ?\(([^()]*)\)[^()]*\)", "COUNTDISTINCT:$1⟨$2⟩")
     for _ in range(CALL_PASSES):
         out = F.regexp_replace(
-            out, rf"(?i)\b(?!(?:{NOT_CALLS})\b)(\w+) ?\((?![^()]*\bSELECT\b)([^()]*+)\)", "$1⟨$2⟩"
+            out, rf"(?i)\b(?!(?:{NOT_CALLS})\b)(\w++) ?\((?![^()]*\bSELECT\b)([^()]*+)\)", "$1⟨$2⟩"
         )
         out = F.regexp_replace(
             out, r"(?i)([=<>+*/%,(-]|\bWHERE|\bAND|\bOR|\bON) ?\((?![^()]*\b(?:SELECT|AND|OR)\b)([^(),]*+)\)",
@@ -76,7 +76,7 @@ def calls_marked(code: Column) -> Column:
 
 def segments(marked: Column) -> Column:
     """Innermost parentheses first, each with the word before it; the outermost text last."""
-    inner = r"(\w+ ?)?\([^()]*+\)"
+    inner = r"(\b\w++ ?)?+\([^()]*+\)"
     start = F.struct(marked.alias("text"), F.array().cast("array<string>").alias("found"))
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(PAREN_PASSES)),

@@ -593,7 +593,7 @@ def with_context(texts: DataFrame, partitions: DataFrame | None = None, uniques:
             "table_name", F.col("partition_columns").alias("columns"))))).alias("partition_specs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("unique_names")))).alias("unique_columns"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("column_types"),
-    ).repartition(width, *texts.columns)
+    ).repartition(width, F.xxhash64("statement_text"))
     return joined.select(*texts.columns, "lex.*", *CONTEXT_KINDS)
 
 

@@ -164,7 +164,10 @@ def statement_tables(statements: DataFrame) -> DataFrame:
 def tables_by_text(statements: DataFrame) -> DataFrame:
     """(statement_text, tables), each distinct text read once over the full shuffle width."""
     width = int(statements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return statement_tables(statements.select("statement_text").distinct().repartition(width, "statement_text"))
+    texts = statements.select("statement_text").distinct()
+    # Keyed by a hash: the same key again would be dropped as redundant and the texts, few
+    # bytes but much regex work, would be packed into few tasks.
+    return statement_tables(texts.repartition(width, F.xxhash64("statement_text")))
 
 
 def table_usage(statements: DataFrame) -> DataFrame:
