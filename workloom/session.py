@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cpus: int = 8, app: str = "workloom") -> SparkSession:
     """A small local session. On a cluster the caller brings its own session."""
     spark = (
@@ -34,9 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _OWN_FOLDERS[app]
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -87,9 +87,8 @@ def tag_maps(tags: DataFrame, *keys: str) -> DataFrame:
 def sql_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each ``.sql`` file below a folder as one statement."""
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.sql").text(folder)
-        .select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("statement_text"))
+        spark.read.text(folder, wholetext=True, pathGlobFilter="*.sql", recursiveFileLookup=True)
+        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("statement_text"))
     )
 
 
