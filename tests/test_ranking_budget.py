@@ -10,7 +10,7 @@ from workloom.operators import budget, ranking, retrieval
 
 def frame(spark, n=3000, seed=1, sizes=(0, 1, 2, 3, 5, 8, 40, 90, 300)):
     rnd = random.Random(seed)
-    rows = [(i, "hot" if rnd.random() < 0.4 else f"g{rnd.randrange(6)}", rnd.randrange(50), rnd.choice(sizes), rnd.choice([10, 20, 40])) for i in range(n)]
+    rows = [(i, "hot" if rnd.random() < 0.4 else rnd.choice(["g0", "g1", "g2", None]), rnd.randrange(50), rnd.choice(sizes), rnd.choice([10, 20, 40])) for i in range(n)]
     return rows, spark.createDataFrame(rows, "id bigint, g string, score int, tokens int, priority int")
 
 

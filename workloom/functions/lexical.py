@@ -63,15 +63,18 @@ def calls_marked(code: Column) -> Column:
     """COUNT(DISTINCT c) as one token, plain calls and arithmetic parentheses inside ⟨⟩."""
     out = F.regexp_replace(code, r"(?i)\bCOUNT ?\( ?DISTINCT ([\w.]+)[^()]*\)", "COUNTDISTINCT:$1")
     out = F.regexp_replace(out, r"(?i)\bCOUNT ?\( ?DISTINCT (\w+) ?\(([^()]*)\)[^()]*\)", "COUNTDISTINCT:$1⟨$2⟩")
-    for _ in range(CALL_PASSES):
-        out = F.regexp_replace(
-            out, rf"(?i)\b(?!(?:{NOT_CALLS})\b)(\w++) ?\((?![^()]*\bSELECT\b)([^()]*+)\)", "$1⟨$2⟩"
+
+    def one_pass(text: Column, _: Column) -> Column:
+        calls = F.regexp_replace(
+            text, rf"(?i)\b(?!(?:{NOT_CALLS})\b)(\w++) ?\((?![^()]*\bSELECT\b)([^()]*+)\)", "$1⟨$2⟩"
         )
-        out = F.regexp_replace(
-            out, r"(?i)([=<>+*/%,(-]|\bWHERE|\bAND|\bOR|\bON) ?\((?![^()]*\b(?:SELECT|AND|OR)\b)([^(),]*+)\)",
+        both = F.regexp_replace(
+            calls, r"(?i)([=<>+*/%,(-]|\bWHERE|\bAND|\bOR|\bON) ?\((?![^()]*\b(?:SELECT|AND|OR)\b)([^(),]*+)\)",
             "$1 ⟨$2⟩",
         )
-    return out
+        return F.when(F.contains(text, F.lit("(")), both).otherwise(text)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(CALL_PASSES)), out, one_pass)
 
 
 def segments(marked: Column) -> Column:
@@ -81,10 +84,10 @@ def segments(marked: Column) -> Column:
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(PAREN_PASSES)),
         start,
-        lambda acc, _: F.struct(
+        lambda acc, _: F.when(F.contains(acc["text"], F.lit("(")), F.struct(
             F.regexp_replace(acc["text"], inner, "$1#").alias("text"),
             F.concat(acc["found"], F.regexp_extract_all(acc["text"], F.lit(inner), F.lit(0))).alias("found"),
-        ),
+        )).otherwise(acc),
         lambda acc: F.concat(acc["found"], F.array(acc["text"])),
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from workloom.operators.ranking import spread_by
+from workloom.operators.ranking import join_same, spread_by
 
 
 def _first_rows(df: DataFrame, keys: list[str], order: str, limit: Column, row_id: list[str]) -> DataFrame:
@@ -44,12 +44,12 @@ def take_until_overflow(
     running = near.withColumn("_sum", F.sum(tokens).over(
         W.partitionBy(*groups).orderBy("_order").rowsBetween(W.unboundedPreceding, 0)))
     if used is not None:
-        running = running.join(used, groups, "left")
+        running = join_same(running, used, groups, "left")
         room = F.lit(budget) - F.coalesce("used_tokens", F.lit(0))
     else:
         room = F.lit(budget)
     cut = running.filter(F.col("_sum") > room).groupBy(*groups).agg(F.min("_order").alias("_cut"))
-    return rows.join(cut, groups, "left").filter(
+    return join_same(rows, cut, groups, "left").filter(
         F.col("_cut").isNull() | (F.col("_order") < F.col("_cut"))).drop("_order", "_cut")
 
 
@@ -76,4 +76,4 @@ def take_what_fits(
         *groups, *[F.col(f"id.{c}").alias(c) for c in row_id])
     keys = list(dict.fromkeys([*groups, *row_id]))
     free = rows.filter(F.col(tokens) == 0).drop("_order")
-    return df.join(chosen.select(*keys), keys, "left_semi").unionByName(free.select(*df.columns))
+    return join_same(df, chosen.select(*keys), keys, "left_semi").unionByName(free.select(*df.columns))

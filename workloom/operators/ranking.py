@@ -12,6 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on equally named keys where null meets null, as it does in a grouping."""
+    renamed = right.select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def row_number_by_bucket(
     df: DataFrame, keys: list[str], bucket: Column, order: list[Column], out: str = "rn",
 ) -> DataFrame:
@@ -25,7 +35,7 @@ def row_number_by_bucket(
     )
     local = cut.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order)))
     return (
-        local.join(offsets, [*keys, "_bucket"])
+        join_same(local, offsets, [*keys, "_bucket"])
         .withColumn(out, (F.col("_rn") + F.col("_offset")).cast("bigint"))
         .drop("_rn", "_offset", "_bucket")
     )
@@ -71,5 +81,5 @@ def previous_row(df: DataFrame, keys: list[str], bucket: Column, order: list[Col
         .drop("_last")
     )
     local = cut.withColumn("_prev", F.lag(row).over(W.partitionBy(*keys, "_bucket").orderBy(*order)))
-    return local.join(ends, [*keys, "_bucket"], "left").withColumn(
+    return join_same(local, ends, [*keys, "_bucket"], "left").withColumn(
         out, F.coalesce("_prev", "_carried")).drop("_prev", "_carried", "_bucket")

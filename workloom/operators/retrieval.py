@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from workloom.functions.text import shorten  # noqa: F401  (re-exported for callers)
 from workloom.operators.budget import take_until_overflow, take_what_fits
-from workloom.operators.ranking import spread_by, top_k
+from workloom.operators.ranking import join_same, spread_by, top_k
 from workloom.session import written
 
 # Priority keywords and their scores; anything else scores 40.
@@ -126,7 +126,7 @@ def select_sections(scored: DataFrame, groups: list[str], row_id: list[str], max
         scored.filter(F.col("priority") <= 10), groups, order, "tokens", row_id, max_tokens
     ).select(*groups, *row_id, "tokens")
     used = critical.groupBy(*groups).agg(F.sum("tokens").alias("used_tokens"))
-    rest = scored.join(critical.select(*keys), keys, "left_anti")
+    rest = join_same(scored, critical.select(*keys), keys, "left_anti")
     second = take_until_overflow(rest, groups, order, "tokens", row_id, max_tokens, used)
     return critical.select(*keys, "tokens").withColumn("pass", F.lit(1)).unionByName(
         second.select(*keys, "tokens").withColumn("pass", F.lit(2)))

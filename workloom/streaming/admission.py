@@ -2,9 +2,10 @@
 
 Only admitted events count against the limits, so no window function gives the same answer.
 Each key is decided in time order with a bounded state (the admitted events of the last
-hour). The batch form streams sorted Arrow batches through a task and carries the state from
-batch to batch, so it holds no group in memory. The order within a key is part of the
-definition; work spreads over keys.
+hour). The batch form cuts every key where it was idle for as long as the state looks back:
+the pieces do not depend on each other and run in different tasks. A task streams sorted
+Arrow batches and carries the state from batch to batch, so it holds no group in memory.
+Only a key that is never idle stays one piece; its order is part of the definition.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from workloom.operators.ranking import join_same
+
 MINUTE_US = 60_000_000
 HOUR_US = 3_600_000_000
 
@@ -70,11 +73,25 @@ class AnchoredLimiter:
         return "admitted"
 
 
-def _ordered(events: DataFrame, key: str) -> DataFrame:
-    return events.select(
+def _ordered(events: DataFrame, key: str, horizon_us: int) -> DataFrame:
+    """Events by (key, piece) in time order; a piece begins after ``horizon_us`` of idleness.
+
+    Idleness is found on one row per key and horizon-wide bucket: no gap that long fits
+    inside a bucket.
+    """
+    timed = events.select(
         F.col(key).alias("key"), "event_id",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-    ).repartition("key").sortWithinPartitions("key", "at", "event_id")
+    ).withColumn("bucket", F.floor(F.col("at") / horizon_us))
+    by_key = W.partitionBy("key").orderBy("bucket")
+    idle = F.col("first") - F.lag("last").over(by_key) >= horizon_us
+    pieces = (
+        timed.groupBy("key", "bucket").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+        .withColumn("starts", F.when(F.coalesce(idle, F.lit(True)), 1).otherwise(0))
+        .withColumn("piece", F.sum("starts").over(by_key)).select("key", "bucket", "piece")
+    )
+    return join_same(timed, pieces, ["key", "bucket"]).select("key", "piece", "event_id", "at").repartition(
+        "key", "piece").sortWithinPartitions("key", "piece", "at", "event_id")
 
 
 def _scan(make: Callable[[], object]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -82,9 +99,9 @@ def _scan(make: Callable[[], object]) -> Callable[[Iterator[pd.DataFrame]], Iter
         current, limiter = None, None
         for pdf in batches:
             out = []
-            for key, at in zip(pdf["key"].to_numpy(), pdf["at"].to_numpy()):
-                if limiter is None or key != current:
-                    current, limiter = key, make()
+            for key, piece, at in zip(pdf["key"].to_numpy(), pdf["piece"].to_numpy(), pdf["at"].to_numpy()):
+                if limiter is None or (key, piece) != current:
+                    current, limiter = (key, piece), make()
                 out.append(limiter.decide(int(at)))
             yield pd.DataFrame({"key": pdf["key"], "event_id": pdf["event_id"], "decision": out})
 
@@ -94,13 +111,13 @@ def _scan(make: Callable[[], object]) -> Callable[[Iterator[pd.DataFrame]], Iter
 def admit(events: DataFrame, key: str, limits: Limits = Limits()) -> DataFrame:
     """Decision per event: admitted, or denied for requests or cost."""
     kind = events.schema[key].dataType.simpleString()
-    return _ordered(events, key).mapInPandas(
+    return _ordered(events, key, HOUR_US).mapInPandas(
         _scan(lambda: SlidingLimiter(limits)), f"key {kind}, event_id bigint, decision string")
 
 
 def cap_per_minute(events: DataFrame, key: str, cap: int = 100) -> DataFrame:
     kind = events.schema[key].dataType.simpleString()
-    return _ordered(events, key).mapInPandas(
+    return _ordered(events, key, MINUTE_US).mapInPandas(
         _scan(lambda: AnchoredLimiter(cap)), f"key {kind}, event_id bigint, decision string")
 
 
