@@ -103,3 +103,16 @@ def test_offered_load(spark):
         minute = sum(r[1] > ts - dt.timedelta(seconds=60) for r in mine)
         hour = sum(r[1] > ts - dt.timedelta(hours=1) for r in mine)
         assert got[i] == (minute, round(hour * 0.01, 6))
+
+
+def test_limiter_travels_without_the_package(tmp_path):
+    """A worker that cannot import this package can still run the limiter."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(admission._scan(lambda: admission.SlidingLimiter(admission.Limits()))))
+    code = "import pickle, pandas as pd; f = pickle.load(open('f.pkl', 'rb')); print(next(f(iter([pd.DataFrame({'key': [1], 'piece': [1], 'event_id': [1], 'at': [5]})])))['decision'][0])"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
+    assert out.stdout.strip() == "admitted", out.stderr

@@ -10,11 +10,13 @@ Only a key that is never idle stays one piece; its order is part of the definiti
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from workloom.operators.ranking import join_same
 
+# The limiters run in Python workers. They travel by value, so that a worker needs no copy of
+# this package on its path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MINUTE_US = 60_000_000
 HOUR_US = 3_600_000_000
 
