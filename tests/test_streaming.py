@@ -112,7 +112,8 @@ def test_limiter_travels_without_the_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(admission._scan(lambda: admission.SlidingLimiter(admission.Limits()))))
+    limiter, limits = admission.SlidingLimiter, admission.Limits()
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(admission._scan(lambda: limiter(limits))))
     code = "import pickle, pandas as pd; f = pickle.load(open('f.pkl', 'rb')); print(next(f(iter([pd.DataFrame({'key': [1], 'piece': [1], 'event_id': [1], 'at': [5]})])))['decision'][0])"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
     assert out.stdout.strip() == "admitted", out.stderr
