@@ -7,26 +7,64 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workloom.llm import byte_pairs, host_rules, private_data
+from workloom.llm import (
+    byte_pairs, compact_windows, host_rules, language_id, license_scan, near_copies, private_data,
+    template_leaks, token_files, web_archives,
+)
 from workloom.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents are written to flat token files first; the counts come from the files alone."""
+    order = token_files.write_token_files(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+    counts = token_files.token_counts(order.select("path"))
+    return order.join(counts, ["path", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op2_private_data(spark: SparkSession, folder: str) -> DataFrame:
     return private_data.private_digest(table(spark, folder, "documents"))
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identified(table(spark, folder, "documents"))
+
+
+def op4_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, folder, "documents"))
+
+
 def op5_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return byte_pairs.encoding_digest(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op6_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies.near_components(table(spark, folder, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scanned(table(spark, folder, "documents"))
+
+
+def op8_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return template_leaks.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op9_web_archives(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = web_archives.write_archives(table(spark, folder, "pages"))
+    return web_archives.read_archives(manifest, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return host_rules.verdicts(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_private_data, op5_byte_pairs, op10_host_rules)
+    f.__name__: f for f in (
+        op1_token_counts, op2_private_data, op3_language_id, op4_repeated_passages, op5_byte_pairs,
+        op6_near_copies, op7_license_scan, op8_template_leaks, op9_web_archives, op10_host_rules)
 }
 ORACLES: dict[str, str] = {}
