@@ -35,14 +35,13 @@ RULES = {
 }
 
 
-def repeat_words(hashes: Column) -> Column:
-    """Words inside windows of WINDOW word hashes that occur twice or more in the array."""
+def window_hashes(hashes: Column) -> Column:
+    """A hash of each run of WINDOW word hashes; null where there are fewer than two runs."""
     n = F.size(hashes) - (WINDOW - 1)
-    windows = F.when(n >= 2, F.transform(
+    return F.when(n >= 2, F.transform(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
         lambda i: F.xxhash64(*[F.get(hashes, i + (k - 1)) for k in range(WINDOW)]),
     ))
-    return windows
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -50,20 +49,20 @@ def measured(docs: DataFrame) -> DataFrame:
     lines = F.filter(
         F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, BLANK, "") != "")
     first = docs.select(
-        F.col("doc_id"), F.col("source").alias("host"),
+        F.col("doc_id"), F.xxhash64("text").alias("th"), F.col("source").alias("host"),
         F.filter(F.split(F.coalesce("text", F.lit("")), BLANK), lambda w: w != "").alias("words"),
         (F.size(F.split(F.coalesce("text", F.lit("")), SYMBOL)) - 1).cast("bigint").alias("n_symbols"),
         lines.alias("lines"),
     )
     second = first.select(
-        "doc_id", "host", "n_symbols",
+        "doc_id", "th", "host", "n_symbols",
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    third = second.select("*", repeat_words(F.col("hashes")).alias("windows")).drop("hashes")
+    third = second.select("*", window_hashes(F.col("hashes")).alias("windows")).drop("hashes")
     # Only a text with a repeated window is sorted; its windows of one hash stand side by side.
     fourth = third.select("*", F.when(
         F.size(F.array_distinct("windows")) < F.size("windows"),
@@ -128,3 +127,14 @@ def verdicts(docs: DataFrame) -> DataFrame:
         measures.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
         .withColumn("kept", ~F.col("base_failed") & ~(F.col("host_rejected") & soft))
     )
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The documents whose verdict is ``kept``, with all their columns."""
+    bad = verdicts(docs).filter(~F.col("kept")).select(
+        F.col("doc_id").alias("__bad_id"), F.col("th").alias("__bad_th"), F.col("host").alias("__bad_host")).distinct()
+    on = (
+        (F.xxhash64("text") == F.col("__bad_th")) & F.col("doc_id").eqNullSafe(F.col("__bad_id"))
+        & F.col("source").eqNullSafe(F.col("__bad_host"))
+    )
+    return docs.join(bad, on, "left_anti")

@@ -3,20 +3,20 @@ values, union-sketch estimates, and exact Jaccard on full sets.
 
 A document is the set of 64-bit hashes of its distinct 2-word shingles (with fewer words, its whole
 sequence); equal sets form a class, and all further work is on classes. A class keeps its K smallest
-hashes. Sets of similarity 0.8 share at least 20 of 48 retained values but for a chance below 1e-8
-(sets of at most K hashes: for certain). Therefore two such sketches meet among their ``prefix``
-rarest values in any common order; by rarity, lists stay short, and values of a single class need no
-list. In each list and band of sizes every class is compared with the smallest and the largest member;
-what is confirmed forms components, and only pairs of different components that share a list are
-compared after that. So every pair that shares a list is compared or already connected, and a group
-of thousands of near copies costs about two comparisons per member and list.
+hashes. Sets of similarity 0.8 share at least 20 of 48 retained values but for a chance below 1e-8; a
+set of fewer than K hashes shares three quarters of them for certain. Therefore two such sketches meet
+MEET times among their first (size - shared + MEET) values in any common order; with the rarest first,
+lists stay short, and values of a single class need no list. In each list and band of sizes every class is compared with the smallest and the largest member;
+what is confirmed forms components, and only pairs of different components that meet in MEET lists
+are compared after that. So every pair that meets so often is compared or already connected, and a
+group of thousands of near copies costs about two comparisons per member and list.
 
 A pair is confirmed on the full sets: 100 * intersection >= 80 * union. The estimate from the union
 sketch goes first and drops pairs below ``ESTIMATE`` (six standard deviations under 0.8).
 
 Null and empty texts have no shingles and are linked with nothing; their component is themselves.
 Repeated rows belong to one class and get equal results. Rows without a doc_id take part; they do
-not give their component a name, and are kept only where no row with an id is in it.
+not give their component a name, and where no row with an id is in it, its smallest class stays.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from workloom.llm.shared import kept
 
 K = 48
 SHARED = 20
+MEET = 6
 ESTIMATE = 0.8 - 6 * (0.8 * 0.2 / K) ** 0.5
 SHINGLE = 2
 PERCENT = 80
@@ -97,14 +98,20 @@ def classes_of(rows: DataFrame) -> DataFrame:
         F.first("n").alias("n"), F.first("sketch").alias("sketch"))
 
 
-def inverted_lists(classes: DataFrame, k: int = K, shared: int = SHARED) -> DataFrame:
-    """(v, cid, n): the rarest retained values of every class, as many as a similar class must meet."""
+def _shared(size: Column) -> Column:
+    """Retained values that two similar sketches have in common at least."""
+    return F.when(size < K, F.ceil(size * 0.75)).otherwise(SHARED).cast("int")
+
+
+def inverted_lists(classes: DataFrame) -> DataFrame:
+    """(v, cid, n): the rarest retained values of every class, enough for similar ones to meet."""
     values = classes.select("cid", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = classes.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     frequent = values.join(often, "v").groupBy("cid", "n", "s").agg(
         F.sort_array(F.collect_list(F.struct("df", "v"))).alias("list"))  # at most k entries
-    need = F.ceil(F.col("s") * shared / k)
-    take = F.col("s") - need + 1 - (F.col("s") - F.size("list"))  # values of one class come first
+    need = _shared(F.col("s"))
+    first = F.col("s") - need + F.least(F.lit(MEET), need)
+    take = first - (F.col("s") - F.size("list"))  # values of one class come before those in the list
     return frequent.filter(take > 0).select(
         F.explode(F.slice("list", F.lit(1), take.cast("int"))).alias("x"), "cid", "n").select("x.v", "cid", "n")
 
@@ -134,8 +141,10 @@ def cross_pairs(lists: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFr
     strays = mixed.filter("root <> main").select("v", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     pairs = strays.join(mixed.select("v", "cid", "n", "root", "main"), "v").filter(
         (F.col("ra") != F.col("root")) & _fit("na", "n") & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("cid"))))
-    pairs = pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    often = F.least(F.lit(MEET), _shared(F.least(F.lit(K), F.max(F.greatest("na", "n")))))
+    return pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"), "na", "n").groupBy("a", "b").agg(
+        F.count("*").alias("met"), often.alias("often")).filter("met >= often").select("a", "b").join(
+        tested, ["a", "b"], "left_anti")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
@@ -177,7 +186,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+    """Per document: doc_id, text hash, n_shingles, component_id, kept."""
     rows = kept(sketches(docs), "sketches")
     classes = kept(classes_of(rows), "classes")
     lists = kept(inverted_lists(classes), "lists")
@@ -197,13 +206,26 @@ def _sets_for(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def named(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Give every document the smallest doc_id of its component."""
+    """Give every document the smallest doc_id of its component, and say which one stays."""
     placed = classes.select("cid", "rep").join(roots, F.col("cid") == F.col("u"), "left").select(
         "cid", "rep", F.coalesce("root", "cid").alias("root"))
     names = placed.groupBy("root").agg(F.min("rep").alias("name"))
-    by_class = placed.join(names, "root").select(F.col("cid").alias("c"), "name")
-    own = rows.select("doc_id", "n", "cid").join(by_class, F.col("cid") == F.col("c"), "left")
+    by_class = placed.join(names, "root").select(
+        F.col("cid").alias("c"), "name", (F.col("cid") == F.col("root")).alias("first"))
+    own = rows.select("doc_id", "th", "n", "cid").join(by_class, F.col("cid") == F.col("c"), "left")
     return own.select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+        "doc_id", "th", F.col("n").alias("n_shingles"),
+        F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"), "first",
+    ).select(
+        "doc_id", "th", "n_shingles", "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"),
+                   F.col("component_id").isNull() & F.coalesce("first", F.lit(True))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component, with all its columns; rows that repeat stay once."""
+    stay = near_components(docs).filter("kept").select(
+        F.col("doc_id").alias("__stay_id"), F.col("th").alias("__stay_th")).distinct()
+    marked = docs.withColumn("__own_th", F.xxhash64("text"))
+    on = (F.col("__own_th") == F.col("__stay_th")) & F.col("doc_id").eqNullSafe(F.col("__stay_id"))
+    return marked.join(stay, on, "left_semi").dropDuplicates(["doc_id", "__own_th"]).drop("__own_th")

@@ -40,7 +40,7 @@ def op5_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_near_copies(spark: SparkSession, folder: str) -> DataFrame:
-    return near_copies.near_components(table(spark, folder, "documents"))
+    return near_copies.near_components(table(spark, folder, "documents")).drop("th")
 
 
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,4 +67,67 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_counts, op2_private_data, op3_language_id, op4_repeated_passages, op5_byte_pairs,
         op6_near_copies, op7_license_scan, op8_template_leaks, op9_web_archives, op10_host_rules)
 }
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "op6_near_copies": rf"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[^\x20\x09-\x0D]+') AS words
+          FROM documents),
+        s AS (
+          SELECT doc_id, list_distinct(CASE WHEN len(words) >= 2
+            THEN list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1]) ELSE words END) AS set FROM w),
+        sets AS (SELECT doc_id, md5(list_aggregate(list_sort(set), 'string_agg', chr(10))) AS class, set, len(set) AS n FROM s),
+        reps AS (SELECT class, min(doc_id) AS rep, any_value(set) AS set, any_value(n) AS n FROM sets WHERE n > 0 GROUP BY class),
+        flat AS (SELECT rep, n, unnest(set) AS x FROM reps),
+        inter AS (
+          SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+          FROM flat a JOIN flat b ON a.x = b.x AND a.rep <> b.rep AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+          GROUP BY a.rep, b.rep),
+        links AS (SELECT a, b FROM inter WHERE 100 * i >= 80 * (na + nb - i)),
+        reach(a, b) AS (SELECT rep, rep FROM reps UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        comp AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a)
+        SELECT t.doc_id, t.n AS n_shingles, coalesce(c.component, t.doc_id) AS component_id,
+               t.doc_id = coalesce(c.component, t.doc_id) AS kept
+        FROM sets t LEFT JOIN reps r ON t.class = r.class AND t.n > 0 LEFT JOIN comp c ON c.rep = r.rep""",
+    "op9_web_archives": """
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+        SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest,
+          CASE WHEN octet_length(encode(html)) >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN octet_length(encode(html)) >= 1000 AND page_id < last THEN last END AS refers_to
+        FROM p""",
+    "op10_host_rules": rf"""
+        WITH w AS (
+          SELECT doc_id, source, coalesce(text, '') AS text, {WORDS} AS words,
+            list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+          FROM documents),
+        win AS (
+          SELECT doc_id, i, words[i:i + 7] AS x FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+        twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY doc_id),
+        m AS (
+          SELECT w.doc_id, source, len(words) AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS word_chars,
+            len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines,
+            len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+          FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+        f AS (
+          SELECT *, base_failed::INT AS f1, (10 * n_symbols > n_words)::INT AS f2,
+            (n_lines > 0 AND 10 * n_dup_lines > 3 * n_lines)::INT AS f3,
+            (n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 12 * n_words))::INT AS f4 FROM b),
+        h AS (SELECT source, r, count(*) AS n, sum(CASE r WHEN 1 THEN f1 WHEN 2 THEN f2 WHEN 3 THEN f3 ELSE f4 END) AS x
+              FROM f, range(1, 5) t(r) GROUP BY source, r),
+        mo AS (
+          SELECT r, sum(x) / sum(n) AS p, sum(1.0 / n) / count(*) AS inverse, coalesce(var_samp(x / n), 0) AS v FROM h GROUP BY r),
+        pr AS (
+          SELECT r, least(greatest(p, 1e-6), 1 - 1e-6) AS p,
+            least(greatest(CASE WHEN v - p * (1 - p) * inverse <= p * (1 - p) / 1001 THEN 1000.0
+              ELSE p * (1 - p) / (v - p * (1 - p) * inverse) - 1 END, 1.0), 1000.0) AS s FROM mo),
+        bad AS (SELECT source, bool_or((x + p * s) / (n + s) >= 0.5) AS rejected FROM h JOIN pr ON h.r = pr.r GROUP BY source)
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+          n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+          NOT base_failed AND NOT (rejected AND f2 + f3 + f4 > 0) AS kept
+        FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source""",
+}

@@ -203,6 +203,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("__leak_id"), F.col("th").alias("__leak_th")).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("__leak_id")) & (F.xxhash64("text") == F.col("__leak_th"))
     return docs.join(bad, on, "left_anti")
