@@ -6,10 +6,18 @@ sequence); equal sets form a class, and all further work is on classes. A class
 hashes. Sets of similarity 0.8 share at least 20 of 48 retained values but for a chance below 1e-8; a
 set of fewer than K hashes shares three quarters of them for certain. Therefore two such sketches meet
 MEET times among their first (size - shared + MEET) values in any common order; with the rarest first,
-lists stay short, and values of a single class need no list. In each list and band of sizes every class is compared with the smallest and the largest member;
-what is confirmed forms components, and only pairs of different components that meet in MEET lists
-are compared after that. So every pair that meets so often is compared or already connected, and a
-group of thousands of near copies costs about two comparisons per member and list.
+lists stay short, and values of a single class need lists stay short, and values of a single class need no list.
+
+In each list and band of sizes the class with the fewest values of its own is the centre; every member
+is compared with the centres of its lists, and what is confirmed forms components. Components, and
+classes with their most similar centres, form families. What is left is compared in two ways:
+
+* inside a family, members outside its largest component against all members, in blocks of BLOCK sets
+  that are intersected in numpy; no pairs are written out but the confirmed ones;
+* across families, classes of different components that meet MEET times.
+
+So every pair that meets so often is compared or already connected. A hot group of near copies costs a
+comparison per member and list, and one block product per BLOCK members that its centre misses.
 
 A pair is confirmed on the full sets: 100 * intersection >= 80 * union. The estimate from the union
 sketch goes first and drops pairs below ``ESTIMATE`` (six standard deviations under 0.8).
@@ -29,8 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workloom.llm.arrays import (
-    byte_codes, find_words, flat, list_array, mix, signed, slices, span_hashes, windows,
+    byte_codes, find_words, flat, gather, list_array, mix, signed, slices, span_hashes, windows,
 )
+from workloom.llm.bitmap import Bitmap
 from workloom.llm.components import components
 from workloom.llm.shared import kept
 
@@ -38,6 +47,7 @@ K = 48
 SHARED = 20
 MEET = 6
 ESTIMATE = 0.8 - 6 * (0.8 * 0.2 / K) ** 0.5
+BLOCK = 512
 SHINGLE = 2
 PERCENT = 80
 
@@ -92,9 +102,9 @@ def sketches(docs: DataFrame, k: int = K, width: int = SHINGLE) -> DataFrame:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """One row per distinct set: cid, n, sketch, the smallest doc_id, and the hash of its text."""
+    """One row per distinct set: cid, n, sketch, the smallest doc_id, and the hash of one of its texts."""
     return rows.filter("cid IS NOT NULL").groupBy("cid").agg(
-        F.min("doc_id").alias("rep"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"),
+        F.min("doc_id").alias("rep"), F.min("th").alias("th"),
         F.first("n").alias("n"), F.first("sketch").alias("sketch"))
 
 
@@ -104,7 +114,8 @@ def _shared(size: Column) -> Column:
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(v, cid, n): the rarest retained values of every class, enough for similar ones to meet."""
+    """(v, cid, n, common): the rarest retained values of every class, enough for similar ones to
+    meet; ``common`` is the share of its values that other classes have."""
     values = classes.select("cid", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = classes.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     frequent = values.join(often, "v").groupBy("cid", "n", "s").agg(
@@ -113,7 +124,9 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     first = F.col("s") - need + F.least(F.lit(MEET), need)
     take = first - (F.col("s") - F.size("list"))  # values of one class come before those in the list
     return frequent.filter(take > 0).select(
-        F.explode(F.slice("list", F.lit(1), take.cast("int"))).alias("x"), "cid", "n").select("x.v", "cid", "n")
+        F.explode(F.slice("list", F.lit(1), take.cast("int"))).alias("x"), "cid", "n",
+        F.floor(F.size("list") * 1000 / F.col("s")).alias("common"),
+    ).select("x.v", "cid", "n", "common")
 
 
 def _fit(a: str, b: str) -> Column:
@@ -121,47 +134,109 @@ def _fit(a: str, b: str) -> Column:
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """Every class with the smallest and the largest member of its list and size band."""
+    """(a, b): every class and the centres of its lists, in its own and the next bands of sizes."""
     banded = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))))
-    ends = banded.groupBy("v", "band").agg(
-        F.min(F.struct("cid", "n")).alias("low"), F.max(F.struct("cid", "n")).alias("high")).filter("low.cid <> high.cid")
-    ends = ends.select("v", "band", F.explode(F.array("low", "high")).alias("x"))
-    pairs = banded.join(ends, ["v", "band"]).filter(_fit("n", "x.n") & (F.col("cid") != F.col("x.cid")))
-    return pairs.select(F.least("cid", "x.cid").alias("a"), F.greatest("cid", "x.cid").alias("b")).distinct()
-
-
-def cross_pairs(lists: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of a list whose classes are not connected yet and were not compared."""
-    placed = lists.join(roots, F.col("cid") == F.col("u"), "left").select(
-        *lists.columns, F.coalesce("root", "cid").alias("root"))
-    sizes = placed.groupBy("v", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("v").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("k"))
-    mixed = placed.join(main.filter("k > 1"), "v")
-    # Only members outside a list's largest component look for partners.
-    strays = mixed.filter("root <> main").select("v", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    pairs = strays.join(mixed.select("v", "cid", "n", "root", "main"), "v").filter(
-        (F.col("ra") != F.col("root")) & _fit("na", "n") & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("cid"))))
-    often = F.least(F.lit(MEET), _shared(F.least(F.lit(K), F.max(F.greatest("na", "n")))))
-    return pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"), "na", "n").groupBy("a", "b").agg(
-        F.count("*").alias("met"), often.alias("often")).filter("met >= often").select("a", "b").join(
-        tested, ["a", "b"], "left_anti")
+    centres = banded.groupBy("v", "band").agg(F.max(F.struct("common", "cid", "n")).alias("c")).select(
+        "v", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), "c")
+    pairs = banded.join(centres, ["v", "band"]).filter(_fit("n", "c.n") & (F.col("cid") != F.col("c.cid")))
+    return pairs.select(F.col("cid").alias("a"), F.col("c.cid").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
-    """Pairs whose union sketch does not rule them out."""
+    """(a, b, share) of the pairs whose union sketch does not rule them out."""
     own = classes.select("cid", "sketch")
     both = pairs.join(own.select(F.col("cid").alias("a"), F.col("sketch").alias("sa")), "a").join(
         own.select(F.col("cid").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    return both.select("a", "b", union.alias("u"), F.array_intersect("sa", "sb").alias("i")).filter(
-        F.size(F.array_intersect("u", "i")) >= ESTIMATE * F.size("u")).select("a", "b")
+    held = both.select("a", "b", union.alias("u"), F.array_intersect("sa", "sb").alias("i"))
+    share = F.size(F.array_intersect("u", "i")) / F.size("u")
+    return held.select("a", "b", share.alias("share")).filter(F.col("share") >= ESTIMATE)
+
+
+def families(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """(cid, root, fam) of all classes in ``stars``: root by confirmed links, fam by links and each
+    class's most similar centre."""
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+    own = stars.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    fams = _roots(links.unionByName(best)).select(F.col("u").alias("f"), F.col("root").alias("fam"))
+    return own.join(_roots(links), F.col("cid") == F.col("u"), "left").join(fams, F.col("cid") == F.col("f"), "left").select(
+        "cid", F.coalesce("root", "cid").alias("root"), F.coalesce("fam", "cid").alias("fam"))
+
+
+def links_in_families(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed pairs (a, b) of members outside a family's largest component with any member, by blocks."""
+    parts = placed.groupBy("fam", "root").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("fam").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("m"), F.max("n").alias("top"),
+    ).filter("m > top").select(
+        "fam", "main", F.ceil((F.col("m") - F.col("top")) / BLOCK).cast("int").alias("ni"),
+        F.ceil(F.col("m") / BLOCK).cast("int").alias("nj"))
+    stray = F.col("root") != F.col("main")
+    rows = placed.join(sizes, "fam").join(sets, "cid")
+    place = F.xxhash64("cid")
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asking = rows.filter(stray).select(
+        "fam", F.pmod(place, "ni").cast("int").alias("i"), F.explode(numbers("nj")).alias("j"),
+        F.lit(True).alias("asks"), "cid", "root", "hashes")
+    asked = rows.select(
+        "fam", F.explode(numbers("ni")).alias("i"), F.pmod(place, "nj").cast("int").alias("j"),
+        F.lit(False).alias("asks"), "cid", "root", "hashes")
+
+    def work(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy()
+        cids, roots = group.column("cid").to_pylist(), group.column("root").to_pylist()
+        lists = group.column("hashes").combine_chunks()
+        bounds = lists.offsets.to_numpy()
+        _, codes = np.unique(lists.values.to_numpy()[bounds[0] : bounds[-1]], return_inverse=True)
+        bounds = bounds - bounds[0]
+        size = np.diff(bounds)
+        mine = np.zeros(len(codes) and int(codes.max()) + 1, bool)
+        others = np.flatnonzero(~asks)
+        flat_codes = gather(codes, bounds[:-1][others], size[others])
+        starts = np.cumsum(size[others]) - size[others]
+        out: list[tuple[bytes, bytes]] = []
+        for k in np.flatnonzero(asks).tolist():
+            own = codes[bounds[k] : bounds[k + 1]]
+            mine[own] = True
+            common = np.add.reduceat(mine[flat_codes].astype(np.int64), starts)
+            mine[own] = False
+            hit = 100 * common >= PERCENT * (size[k] + size[others] - common)
+            out += [(cids[k], cids[o]) for o in others[hit].tolist() if roots[o] != roots[k]]
+        columns = list(zip(*out)) or [(), ()]
+        return pa.table({"a": pa.array(columns[0], pa.binary()), "b": pa.array(columns[1], pa.binary())})
+
+    return asking.unionByName(asked).groupBy("fam", "i", "j").applyInArrow(work, "a binary, b binary")
+
+
+def cross_pairs(lists: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different families and components that meet often enough to be similar."""
+    at = lists.select("v", "cid", "n").join(placed.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c"), "left").select(
+        "v", "cid", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("fam", "cid").alias("fam"))
+    sizes = at.groupBy("v", "fam").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("v").agg(F.max_by("fam", F.struct("m", "fam")).alias("main"), F.count("*").alias("k"))
+    mixed = at.join(main.filter("k > 1"), "v")
+    # Only members outside a list's largest family look for partners.
+    strays = mixed.filter("fam <> main").select(
+        "v", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("fam").alias("fa"))
+    pairs = strays.join(mixed.select("v", "cid", "n", "root", "fam", "main"), "v").filter(
+        (F.col("ra") != F.col("root")) & (F.col("fa") != F.col("fam")) & _fit("na", "n")
+        & ((F.col("fam") == F.col("main")) | (F.col("a") < F.col("cid"))))
+    often = F.least(F.lit(MEET), _shared(F.least(F.lit(K), F.max(F.greatest("na", "n")))))
+    return pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"), "na", "n").groupBy("a", "b").agg(
+        F.count("*").alias("met"), often.alias("often")).filter("met >= often").select("a", "b")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(cid, hashes) of the wanted classes (cid, rep, th), from the text of one member each."""
+    """(cid, hashes) of the wanted classes (cid, th), from the texts.
+
+    A bitmap of text hashes, of fixed size, drops the other documents before anything is shuffled;
+    where it lets one through, the join on cid drops it.
+    """
+    bits = Bitmap.of(wanted, "th")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(bits.has(batch.column("h").to_numpy(zero_copy_only=False))))
             data, offsets = flat(batch.column("text"))
             for low, high in slices(offsets):
                 sets = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], width)
@@ -170,10 +245,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataF
                     list_array(np.concatenate(sets), np.array([len(s) for s in sets]), pa.int64()),
                 ], ["cid", "hashes"])
 
-    own = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").alias("h"), "text")
-    keys = wanted.select(F.coalesce("rep", F.lit(-1)).alias("id"), F.col("th").alias("h"))
-    found = own.join(keys, ["id", "h"], "left_semi").select("text").mapInArrow(work, "cid binary, hashes array<bigint>")
-    return found.groupBy("cid").agg(F.first("hashes").alias("hashes"))
+    found = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(work, "cid binary, hashes array<bigint>")
+    return found.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("hashes").alias("hashes"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -191,18 +264,23 @@ def near_components(docs: DataFrame) -> DataFrame:
     classes = kept(classes_of(rows), "classes")
     lists = kept(inverted_lists(classes), "lists")
     stars = kept(likely(star_pairs(lists), classes), "stars")
-    first = kept(confirmed(stars, _sets_for(docs, classes, stars)), "links")
-    roots = components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("v", "root")
-    rest = kept(likely(cross_pairs(lists, roots, stars), classes), "cross")
-    more = confirmed(rest, _sets_for(docs, classes, rest))
-    links = first.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    final = components(links).withColumnRenamed("v", "root")
+    sets = _sets_for(docs, classes, stars)
+    first = kept(confirmed(stars, sets), "links")
+    placed = kept(families(stars, first), "families")
+    inside = kept(links_in_families(placed, sets), "links")
+    rest = kept(likely(cross_pairs(lists, placed), classes), "cross")
+    across = confirmed(rest, _sets_for(docs, classes, rest))
+    final = _roots(first.unionByName(inside).unionByName(across))
     return named(rows, classes, final)
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("v", "root")
+
+
 def _sets_for(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    return kept(full_sets(docs, classes.select("cid", "rep", "th").join(involved, "cid", "left_semi")), "sets")
+    return kept(full_sets(docs, kept(classes.select("cid", "th").join(involved, "cid", "left_semi"), "wanted")), "sets")
 
 
 def named(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -22,6 +22,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for rows that are small but stand for much work, such as places in files. Given as a
+    number, it keeps the adaptive planner from packing them into few tasks by their own size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def file_system(path: str):
     """The file system of a path or URI, and the path inside it; imported on the worker."""
     from pyarrow import fs

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from workloom.llm.arrays import (
     byte_codes, find_words, flat, list_array, mix, signed, slices, span_hashes, windows,
 )
+from workloom.llm.bitmap import Bitmap
 from workloom.llm.shared import kept
 
 WINDOW = 5
@@ -34,7 +35,6 @@ COVERAGE = 0.8
 SLOTS = 0.8
 #: Alignments (document place less item place) up to this far apart belong to one passage.
 DRIFT = 16
-BITMAP_BITS = 22
 
 #: Words that stand for numbers, and units.
 NUMBER_WORDS = (
@@ -141,29 +141,16 @@ def template_items(benchmark: DataFrame) -> DataFrame:
     return one.join(names, "template")
 
 
-def window_bitmap(items: DataFrame) -> np.ndarray:
-    """One bit per hash remainder that occurs among the items' windows; its size is fixed."""
-    bit = F.col("h").bitwiseAND((1 << BITMAP_BITS) - 1)
-    words = items.select(bit.alias("b")).distinct().groupBy(F.shiftright("b", 5).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(b & 31 AS INT))")).alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 5), np.int64)
-    for r in words.toLocalIterator():  # at most 2**17 rows
-        out[r["w"]] = r["bits"]
-    return np.unpackbits(out.astype("<u4").view(np.uint8), bitorder="little").astype(bool)
-
-
-def document_windows(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def document_windows(docs: DataFrame, known: Bitmap) -> DataFrame:
     """Windows of documents that pass the bitmap: doc_id, text hash, place, h, slots."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))  # 2**19 bytes, whatever the benchmark
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             for low, high in slices(offsets):
                 row, place, h, slots = _window_rows(
                     data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                hit = bits[(h & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)]
+                hit = known.has(h)
                 if hit.any():
                     take = pa.array(row[hit] + low, pa.int64())
                     yield pa.RecordBatch.from_arrays([
@@ -178,7 +165,7 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated document and item class: doc_id, th, item_id, n_items, coverage, exact."""
     items = kept(template_items(benchmark), "item-windows")
-    found = document_windows(docs, window_bitmap(items)).join(items, "h")
+    found = document_windows(docs, Bitmap.of(items, "h")).join(items, "h")
     shift = F.col("at") - F.col("place")
     near = found.select(
         "doc_id", "th", "item_id", "n_items", "n_windows", "place",

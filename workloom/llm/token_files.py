@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from workloom.llm.arrays import flat, slices
 from workloom.llm.byte_pairs import SLICE, encoder
-from workloom.llm.shared import file_system, fresh_path, kept
+from workloom.llm.shared import file_system, fresh_path, kept, task_count
 
 #: The vocabulary files leave this id free.
 SEPARATOR = 50256
@@ -92,7 +92,7 @@ def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR, block_tokens: int
                     pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), pa.array(ends, pa.int64())),
                 ], ["path", "block", "n_ids", "ends"])
 
-    return blocks.repartition("path", "block").mapInArrow(
+    return blocks.repartition(task_count(blocks.sparkSession), "path", "block").mapInArrow(
         work, "path string, block bigint, n_ids bigint, ends array<bigint>")
 
 

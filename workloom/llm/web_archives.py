@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workloom.llm.shared import file_system, fresh_path, kept
+from workloom.llm.shared import file_system, fresh_path, kept, task_count
 
 #: Payloads below this size are always written in full.
 LEAST_BYTES = 1000
@@ -303,7 +303,8 @@ def record_places(paths: DataFrame, rows: int = 50_000) -> DataFrame:
                                 part = []
                         yield pa.RecordBatch.from_pylist(part, PLACES)
 
-    return paths.select("path").repartition("path").mapInArrow(work, "path string, offset bigint, length bigint")
+    return paths.select("path").repartition(task_count(paths.sparkSession), "path").mapInArrow(
+        work, "path string, offset bigint, length bigint")
 
 
 def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
@@ -336,5 +337,6 @@ def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
         if source is not None:
             source.close()
 
-    spread = record_places(paths).repartition("path", "offset").sortWithinPartitions("path", "offset")
+    spread = record_places(paths).repartition(task_count(paths.sparkSession), "path", "offset").sortWithinPartitions(
+        "path", "offset")
     return spread.mapInArrow(work, RECORDS)
