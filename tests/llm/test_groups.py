@@ -100,7 +100,7 @@ def test_windows_are_the_nodes_of_the_tree():
     def nodes(values, low, high, width):
         if high - low + 1 >= width:
             at = low + int(np.argmin(values[low : high + 1]))
-            yield low, at, high
+            yield max(low, at - width + 1), at, min(high, at + width - 1)
             yield from nodes(values, low, at - 1, width)
             yield from nodes(values, at + 1, high, width)
 

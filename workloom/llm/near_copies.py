@@ -14,7 +14,8 @@ classes with their most similar centres, form families. What is left is compared
 
 * inside a family, members outside its largest component against all members, in blocks of BLOCK sets
   that are intersected in numpy; no pairs are written out but the confirmed ones;
-* across families, classes of different components that meet MEET times.
+* across families, classes of different components that meet MEET times in lists of fewer than HOT
+  members, by a join; lists of more members are taken in blocks, and only pairs whose sketches hold leave.
 
 So every pair that meets so often is compared or already connected. A hot group of near copies costs a
 comparison per member and list, and one block product per BLOCK members that its centre misses.
@@ -48,6 +49,7 @@ SHARED = 20
 MEET = 6
 ESTIMATE = 0.8 - 6 * (0.8 * 0.2 / K) ** 0.5
 BLOCK = 512
+HOT = 64
 SHINGLE = 2
 PERCENT = 80
 
@@ -208,14 +210,22 @@ def links_in_families(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return asking.unionByName(asked).groupBy("fam", "i", "j").applyInArrow(work, "a binary, b binary")
 
 
-def cross_pairs(lists: DataFrame, placed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different families and components that meet often enough to be similar."""
+def cross_pairs(lists: DataFrame, placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of different families and components: lists of fewer than HOT members by
+    a join, those of more members by blocks."""
     at = lists.select("v", "cid", "n").join(placed.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c"), "left").select(
         "v", "cid", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("fam", "cid").alias("fam"))
     sizes = at.groupBy("v", "fam").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("v").agg(F.max_by("fam", F.struct("m", "fam")).alias("main"), F.count("*").alias("k"))
-    mixed = at.join(main.filter("k > 1"), "v")
-    # Only members outside a list's largest family look for partners.
+    main = sizes.groupBy("v").agg(
+        F.max_by("fam", F.struct("m", "fam")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("size"),
+        F.max("m").alias("top")).filter("k > 1").drop("k")
+    mixed = kept(at.join(main, "v"), "mixed")
+    few = likely(_joined(mixed.filter(F.col("size") < HOT)), classes).select("a", "b")
+    return few.unionByName(_blocked(mixed.filter(F.col("size") >= HOT), classes)).distinct()
+
+
+def _joined(mixed: DataFrame) -> DataFrame:
+    """Pairs that meet often enough in lists of bounded length."""
     strays = mixed.filter("fam <> main").select(
         "v", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("fam").alias("fa"))
     pairs = strays.join(mixed.select("v", "cid", "n", "root", "fam", "main"), "v").filter(
@@ -226,6 +236,60 @@ def cross_pairs(lists: DataFrame, placed: DataFrame) -> DataFrame:
         F.count("*").alias("met"), often.alias("often")).filter("met >= often").select("a", "b")
 
 
+def _blocked(mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of long lists that share enough retained values and whose union sketch holds; each
+    pair comes from the smallest of its long lists only."""
+    own = mixed.groupBy("cid").agg(F.array_sort(F.collect_set("v")).alias("lists"))  # at most K entries
+    rows = mixed.join(own, "cid").join(classes.select("cid", "sketch"), "cid").withColumns({
+        "ni": F.ceil((F.col("size") - F.col("top")) / BLOCK).cast("int"), "nj": F.ceil(F.col("size") / BLOCK).cast("int")})
+    place = F.xxhash64("cid")
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    columns = ["v", "i", "j", "asks", "cid", "n", "root", "fam", "stray", "lists", "sketch"]
+    marked = rows.withColumn("stray", F.col("fam") != F.col("main"))
+    asking = marked.filter("stray").withColumns({
+        "i": F.pmod(place, "ni").cast("int"), "j": F.explode(numbers("nj")), "asks": F.lit(True)}).select(columns)
+    asked = marked.withColumns({
+        "i": F.explode(numbers("ni")), "j": F.pmod(place, "nj").cast("int"), "asks": F.lit(False)}).select(columns)
+
+    def work(group: pa.Table) -> pa.Table:
+        v = group.column("v")[0].as_py()
+        asks, stray, n = (group.column(c).to_numpy() for c in ("asks", "stray", "n"))
+        cids = group.column("cid").to_pylist()
+        roots, fams = (np.unique(np.array(group.column(c).to_pylist(), object), return_inverse=True)[1] for c in ("root", "fam"))
+        sketch = group.column("sketch").combine_chunks()
+        bounds = sketch.offsets.to_numpy() - sketch.offsets[0].as_py()
+        values = sketch.flatten().to_numpy()
+        _, codes = np.unique(values, return_inverse=True)
+        size = np.diff(bounds)
+        need = np.where(size < K, np.ceil(size * 0.75), SHARED)
+        others = np.flatnonzero(~asks)
+        flat_codes = gather(codes, bounds[:-1][others], size[others])
+        starts = np.cumsum(size[others]) - size[others]
+        mine = np.zeros(len(codes) + 1, bool)
+        places = group.column("lists")
+        out: list[tuple[bytes, bytes]] = []
+        for k in np.flatnonzero(asks).tolist():
+            own_codes = codes[bounds[k] : bounds[k + 1]]
+            mine[own_codes] = True
+            common = np.add.reduceat(mine[flat_codes].astype(np.int64), starts)
+            mine[own_codes] = False
+            low, high = np.minimum(n[others], n[k]), np.maximum(n[others], n[k])
+            ok = (common >= np.maximum(need[others], need[k])) & (100 * low >= PERCENT * high)
+            ok &= (roots[others] != roots[k]) & (fams[others] != fams[k])
+            for o in others[ok].tolist():
+                if stray[o] and cids[o] <= cids[k]:
+                    continue
+                a, b = values[bounds[k] : bounds[k + 1]], values[bounds[o] : bounds[o + 1]]
+                union = np.union1d(a, b)[:K]
+                share = np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean()
+                if share >= ESTIMATE and min(set(places[k].as_py()) & set(places[o].as_py())) == v:
+                    out.append((min(cids[k], cids[o]), max(cids[k], cids[o])))
+        columns = list(zip(*out)) or [(), ()]
+        return pa.table({"a": pa.array(columns[0], pa.binary()), "b": pa.array(columns[1], pa.binary())})
+
+    return asking.unionByName(asked).groupBy("v", "i", "j").applyInArrow(work, "a binary, b binary")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(cid, hashes) of the wanted classes (cid, th), from the texts.
 
@@ -268,7 +332,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     first = kept(confirmed(stars, sets), "links")
     placed = kept(families(stars, first), "families")
     inside = kept(links_in_families(placed, sets), "links")
-    rest = kept(likely(cross_pairs(lists, placed), classes), "cross")
+    rest = kept(cross_pairs(lists, placed, classes), "cross")
     across = confirmed(rest, _sets_for(docs, classes, rest))
     final = _roots(first.unionByName(inside).unionByName(across))
     return named(rows, classes, final)
