@@ -56,6 +56,28 @@ CASES = [
     ("MERGE INTO a.b.tgt t USING s ON t.k = s.k WHEN MATCHED AND s.live = 1 THEN UPDATE SET t.v = s.v", "INEFFICIENT_MERGE", 1, {"reason": "no_change_check", "target": "tgt"}),
     ("MERGE INTO tgt t USING s ON t.k = s.k WHEN MATCHED AND md5(t.v) <> md5(s.v) THEN UPDATE SET t.v = s.v", "INEFFICIENT_MERGE", 0, {}),
     ("MERGE INTO tgt t USING s ON t.k = s.k WHEN MATCHED THEN DELETE", "INEFFICIENT_MERGE", 0, {}),
+    # literals, comments and identifiers
+    ("SELECT a FROM t WHERE note = 'x--y' AND YEAR(d) = 2024", "NON_SARGABLE", 1, {"function": "YEAR", "column": "d"}),
+    ("SELECT a FROM t WHERE note = 'it\\'s' AND YEAR(d) = 2024 AND b = 'z'", "NON_SARGABLE", 1, {"function": "YEAR"}),
+    ("SELECT a FROM t WHERE note = 'it''s' AND YEAR(d) = 2024 AND b = 'z'", "NON_SARGABLE", 1, {"function": "YEAR"}),
+    ("SELECT a FROM t WHERE note = '/* x' AND YEAR(d) = 2024 AND b = '*/'", "NON_SARGABLE", 1, {"function": "YEAR"}),
+    ('SELECT a FROM t WHERE note = "x UNION y"', "UNION_NO_ALL", 0, {}),
+    ('SELECT a FROM t WHERE note = "it\'s" UNION SELECT b FROM u', "UNION_NO_ALL", 1, {}),
+    ("SELECT a FROM t -- it's UNION\n UNION SELECT b FROM u", "UNION_NO_ALL", 1, {}),
+    ("SELECT * FROM `main`.`s`.`t`", "SELECT_STAR", 1, {"table": "t"}),
+    ("SELECT * FROM main.s.`my t`", "SELECT_STAR", 1, {"table": "my_t"}),
+    ("SELECT a FROM t WHERE note = 'open AND YEAR(d) = 2024", "NON_SARGABLE", 0, {}),
+    # any depth
+    ("SELECT a FROM t WHERE p > (SELECT MAX(COALESCE(ABS(u.p), 0)) FROM u WHERE u.k = t.k)", "CORRELATED_SUBQUERY", 1,
+     {"outer_columns": "t.k", "subquery_type": "aggregate_subquery_in_where"}),
+    ("SELECT a FROM t WHERE UPPER(f(g(h(i(j(name)))))) = 'X'", "NON_SARGABLE", 1, {"function": "UPPER", "column": "name"}),
+    ("SELECT SUM(COALESCE(ROUND(ABS(x)), 0)) OVER (ORDER BY b) FROM t", "WINDOW_NO_PARTITION", 1, {"function": "SUM"}),
+    ("SELECT COUNT(DISTINCT x) OVER (ORDER BY f(g(h(b)))), MAX(y) OVER (PARTITION BY f(g(h(b)))) FROM t", "WINDOW_NO_PARTITION", 1, {"function": "COUNT"}),
+    ("SELECT a FROM t WHERE ((((((((((YEAR(d) = 2024))))))))))", "NON_SARGABLE", 1, {"function": "YEAR", "column": "d"}),
+    ("SELECT a FROM t WHERE k NOT IN (SELECT k FROM (SELECT k FROM (SELECT k FROM (SELECT k FROM u) v) w) x)", "NOT_IN_NULLS", 1, {"column": "k", "kind": "subquery"}),
+    ("SELECT a FROM t WHERE x IN (SELECT k FROM u) AND y NOT IN (SELECT k FROM u)", "NOT_IN_NULLS", 1, {"column": "y"}),
+    ("SELECT a FROM t WHERE c = 1 OR c = 2 OR c = 3 OR c = 4 OR c = 5 OR c = 6 OR c = 7 OR c = 8 OR c = 9 OR c = 10 OR c = 11", "OR_TO_IN", 1,
+     {"values": "1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11"}),
 ]
 
 

@@ -3,14 +3,18 @@
 There is no parser here. A statement is turned into a few flat texts on which each rule is a
 regular expression:
 
-* ``parts``: the text split at single quotes; odd entries are the contents of literals.
+* ``tokens``: the text cut by one pattern into literals ('…' or "…", with doubled or
+  backslashed quotes inside), identifiers in backticks, comments, and what stands between.
+* ``parts``: per token the content of a literal.
 * ``code``: the text without comments, blanks squeezed, each literal replaced by
   ``'class:index'`` (1 plain, 2 date-like, 3 holding a wildcard), so no rule reads into one.
-* ``segs``: one flat text per parenthesis, and the outermost text. A parenthesis inside a
-  segment is shown as ``#``; a plain function call keeps its arguments inside ``⟨⟩``.
+  Backticks go; signs and blanks inside them become ``_``.
+* ``marked``: the code with plain function calls and arithmetic parentheses inside ``⟨⟩``.
+* ``segs``: one flat text per parenthesis left, innermost first, and the outermost text. A
+  parenthesis inside a segment is shown as ``#``.
 
-Limits: quoted identifiers with blanks are not understood; calls nested deeper than four and
-parentheses nested deeper than eight stay unopened.
+Calls and parentheses are opened until nothing changes; the number of passes is bounded by the
+number of parentheses of the statement itself.
 """
 
 from __future__ import annotations
@@ -27,23 +31,65 @@ CLAUSE_END = (
 )
 OPERATOR = r"(<=|>=|<>|!=|=|<|>|\bNOT I?LIKE\b|\bI?LIKE\b|\bNOT IN\b|\bIN\b)"
 IDENTIFIER = r"([A-Za-z_][\w.]*+)(?! ?⟨)"
-CALL_PASSES = 4
-PAREN_PASSES = 8
+TOKEN = (
+    r"(?s)'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+(?:'|$)"
+    r'|"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+(?:"|$)'
+    r"|`[^`]*+(?:`|$)|--[^\n]*+|/\*.*?(?:\*/|$)|[^'\"`/-]++|."
+)
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+def without_comments(text: Column) -> Column:
+    """The statement with blanks for comments; literals and identifiers stay as they are."""
+    return F.trim(F.array_join(F.transform(
+        tokens(text), lambda t: F.when(t.rlike(r"^(--|/\*)"), " ").otherwise(t)), ""))
 
 
-def literal_parts(clean: Column) -> Column:
-    return F.split(clean, "'")
+def text_key(text: Column) -> Column:
+    """A digest under which all statements meet that differ in comments only."""
+    return F.sha2(without_comments(text), 256)
 
 
-def masked_code(parts: Column) -> Column:
-    def shown(part: Column, i: Column) -> Column:
+def literal_parts(pieces: Column) -> Column:
+    """The content of each token that is a literal."""
+    return F.transform(pieces, lambda t: F.when(
+        t.rlike("^['\"]") & (F.length(t) > 1), F.regexp_replace(t, r"^['\"]|['\"]$", "")))
+
+
+def masked_code(pieces: Column) -> Column:
+    def shown(token: Column, i: Column) -> Column:
+        part = F.regexp_replace(token, r"^['\"]|['\"]$", "")
         kind = (
             F.when(part.rlike(DATE_LIKE), "2")
             .when(F.contains(part, F.lit("%")) | F.contains(part, F.lit("_")), "3").otherwise("1")
         )
-        return F.when(i % 2 == 1, F.concat(kind, F.lit(":"), i.cast("string"))).otherwise(part)
+        return (
+            F.when(token.rlike("^['\"]"), F.when(
+                F.length(token) > 1, F.concat(F.lit("'"), kind, F.lit(":"), i.cast("string"), F.lit("'"))).otherwise(" "))
+            .when(token.rlike(r"^(--|/\*)"), " ")
+            .when(token.startswith("`"), F.regexp_replace(F.translate(token, "`", ""), r"\W+", "_"))
+            .otherwise(token)
+        )
+
+    return F.trim(F.regexp_replace(F.array_join(F.transform(pieces, shown), ""), r"\s+", " "))
+
 
-    return F.trim(F.regexp_replace(F.array_join(F.transform(parts, shown), "'"), r"\s+", " "))
+def settled(start: Column, bound: Column, step) -> Column:
+    """Apply ``step`` to a value until it no longer changes, ``bound`` times at most."""
+    state = F.struct(start.alias("x"), F.lit(False).alias("done"))
+
+    def turn(acc: Column, _: Column) -> Column:
+        moved = F.transform(F.array(step(acc["x"])), lambda y: F.struct(y.alias("x"), (y == acc["x"]).alias("done")))
+        return F.when(acc["done"], acc).otherwise(F.get(moved, F.lit(0)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(bound, F.lit(1))), state, turn, lambda acc: acc["x"])
+
+
+def how_many(text: Column, sign: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, sign, ""))
 
 
 def restored(text: Column, parts: Column) -> Column:
@@ -64,32 +110,38 @@ def calls_marked(code: Column) -> Column:
     out = F.regexp_replace(code, r"(?i)\bCOUNT ?\( ?DISTINCT ([\w.]+)[^()]*\)", "COUNTDISTINCT:$1")
     out = F.regexp_replace(out, r"(?i)\bCOUNT ?\( ?DISTINCT (\w+) ?\(([^()]*)\)[^()]*\)", "COUNTDISTINCT:$1⟨$2⟩")
 
-    def one_pass(text: Column, _: Column) -> Column:
+    def one_pass(text: Column) -> Column:
         calls = F.regexp_replace(
             text, rf"(?i)\b(?!(?:{NOT_CALLS})\b)(\w++) ?\((?![^()]*\bSELECT\b)([^()]*+)\)", "$1⟨$2⟩"
         )
-        both = F.regexp_replace(
+        return F.regexp_replace(
             calls, r"(?i)([=<>+*/%,(-]|\bWHERE|\bAND|\bOR|\bON) ?\((?![^()]*\b(?:SELECT|AND|OR)\b)([^(),]*+)\)",
             "$1 ⟨$2⟩",
         )
-        return F.when(F.contains(text, F.lit("(")), both).otherwise(text)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(CALL_PASSES)), out, one_pass)
+    return settled(out, how_many(code, "("), one_pass)
 
 
 def segments(marked: Column) -> Column:
     """Innermost parentheses first, each with the word before it; the outermost text last."""
     inner = r"(\b\w++ ?)?+\([^()]*+\)"
     start = F.struct(marked.alias("text"), F.array().cast("array<string>").alias("found"))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(PAREN_PASSES)),
-        start,
-        lambda acc, _: F.when(F.contains(acc["text"], F.lit("(")), F.struct(
-            F.regexp_replace(acc["text"], inner, "$1#").alias("text"),
-            F.concat(acc["found"], F.regexp_extract_all(acc["text"], F.lit(inner), F.lit(0))).alias("found"),
-        )).otherwise(acc),
-        lambda acc: F.concat(acc["found"], F.array(acc["text"])),
-    )
+    opened = settled(start, how_many(marked, "("), lambda x: F.struct(
+        F.regexp_replace(x["text"], inner, "$1#").alias("text"),
+        F.concat(x["found"], F.regexp_extract_all(x["text"], F.lit(inner), F.lit(0))).alias("found"),
+    ))
+    return F.transform(F.array(opened), lambda x: F.concat(x["found"], F.array(x["text"])))[0]
+
+
+def heads(segs: Column) -> Column:
+    """Each segment's text up to its first inner parenthesis, which stands as it is in ``marked``."""
+    return F.transform(segs, lambda s: F.struct(F.substring_index(s, "#", 1).alias("head"), s.alias("seg")))
+
+
+def texts_before(marked: Column, head: Column) -> Column:
+    """The text before every place where a head stands."""
+    pieces = F.split(marked, F.concat(F.lit("\\Q"), head, F.lit("\\E")))
+    return F.slice(pieces, F.lit(1), F.size(pieces) - 1)
 
 
 def slices(segs: Column, pattern: str, group: int = 1) -> Column:

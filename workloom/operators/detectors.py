@@ -13,16 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workloom.functions import lexical as lx
-from workloom.functions.text import statement_hash, strip_comments
+from workloom.functions.text import statement_hash
 
 # Functions that hide a column from pruning when they stand left of a comparison.
 WRAPPING_FUNCTIONS = (
-    "YEAR MONTH DAY HOUR MINUTE SECOND DATE DATE_TRUNC TIMESTAMP_TRUNC TO_DATE EXTRACT DAYOFWEEK DAYOFMONTH "
-    "DAYOFYEAR WEEKOFYEAR QUARTER LAST_DAY NEXT_DAY DATE_FORMAT FROM_UNIXTIME UNIX_TIMESTAMP TO_TIMESTAMP "
-    "UPPER LOWER TRIM LTRIM RTRIM SUBSTRING SUBSTR LEFT RIGHT CONCAT CONCAT_WS LENGTH CHAR_LENGTH REPLACE "
-    "TRANSLATE REVERSE REPEAT LPAD RPAD SPLIT REGEXP_EXTRACT CAST CONVERT TRY_CAST ABS ROUND FLOOR CEIL CEILING "
-    "SQRT POWER POW EXP LN LOG SIN COS TAN ASIN ACOS ATAN COALESCE NVL IFNULL NULLIF"
-).split()
+    "YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND", "DATE", "DATE_TRUNC", "TIMESTAMP_TRUNC", "TO_DATE",
+    "EXTRACT", "DAYOFWEEK", "DAYOFMONTH", "DAYOFYEAR", "WEEKOFYEAR", "QUARTER", "LAST_DAY", "NEXT_DAY",
+    "DATE_FORMAT", "FROM_UNIXTIME", "UNIX_TIMESTAMP", "TO_TIMESTAMP", "UPPER", "LOWER", "TRIM", "LTRIM",
+    "RTRIM", "SUBSTRING", "SUBSTR", "LEFT", "RIGHT", "CONCAT", "CONCAT_WS", "LENGTH", "CHAR_LENGTH", "REPLACE",
+    "TRANSLATE", "REVERSE", "REPEAT", "LPAD", "RPAD", "SPLIT", "REGEXP_EXTRACT", "CAST", "CONVERT", "TRY_CAST",
+    "ABS", "ROUND", "FLOOR", "CEIL", "CEILING", "SQRT", "POWER", "POW", "EXP", "LN", "LOG", "SIN", "COS", "TAN",
+    "ASIN", "ACOS", "ATAN", "COALESCE", "NVL", "IFNULL", "NULLIF",
+)
 
 # Name parts that suggest many or few distinct values.
 HIGH_NAMES = (
@@ -55,7 +57,7 @@ TYPE_CLASSES = (
     ("DECIMAL", "numeric"), ("NUMERIC", "numeric"), ("FLOAT", "numeric"), ("DOUBLE", "numeric"), ("REAL", "numeric"),
     ("DATE", "datetime"), ("TIMESTAMP", "datetime"), ("DATETIME", "datetime"), ("BOOLEAN", "boolean"), ("BOOL", "boolean"),
 )
-AGGREGATES = "COUNT|SUM|AVG|MIN|MAX|STDDEV|VARIANCE|COLLECT_LIST|COLLECT_SET|APPROX_COUNT_DISTINCT|COUNTDISTINCT:"
+AGGREGATES = "COUNT|SUM|AVG|MIN|MAX|STDDEV|VARIANCE|COLLECT_LIST|COLLECT_SET|APPROX_COUNT_DISTINCT"
 
 FINDING = "struct<severity:string,message:string,context:map<string,string>,fix:string>"
 
@@ -79,9 +81,10 @@ def listed(items: Column, sep: str = ", ") -> Column:
 
 def prepared(statements: DataFrame, text: str = "statement_text") -> DataFrame:
     """Add the lexical columns that the rules read."""
-    df = statements.withColumn("parts", lx.literal_parts(strip_comments(F.col(text))))
-    df = df.withColumn("code", lx.masked_code(F.col("parts")))
-    df = df.withColumn("segs", lx.segments(lx.calls_marked(F.col("code"))))
+    df = statements.withColumn("_tokens", lx.tokens(F.col(text)))
+    df = df.withColumns({"parts": lx.literal_parts(F.col("_tokens")), "code": lx.masked_code(F.col("_tokens"))}).drop("_tokens")
+    df = df.withColumn("marked", lx.calls_marked(F.col("code")))
+    df = df.withColumn("segs", lx.segments(F.col("marked")))
     df = df.withColumns({"wheres": lx.where_slices(F.col("segs")), "froms": lx.from_slices(F.col("segs"))})
     return df.withColumns({
         "preds": lx.predicates(F.col("wheres")),
@@ -303,7 +306,7 @@ def or_to_in() -> Column:
             return F.when(F.size(mine) >= 3, finding(
                 "medium", says(F.size(mine).cast("string"), " equality terms on ", column, " joined by OR"),
                 says("Use ", column, " IN (", shown, more, ")"),
-                column=column, conditions=F.size(mine), values=listed(F.slice(values, 1, 10))))
+                column=column, conditions=F.size(mine), values=listed(values)))
 
         return F.array_compact(F.transform(columns, one))
 
@@ -323,10 +326,11 @@ def like_no_wildcard() -> Column:
 
 
 def correlated_subquery() -> Column:
-    pattern = r"(?i)(?:\b\w+ ?)?\( ?SELECT\b[^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
-    subs = F.filter(F.regexp_extract_all(S.code, F.lit(pattern), F.lit(0)), lambda s: ~s.rlike(r"(?i)^(EXISTS|AS) ?\("))
+    subs = F.filter(lx.heads(F.array_distinct(S.segs)), lambda h: h["seg"].rlike(
+        r"(?i)^(?!(?:EXISTS|AS) ?\()(?:\w+ ?)?\( ?SELECT\b"))
 
-    def check(sub: Column) -> Column:
+    def check(found: Column) -> Column:
+        sub = found["seg"]
         body = F.regexp_replace(sub, lx.LITERAL, " ")
         froms = F.regexp_extract_all(F.regexp_replace(body, r"^[^(]*\(|\)$", " "), F.lit(r"(?i)\bFROM\b(.*?)" + lx.CLAUSE_END.replace("$)", r"\)|$)")), F.lit(1))
         items = lx.from_items(froms)
@@ -337,9 +341,9 @@ def correlated_subquery() -> Column:
         columns = F.array_distinct(F.regexp_extract_all(
             F.regexp_replace(body, r"(?i)\b(FROM|JOIN) [\w.]+", "$1 "), F.lit(r"([A-Za-z_]\w*\.[A-Za-z_]\w*)"), F.lit(1)))
         outer = F.array_sort(F.filter(columns, lambda c: ~F.array_contains(defined, F.lower(F.substring_index(c, ".", 1)))))
-        before = F.call_function("substring_index", S.code, sub, F.lit(1))
+        before = F.get(lx.texts_before(S.marked, found["head"]), F.lit(0))
         last = F.upper(F.regexp_extract(before, r"(?i)^.*\b(SELECT|FROM|WHERE|HAVING|ON)\b", 1))
-        aggregate = sub.rlike(rf"(?i)\b(?:{AGGREGATES}) ?[(]")
+        aggregate = sub.rlike(rf"(?i)\b(?:{AGGREGATES}) ?[(⟨]|\bCOUNTDISTINCT:")
         kind = (
             F.when(last == "SELECT", "scalar_subquery_in_select")
             .when((last == "WHERE") & aggregate, "aggregate_subquery_in_where")
@@ -414,38 +418,48 @@ def multi_count_distinct() -> Column:
 
 
 def not_in_nulls() -> Column:
-    head = r"(?i)(?:([A-Za-z_][\w.]*) NOT IN|\bNOT ([A-Za-z_][\w.]*) IN) ?"
-    body = r"\(([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+)\)"
-    hits = F.regexp_extract_all(S.code, F.lit(head + body), F.lit(0))
+    tail = r"(?i)(?:([A-Za-z_][\w.]*) NOT|\bNOT ([A-Za-z_][\w.]*)) $"
+    lists = F.filter(lx.heads(F.array_distinct(S.segs)), lambda h: h["seg"].rlike(r"(?i)^IN ?\("))
 
-    def check(hit: Column) -> Column:
-        column = F.concat(F.regexp_extract(hit, head, 1), F.regexp_extract(hit, head, 2))
-        inner = F.trim(F.regexp_extract(hit, head + body, 3))
+    def check(found: Column) -> Column:
+        inner = F.trim(F.regexp_extract(found["seg"], r"(?is)^IN ?\((.*)\)$", 1))
         is_query = inner.rlike(r"(?i)^(SELECT|WITH)\b")
-        chosen = F.regexp_extract(inner, r"(?i)^SELECT (?:DISTINCT )?(?:\w+ ?\( ?)*([A-Za-z_][\w.]*)", 1)
+        chosen = F.regexp_extract(inner, r"(?i)^SELECT (?:DISTINCT )?(?:\w+ ?⟨ ?)*([A-Za-z_][\w.]*)", 1)
         guarded = F.contains(F.upper(inner), F.concat(F.upper(chosen), F.lit(" IS NOT NULL")))
         literals = inner.rlike(rf"{lx.LITERAL}|\d")
-        return (
-            F.when(is_query & ~guarded, finding(
-                "high", says(column, " NOT IN (subquery): one null in ", chosen, " empties the result"),
-                says("Use NOT EXISTS, or add ", chosen, " IS NOT NULL to the subquery"),
-                column=column, kind=F.lit("subquery"), subquery_column=chosen))
-            .when(~is_query & literals, finding(
-                "medium", says("Check nulls for ", column, " NOT IN (list)"),
-                says("Write (", column, " NOT IN (...) OR ", column, " IS NULL) to keep null rows"),
-                column=column, kind=F.lit("list"), values=F.size(F.split(inner, ","))))
-        )
 
-    return F.array_compact(F.transform(hits, check))
+        def one(before: Column) -> Column:
+            column = F.concat(F.regexp_extract(before, tail, 1), F.regexp_extract(before, tail, 2))
+            return (
+                F.when((column != "") & is_query & ~guarded, finding(
+                    "high", says(column, " NOT IN (subquery): one null in ", chosen, " empties the result"),
+                    says("Use NOT EXISTS, or add ", chosen, " IS NOT NULL to the subquery"),
+                    column=column, kind=F.lit("subquery"), subquery_column=chosen))
+                .when((column != "") & ~is_query & literals, finding(
+                    "medium", says("Check nulls for ", column, " NOT IN (list)"),
+                    says("Write (", column, " NOT IN (...) OR ", column, " IS NULL) to keep null rows"),
+                    column=column, kind=F.lit("list"), values=F.size(lx.comma_items(inner))))
+            )
+
+        return F.array_compact(F.transform(lx.texts_before(S.marked, found["head"]), one))
+
+    return F.flatten(F.transform(lists, check))
 
 
 def window_no_partition() -> Column:
-    pattern = r"(?i)(\w+) ?\([^()]*+(?:\([^()]*+\)[^()]*+)*+\) OVER ?\(([^()]*+(?:\([^()]*+\)[^()]*+)*+)\)"
-    hits = F.filter(F.regexp_extract_all(S.code, F.lit(pattern), F.lit(0)),
-                    lambda h: ~F.regexp_extract(h, pattern, 2).rlike(r"(?i)\bPARTITION BY\b"))
-    return F.transform(hits, lambda h: finding(
-        "high", says(F.upper(F.regexp_extract(h, pattern, 1)), " runs over one single partition"),
-        F.lit("Add PARTITION BY with a key of many values"), function=F.upper(F.regexp_extract(h, pattern, 1))))
+    windows = F.filter(lx.heads(F.array_distinct(S.segs)), lambda h: h["seg"].rlike(r"(?i)^OVER ?\(")
+                       & ~h["seg"].rlike(r"(?i)\bPARTITION BY\b"))
+
+    def one(before: Column) -> Column:
+        # The call in front, its arguments closed from the inside out.
+        call = lx.settled(F.regexp_replace(before, r"(?i)\bCOUNTDISTINCT:[\w.]+(?:⟨[^⟨⟩]*+⟩)?+", "COUNT§"),
+                          lx.how_many(before, "⟨"), lambda x: F.regexp_replace(x, "⟨[^⟨⟩]*+⟩", "§"))
+        function = F.upper(F.regexp_extract(call, r"(\w+) ?§ ?$", 1))
+        return F.when(function != "", finding(
+            "high", says(function, " runs over one single partition"),
+            F.lit("Add PARTITION BY with a key of many values"), function=function))
+
+    return F.flatten(F.transform(windows, lambda h: F.array_compact(F.transform(lx.texts_before(S.marked, h["head"]), one))))
 
 
 def union_no_all() -> Column:
@@ -536,15 +550,16 @@ def unregister_rule(key: str) -> None:
 
 
 def distinct_texts(statements: DataFrame) -> DataFrame:
-    """Each text once, with its hash. Grouping has a map-side combine, so copies of a hot
-    text never meet in one task.
+    """Each text without its comments once, with its hash. Grouping has a map-side combine, so
+    copies of a hot text never meet in one task.
 
     The texts are few bytes but much regex work, so they keep the full shuffle width instead
     of being packed into few tasks by size.
     """
     width = int(statements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        statements.select("statement_text").filter(F.trim("statement_text") != "").distinct()
+        statements.select(lx.without_comments(F.col("statement_text")).alias("statement_text"))
+        .filter(F.col("statement_text") != "").distinct()
         .withColumn("query_hash", statement_hash(F.col("statement_text")))
         .repartition(width, "query_hash")
     )
@@ -626,9 +641,9 @@ def detect_statements(statements: DataFrame, keys=None, **context: DataFrame) ->
     """Distinct texts are analysed once; findings fan out to every statement with that text."""
     found = detect(with_context(distinct_texts(statements), **context), keys)
     # The history meets the findings by digest, so its texts are not shuffled.
-    digest = F.sha2("statement_text", 256)
-    runs = statements.select("statement_id", "executed_by", digest.alias("_digest"))
-    return runs.join(found.withColumn("_digest", digest).drop("statement_text"), "_digest").drop("_digest")
+    runs = statements.select("statement_id", "executed_by", lx.text_key(F.col("statement_text")).alias("_digest"))
+    own = found.withColumn("_digest", F.sha2("statement_text", 256)).drop("statement_text", "query_hash")
+    return runs.join(own, "_digest").drop("_digest")
 
 
 def with_rule_config(violations: DataFrame, rules: DataFrame) -> DataFrame:

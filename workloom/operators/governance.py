@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from workloom.functions import lexical as lx
 from workloom.functions.names import is_system_table, reference_problem
-from workloom.functions.text import strip_comments
 from workloom.operators.rewrites import merge
 
 # PII classes with the name parts that reveal them, in class order.
@@ -155,25 +154,27 @@ def assign_tags(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
 
 def statement_tables(statements: DataFrame) -> DataFrame:
     """Statement id with the sorted full names of the tables it reads or writes."""
-    code = lx.masked_code(lx.literal_parts(strip_comments(F.col("statement_text"))))
+    code = lx.masked_code(lx.tokens(F.col("statement_text")))
     df = statements.withColumn("code", code)
     df = df.withColumn("segs", lx.segments(lx.calls_marked(F.col("code"))))
     return df.withColumn("tables", lx.full_table_refs(lx.table_names(F.col("code"), F.col("segs")))).drop("code", "segs")
 
 
 def tables_by_text(statements: DataFrame) -> DataFrame:
-    """(statement_text, tables), each distinct text read once over the full shuffle width."""
+    """(text_key, tables), each text without comments read once over the full shuffle width."""
     width = int(statements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = statements.select("statement_text").distinct()
+    texts = statements.select(lx.without_comments(F.col("statement_text")).alias("statement_text")).distinct()
     # Keyed by a hash: the same key again would be dropped as redundant and the texts, few
     # bytes but much regex work, would be packed into few tasks.
-    return statement_tables(texts.repartition(width, F.xxhash64("statement_text")))
+    found = statement_tables(texts.repartition(width, F.xxhash64("statement_text")))
+    return found.select(F.sha2("statement_text", 256).alias("text_key"), "tables")
 
 
 def table_usage(statements: DataFrame) -> DataFrame:
     """Statements and users per table, counted per (text, user) before the join."""
-    runs = statements.groupBy("statement_text", "executed_by").agg(F.count("*").alias("n"))
-    used = runs.join(tables_by_text(statements), "statement_text").select(
+    key = lx.text_key(F.col("statement_text")).alias("text_key")
+    runs = statements.groupBy(key, "executed_by").agg(F.count("*").alias("n"))
+    used = runs.join(tables_by_text(statements), "text_key").select(
         "executed_by", "n", F.explode_outer("tables").alias("table_name"))
     return used.filter(F.col("table_name").isNotNull() & ~is_system_table(F.col("table_name"))).groupBy("table_name").agg(
         F.sum("n").alias("statements"), F.count_distinct("executed_by").alias("users"))
@@ -181,9 +182,10 @@ def table_usage(statements: DataFrame) -> DataFrame:
 
 def statement_schemas(statements: DataFrame, tables: DataFrame) -> DataFrame:
     """Statement to catalog document of each table it names, system tables left out."""
-    refs = tables_by_text(statements).select("statement_text", F.explode_outer("tables").alias("table_name")).filter(
+    refs = tables_by_text(statements).select("text_key", F.explode_outer("tables").alias("table_name")).filter(
         F.col("table_name").isNotNull() & ~is_system_table(F.col("table_name")))
-    return statements.select("statement_id", "statement_text").join(refs, "statement_text").join(tables, "table_name").drop("statement_text")
+    runs = statements.select("statement_id", lx.text_key(F.col("statement_text")).alias("text_key"))
+    return runs.join(refs, "text_key").join(tables, "table_name").drop("text_key")
 
 
 def name_audit(columns: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from workloom.functions.lexical import text_key
 from workloom.functions.text import statement_hash
 from workloom.operators import detectors as det
 from workloom.operators import rollups
@@ -163,9 +164,11 @@ def d20(spark, d):
     """Findings are counted on the distinct texts, executions on the history."""
     h = history(spark, d)
     found = det.detect(det.with_context(det.distinct_texts(h)), ["UNION_NO_ALL", "CARTESIAN_JOIN"])
-    per_text = found.groupBy("query_hash").agg(F.count("*").alias("findings"))
-    runs = h.groupBy(statement_hash(F.col("statement_text")).alias("query_hash")).agg(F.count("*").alias("executions"))
-    return runs.join(per_text, "query_hash", "left").select("query_hash", "executions", F.coalesce("findings", F.lit(0)).alias("findings"))
+    per_text = found.groupBy(F.sha2("statement_text", 256).alias("digest")).agg(F.count("*").alias("findings"))
+    runs = h.groupBy(
+        statement_hash(F.col("statement_text")).alias("query_hash"), text_key(F.col("statement_text")).alias("digest"),
+    ).agg(F.count("*").alias("executions"))
+    return runs.join(per_text, "digest", "left").select("query_hash", "executions", F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
 @query("P10_severity_filter", f"SELECT statement_id, rule_key, severity FROM ({expected_sql(['SELECT_STAR', 'CARTESIAN_JOIN', 'NON_SARGABLE'])}) WHERE severity IN ('critical', 'high')")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from workloom.functions.lexical import text_key
 from workloom.functions.names import full_table_name, is_system_table
 from workloom.operators import governance as ops
 from workloom.operators.rewrites import union_distinct
@@ -120,8 +121,8 @@ TABLES_CASE = "CASE template_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in
 @query("G6_statement_tables", f"SELECT statement_id, {TABLES_CASE} AS tables FROM {H}")
 def g6(spark, d):
     h = history(spark, d)
-    found = ops.tables_by_text(h).select("statement_text", F.array_join("tables", ", ").alias("tables"))
-    return h.select("statement_id", "statement_text").join(found, "statement_text").drop("statement_text")
+    found = ops.tables_by_text(h).select("text_key", F.array_join("tables", ", ").alias("tables"))
+    return h.select("statement_id", text_key(F.col("statement_text")).alias("text_key")).join(found, "text_key").drop("text_key")
 
 
 NAMES = "SELECT p_partkey, concat(CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'web.' WHEN 2 THEN 'prod.web.' WHEN 3 THEN 'system.a.' ELSE 'a.b.c.' END, lower(replace(p_brand, '#', '_'))) AS table_name FROM {part}"

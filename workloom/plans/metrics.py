@@ -139,9 +139,10 @@ SELECT statement_id, baseline_ms, {rounded_sql("CASE WHEN execution_duration_ms
   execution_duration_ms / baseline_ms::DOUBLE, execution_duration_ms / 1000::DOUBLE, baseline_ms / 1000::DOUBLE) END AS waste_note
 FROM (SELECT p.*, b.baseline_ms FROM ({PRICED_SQL}) p JOIN (SELECT statement_text AS st, min(execution_duration_ms) AS baseline_ms FROM {H} GROUP BY 1) b ON p.statement_text = b.st)""")
 def c13(spark, d):
-    base = priced(spark, d)
-    best = enrich.shape_baseline(history(spark, d), "statement_text")
-    return enrich.with_waste(base.join(best, "statement_text")).select(
+    shape = F.sha2("statement_text", 256).alias("shape")
+    base = priced(spark, d).select("*", shape)
+    best = enrich.shape_baseline(history(spark, d).select(shape, "execution_duration_ms"), "shape")
+    return enrich.with_waste(base.join(best, "shape")).select(
         "statement_id", "baseline_ms", rounded(F.col("daily_waste"), 6).alias("daily_waste"), "waste_note"
     )
 

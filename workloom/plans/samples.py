@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from workloom.functions.lexical import text_key
 from workloom.functions.formats import rounded, rounded_sql
 from workloom.functions.sql_functions import register_sql_functions
 from workloom.operators import context as ctx
@@ -207,4 +208,5 @@ def k16(spark, d):
     with_found = det.with_statements(base, violations(spark, d)).withColumn(
         "violations", F.coalesce("violations", F.array()))
     texts = governance.tables_by_text(history(spark, d))
-    return ctx.rendered(with_found.join(texts.withColumnRenamed("tables", "schemas"), "statement_text", "left"))
+    keyed = with_found.withColumn("text_key", text_key(F.col("statement_text")))
+    return ctx.rendered(keyed.join(texts.withColumnRenamed("tables", "schemas"), "text_key", "left"))
