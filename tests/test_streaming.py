@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from workloom.plans import load_all
@@ -73,21 +74,46 @@ def stream_of(spark, df, tmp_path, parts):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
 
 
+def test_order_of_arrival_does_not_matter(spark, tmp_path):
+    """Two admissions a minute; the events at 0 and 10 come after those at 70 and 75."""
+    rows = [(0, 70), (1, 75), (2, 0), (3, 10), (4, 80)]
+    df = spark.createDataFrame([(i, BASE + dt.timedelta(seconds=s), "u") for i, s in rows], "event_id bigint, ts timestamp_ntz, user string")
+    limits = admission.Limits(per_minute=2, cost_per_hour=1.0)
+    stream, close = jobs.closable(stream_of(spark, df, tmp_path, 5))
+    got = {r.event_id: r.decision for r in spark.read.parquet(jobs.run_to_folder(admission.admit_stream(stream, "user", limits), close=close)).collect()}
+    assert got == {2: "admitted", 3: "admitted", 0: "admitted", 1: "admitted", 4: "requests"}
+
+
+def late(df):
+    """Neighbouring events change places, up to five minutes apart."""
+    return df.withColumn("event_id", F.row_number().over(W.orderBy(F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.hash("event_id"), F.lit(300)))).cast("bigint") - 1)
+
+
 def test_admission_stream_equals_batch(spark, tmp_path):
     limits = admission.Limits(per_minute=5, cost_per_hour=1.0)
     _, df = events(spark, 1500, 4)
-    path = jobs.run_to_folder(admission.admit_stream(stream_of(spark, df, tmp_path, 4), "user", limits))
+    df = spark.createDataFrame(late(df).collect(), df.schema)
+    stream, close = jobs.closable(stream_of(spark, df, tmp_path, 4))
+    path = jobs.run_to_folder(admission.admit_stream(stream, "user", limits, cost="cost * 2"), close=close)
     got = {(r.event_id, r.decision) for r in spark.read.parquet(path).collect()}
-    assert got == {(r.event_id, r.decision) for r in admission.admit(df, "user", limits).collect()}
+    assert got == {(r.event_id, r.decision) for r in admission.admit(df, "user", limits, cost="cost * 2").collect()}
 
 
 def test_cap_stream_equals_batch(spark, tmp_path):
     _, df = events(spark, 1500, 5)
-    path = jobs.run_to_folder(admission.cap_stream(stream_of(spark, df, tmp_path, 3), "user", 3))
+    df = spark.createDataFrame(late(df).collect(), df.schema)
+    stream, close = jobs.closable(stream_of(spark, df, tmp_path, 3))
+    path = jobs.run_to_folder(admission.cap_stream(stream, "user", 3), close=close)
     got = {(r.event_id, r.decision) for r in spark.read.parquet(path).collect()}
     assert got == {(r.event_id, r.decision) for r in admission.cap_per_minute(df, "user", 3).collect()}
 
 
+def test_more_than_a_thousand_admissions_an_hour(spark):
+    df = spark.range(1500).select(F.col("id").alias("event_id"), (F.lit(BASE) + F.expr("make_dt_interval(0, 0, 0, id)")).alias("ts"), F.lit("u").alias("user"))
+    limits = admission.Limits(per_minute=100, cost_per_hour=12.0)
+    assert admission.admit(df, "user", limits).filter("decision = 'admitted'").count() == 1200
+
+
 def test_counters_stream_equals_batch(spark, tmp_path):
     _, df = events(spark, 1500, 6)
     path = jobs.run_to_folder(jobs.request_counters(stream_of(spark, df, tmp_path, 3)), mode="update")
@@ -114,6 +140,6 @@ def test_limiter_travels_without_the_package(tmp_path):
 
     limiter, limits = admission.SlidingLimiter, admission.Limits()
     (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(admission._scan(lambda: limiter(limits))))
-    code = "import pickle, pandas as pd; f = pickle.load(open('f.pkl', 'rb')); print(next(f(iter([pd.DataFrame({'key': [1], 'piece': [1], 'event_id': [1], 'at': [5]})])))['decision'][0])"
+    code = "import pickle, pandas as pd; f = pickle.load(open('f.pkl', 'rb')); print(next(f(iter([pd.DataFrame({'key': [1], 'piece': [1], 'event_id': [1], 'at': [5], 'cost': [1]})])))['decision'][0])"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
     assert out.stdout.strip() == "admitted", out.stderr

@@ -32,29 +32,57 @@ def w5(spark, d):
     return out.select("event_id", "user_id", "requests_last_minute", rounded(F.col("cost_last_hour"), 6).alias("cost_last_hour"))
 
 
-@query("T1_admission")
+# Decisions one after the other: each step takes the next event of every user.
+T1_SQL = """WITH RECURSIVE e AS (
+  SELECT event_id, user_id, epoch_us(ts) AS us, CAST(floor(value / 1000 * 1e6 + 0.5) AS BIGINT) AS cost,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ r AS (
+  SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::VARCHAR AS decision, []::STRUCT(t BIGINT, c BIGINT)[] AS adm
+  FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, rn, event_id, decision, CASE WHEN decision = 'admitted' THEN list_append(kept, struct_pack(t := us, c := cost)) ELSE kept END
+  FROM (SELECT *, CASE WHEN len(list_filter(kept, lambda x: x.t > us - 60000000)) >= 1 THEN 'requests'
+      WHEN coalesce(list_sum(list_transform(kept, lambda x: x.c)), 0) + cost > 60000 THEN 'cost' ELSE 'admitted' END AS decision
+    FROM (SELECT e.user_id, e.rn, e.event_id, e.us, e.cost, list_filter(r.adm, lambda x: x.t > e.us - 3600000000) AS kept
+      FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.rn = r.rn + 1)))
+ SELECT user_id AS key, event_id, decision FROM r WHERE rn > 0"""
+T2_SQL = """WITH RECURSIVE e AS (
+  SELECT event_id, user_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ r AS (
+  SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::VARCHAR AS decision, NULL::BIGINT AS start, 0::BIGINT AS n
+  FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, rn, event_id, CASE WHEN n >= 1 THEN 'dropped' ELSE 'admitted' END, start, least(n + 1, 1)
+  FROM (SELECT e.user_id, e.rn, e.event_id, CASE WHEN fresh THEN e.at ELSE r.start END AS start, CASE WHEN fresh THEN 0 ELSE r.n END AS n
+    FROM (SELECT *, r.user_id AS u FROM r) r JOIN e ON e.user_id IS NOT DISTINCT FROM r.u AND e.rn = r.rn + 1,
+      LATERAL (SELECT r.start IS NULL OR e.at - r.start >= 60000000 AS fresh)))
+ SELECT user_id AS key, event_id, decision FROM r WHERE rn > 0"""
+LIMITS = admission.Limits(per_minute=1, cost_per_hour=0.06)
+
+
+@query("T1_admission", T1_SQL)
 def t1(spark, d):
-    """Admission per event type, a few hot keys, with limits that the data reaches."""
-    limits = admission.Limits(per_minute=2, cost_per_hour=0.2)
-    return admission.admit(table(spark, d, "events"), "event_type", limits)
+    """Admission per user by the cost of each event, with limits that the data reaches."""
+    return admission.admit(table(spark, d, "events"), "user_id", LIMITS, cost=COST)
 
 
-@query("T1_admission_stream")
+@query("T1_admission_stream", T1_SQL)
 def t1s(spark, d):
-    limits = admission.Limits(per_minute=2, cost_per_hour=0.2)
-    stream = jobs.file_stream(spark, d, "events")
-    return spark.read.parquet(jobs.run_to_folder(admission.admit_stream(stream, "event_type", limits))).drop("batch_id")
+    stream, close = jobs.closable(jobs.file_stream(spark, d, "events"))
+    out = admission.admit_stream(stream, "user_id", LIMITS, cost=COST)
+    return spark.read.parquet(jobs.run_to_folder(out, close=close)).drop("batch_id")
 
 
-@query("T2_minute_cap")
+@query("T2_minute_cap", T2_SQL)
 def t2(spark, d):
-    return admission.cap_per_minute(table(spark, d, "events"), "event_type", cap=1)
+    return admission.cap_per_minute(table(spark, d, "events"), "user_id", cap=1)
 
 
-@query("T2_minute_cap_stream")
+@query("T2_minute_cap_stream", T2_SQL)
 def t2s(spark, d):
-    stream = jobs.file_stream(spark, d, "events")
-    return spark.read.parquet(jobs.run_to_folder(admission.cap_stream(stream, "event_type", cap=1))).drop("batch_id")
+    stream, close = jobs.closable(jobs.file_stream(spark, d, "events"))
+    out = admission.cap_stream(stream, "user_id", cap=1)
+    return spark.read.parquet(jobs.run_to_folder(out, close=close)).drop("batch_id")
 
 
 T3_SQL = f"""SELECT date_trunc('minute', ts) AS window_start, count(*) AS requests, {rounded_sql('count(*) / 60::DOUBLE * 100', 6)} AS utilisation_percent, greatest(60 - count(*), 0) AS remaining FROM events GROUP BY 1"""

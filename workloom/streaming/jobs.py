@@ -18,16 +18,36 @@ from workloom.session import shared_folder
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """A table's Parquet files as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
-    )
+    """A table's Parquet files as a stream: those of its folder, or the one file of that name."""
+    path = f"{folder}/{name}.parquet"
+    there = spark.read.parquet(path)
+    stream = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", files_per_trigger)
+    if [f.rsplit("/", 1)[-1] for f in there.inputFiles()] == [f"{name}.parquet"]:
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return stream.parquet(path)
+
+
+def closable(stream: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream with a second, empty source behind it, and a function that puts one row of the far
+    future into that source. A finished input never moves the watermark past its last events; the
+    closing row, sent in a run of its own, does. Its own key waits for ever and gives no output.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    path = f"{shared_folder(spark)}/closing-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+
+    def close() -> None:
+        row = spark.range(1).select(*[
+            (F.lit("2200-01-01 00:00:00") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+        row.write.mode("append").parquet(path)
 
+    return stream.unionByName(spark.readStream.schema(schema).parquet(path)), close
 
-def run_to_folder(df: DataFrame, mode: str = "append", shape: Callable[[DataFrame], DataFrame] | None = None) -> str:
-    """Run a stream over the available input and return the folder it wrote.
+
+def run_to_folder(df: DataFrame, mode: str = "append", shape: Callable[[DataFrame], DataFrame] | None = None,
+                  close: Callable[[], None] | None = None) -> str:
+    """Run a stream over the available input and return the folder it wrote; with ``close`` the run
+    is followed by one over the closing row.
 
     Each micro-batch overwrites its own ``batch_id`` folder, so a batch that is repeated after
     a lost executor leaves the same rows.
@@ -38,13 +58,16 @@ def run_to_folder(df: DataFrame, mode: str = "append", shape: Callable[[DataFram
         out = shape(batch) if shape else batch
         out.write.mode("overwrite").parquet(f"{base}/data/batch_id={batch_id}")
 
-    query = (
-        df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
+    for last in (False, True) if close else (False,):
+        if last:
+            close()
+        query = (
+            df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True).foreachBatch(write).start()
+        )
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
     return f"{base}/data"
 
 
