@@ -14,7 +14,12 @@ CONFIG = (
     "worker_node_type", "cluster_name", "driver_node_type", "worker_count",
     "min_autoscale_workers", "max_autoscale_workers", "spot_availability",
 )
-SALTS = 8
+#: Days of a bucket: joins along time are keyed by (cluster, bucket).
+BUCKET_DAYS = 32
+
+
+def _bucket(at: Column) -> Column:
+    return F.floor(F.unix_date(F.to_date(at)) / BUCKET_DAYS)
 
 
 def _versions(changes: DataFrame) -> DataFrame:
@@ -25,80 +30,65 @@ def _versions(changes: DataFrame) -> DataFrame:
     )
 
 
-def _permanent_spans(days: DataFrame, versions: DataFrame) -> DataFrame:
-    """Disjoint spans of never-deleted versions for each (cluster, day) of ``days``.
+def version_segments(changes: DataFrame) -> DataFrame:
+    """Disjoint spans (cluster_id, version, valid_from, valid_to) with the version that wins in each.
 
-    The version that is already valid when a day begins is carried over from the latest
-    earlier day with a change; that window runs over one row per cluster and day.
+    The log of a cluster is cut at every change and delete. Versions that last are carried on by a
+    running maximum; those with an end meet the cuts inside their life by (cluster, bucket).
     """
-    lasting = versions.filter(F.col("delete_time").isNull()).withColumn("day", F.to_date("change_time"))
-    per_day = lasting.groupBy("cluster_id", "day").agg(F.max("version").alias("last"))
-    before = W.partitionBy("cluster_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    carried = (
-        days.select("cluster_id", "day", F.lit(None).cast(per_day.schema["last"].dataType).alias("last"))
-        .unionByName(per_day)
-        .groupBy("cluster_id", "day").agg(F.max("last").alias("last"))
-        .withColumn("version", F.max("last").over(before))
-        .filter(F.col("version").isNotNull())
-        .select("cluster_id", "day", "version", F.col("day").cast("timestamp_ntz").alias("valid_from"))
-    )
-    changed = lasting.select("cluster_id", "day", "version", F.col("change_time").alias("valid_from"))
-    in_day = W.partitionBy("cluster_id", "day").orderBy("valid_from", "version")
-    return carried.unionByName(changed).withColumn("valid_to", F.lead("valid_from").over(in_day))
-
-
-def _deleted_spans(versions: DataFrame) -> DataFrame:
-    """Versions with an end, repeated for each day of their life; they may overlap."""
+    versions = _versions(changes)
+    lasting = versions.filter(F.col("delete_time").isNull()).select(
+        "cluster_id", F.col("change_time").alias("at"), "version")
     ended = versions.filter(F.col("delete_time") > F.col("change_time"))
-    return ended.select(
-        "cluster_id",
-        F.explode(F.sequence(F.to_date("change_time"), F.to_date("delete_time"))).alias("day"),
-        "version",
-        F.col("change_time").alias("valid_from"), F.col("delete_time").alias("valid_to"),
+    none = F.lit(None).cast(versions.schema["version"].dataType).alias("version")
+    cuts = (
+        lasting.unionByName(ended.select("cluster_id", F.col("change_time").alias("at"), none))
+        .unionByName(ended.select("cluster_id", F.col("delete_time").alias("at"), none))
+        .groupBy("cluster_id", "at").agg(F.max("version").alias("version"))
     )
-
-
-def _salted(spans: DataFrame) -> DataFrame:
-    return spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_time = W.partitionBy("cluster_id").orderBy("at")
+    so_far = by_time.rowsBetween(W.unboundedPreceding, W.currentRow)
+    marked = cuts.select(
+        "cluster_id", "at", F.max("version").over(so_far).alias("lasting"), F.lead("at").over(by_time).alias("valid_to"))
+    lives = ended.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("change_time")), _bucket(F.col("delete_time")))))
+    alive = (
+        marked.select("cluster_id", "at", _bucket(F.col("at")).alias("bucket")).join(lives, ["cluster_id", "bucket"])
+        .filter((F.col("at") >= F.col("change_time")) & (F.col("at") < F.col("delete_time")))
+        .groupBy("cluster_id", "at").agg(F.max("version").alias("ended"))
+    )
+    return marked.join(alive, ["cluster_id", "at"], "left").select(
+        "cluster_id", F.greatest("lasting", "ended").alias("version"), F.col("at").alias("valid_from"), "valid_to",
+    ).filter(F.col("version").isNotNull())
 
 
 def cluster_as_of(history: DataFrame, changes: DataFrame) -> DataFrame:
     """The latest version with change_time <= start that is not deleted at the start.
 
-    Starts are cut to seconds. Statements without a cluster or a match keep null columns.
+    Starts are cut to seconds. The history is read and joined once, on (cluster, bucket of days);
+    starts after today share today's bucket, up to which open spans reach. Statements without a
+    cluster are spread by their id, since they match nothing.
     """
-    versions = _versions(changes)
+    today = _bucket(F.current_date())
+    at = F.date_trunc("second", F.col("start_time").cast("timestamp")).cast("timestamp_ntz")
     keyed = history.withColumns({
-        "at": F.date_trunc("second", F.col("start_time").cast("timestamp")).cast("timestamp_ntz"),
-        "day": F.to_date("start_time"),
-        "salt": F.pmod(F.xxhash64("statement_id"), F.lit(SALTS)).cast("int"),
-    }).withColumn("cluster_id", F.col("compute_id"))
-    days = keyed.filter(F.col("cluster_id").isNotNull()).select("cluster_id", "day").distinct()
-
+        "_at": at,
+        "_bucket": F.when(F.col("compute_id").isNull(), F.xxhash64("statement_id")).otherwise(
+            F.least(_bucket(F.col("start_time")), today)),
+    })
+    first, last = _bucket(F.col("valid_from")), F.coalesce(F.least(_bucket(F.col("valid_to")), today), today)
+    spans = version_segments(changes).select(
+        "cluster_id", "version", "valid_from", "valid_to",
+        F.explode(F.sequence(F.least(first, today), F.greatest(last, F.least(first, today)))).alias("bucket"))
     inside = (
-        (F.col("s.cluster_id") == F.col("v.cluster_id")) & (F.col("s.day") == F.col("v.day"))
-        & (F.col("s.salt") == F.col("v.salt")) & (F.col("s.at") >= F.col("v.valid_from"))
-        & (F.col("v.valid_to").isNull() | (F.col("s.at") < F.col("v.valid_to")))
-    )
-    lasting = _salted(_permanent_spans(days, versions))
-    base = keyed.alias("s").join(lasting.alias("v"), inside, "left").select(
-        "s.*", F.col("v.version").alias("lasting")
-    )
-    # Few statements start inside the life of a deleted version; only those are grouped.
-    ended = _salted(_deleted_spans(versions))
-    narrow = keyed.select("statement_id", "cluster_id", "day", "salt", "at")
-    hits = (
-        narrow.alias("s").join(ended.alias("v"), inside).groupBy("s.statement_id")
-        .agg(F.max("v.version").alias("ended"))
-    )
-    joined = base.join(hits, "statement_id", "left").withColumn(
-        "version", F.greatest("lasting", "ended")
+        (F.col("s.compute_id") == F.col("v.cluster_id")) & (F.col("s._bucket") == F.col("v.bucket"))
+        & (F.col("s._at") >= F.col("v.valid_from"))
+        & (F.col("v.valid_to").isNull() | (F.col("s._at") < F.col("v.valid_to")))
     )
-    return joined.select(
-        *history.columns,
-        F.when(F.col("version").isNotNull(), F.col("cluster_id")).alias("cluster_id"),
-        F.col("version.change_time").alias("change_time"),
-        *[F.col(f"version.{c}").alias(c) for c in CONFIG],
+    return keyed.alias("s").join(spans.alias("v"), inside, "left").select(
+        *[F.col(f"s.{c}") for c in history.columns],
+        F.when(F.col("v.version").isNotNull(), F.col("s.compute_id")).alias("cluster_id"),
+        F.col("v.version.change_time").alias("change_time"),
+        *[F.col(f"v.version.{c}").alias(c) for c in CONFIG],
     )
 
 
