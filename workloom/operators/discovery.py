@@ -84,11 +84,13 @@ def listing(history: DataFrame) -> DataFrame:
 
 
 def workspace_candidates(history: DataFrame, as_of: str, hours: int = 168, min_duration_ms: int = 0,
-                         limit: int = 1000, users: list[str] | None = None,
-                         min_cost_usd: float | None = None) -> DataFrame:
-    """The workspace batch: longest first, limited, and only then filtered by users and cost.
+                         limit: int | None = None, users: list[str] | None = None,
+                         min_cost_usd: float | None = None, limit_first: bool = False) -> DataFrame:
+    """The workspace batch: finished statements that match, all of them unless ``limit`` says how
+    many of the longest are wanted.
 
-    A single user is part of the scan filter, before the limit.
+    ``limit_first`` takes the longest before several users and the cost are looked at, so fewer
+    than ``limit`` rows may match; a single user is always part of the scan filter.
     """
     out = history.filter(
         _since(as_of, hours)
@@ -97,11 +99,14 @@ def workspace_candidates(history: DataFrame, as_of: str, hours: int = 168, min_d
     )
     if users and len(users) == 1:
         out = out.filter(F.col("executed_by") == users[0])
-    out = _top(out, limit, F.desc("total_duration_ms"))
+    if limit is not None and limit_first:
+        out = _top(out, limit, F.desc("total_duration_ms"))
     if users and len(users) > 1:
         out = out.filter(F.col("executed_by").isin(*users))
     if min_cost_usd is not None:
         out = out.filter(F.coalesce(task_cost(F.col("total_task_duration_ms")), F.lit(0.0)) >= min_cost_usd)
+    if limit is not None and not limit_first:
+        out = _top(out, limit, F.desc("total_duration_ms"))
     return out
 
 

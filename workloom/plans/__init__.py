@@ -4,7 +4,7 @@ from importlib import import_module
 
 FAMILIES = (
     "history", "joins", "metrics", "rewrites", "profiles", "detection", "rollups", "rules",
-    "governance", "protection", "retrieval", "streams", "samples",
+    "governance", "protection", "retrieval", "streams", "samples", "workspace",
 )
 
 

@@ -172,7 +172,7 @@ WHERE executed_by IN ('user1', 'user2', 'user3', 'user4', 'user5', 'user6', 'use
 def p8(spark, d):
     return ops.workspace_candidates(
         history(spark, d), AS_OF, hours=720, min_duration_ms=1000,
-        users=[f"user{i}" for i in range(1, 9)], min_cost_usd=0.2,
+        users=[f"user{i}" for i in range(1, 9)], min_cost_usd=0.2, limit=1000, limit_first=True,
     ).select("statement_id", "executed_by", "total_duration_ms")
 
 
