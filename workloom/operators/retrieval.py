@@ -10,15 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workloom.functions.text import shorten  # noqa: F401  (re-exported for callers)
 from workloom.operators.budget import take_until_overflow, take_what_fits
 from workloom.operators.ranking import join_same, spread_by, top_k
 from workloom.session import written
 
-# Priority keywords and their scores; anything else scores 40.
-TOP_WORDS = ("CRITICAL", "MANDATORY", "MUST", "REQUIRED")
-HIGH_WORDS = ("HIGH PRIORITY", "IMPORTANT", "SEVERE", "URGENT", "WARNING")
-PRIORITY_WORDS = ("CRITICAL", "HIGH PRIORITY", "IMPORTANT", "MANDATORY", "MUST", "REQUIRED", "SEVERE", "URGENT", "WARNING")
+# Priority keywords, and those that score 10 and 20; anything else scores 40.
+PRIORITY_WORDS = ("CRITICAL", "HIGH PRIORITY", "IMPORTANT", "MUST", "REQUIRED", "MANDATORY", "SEVERE", "URGENT", "WARNING")
+TOP_WORDS = ("CRITICAL", "MUST", "REQUIRED", "MANDATORY")
+HIGH_WORDS = ("HIGH PRIORITY", "IMPORTANT", "URGENT", "SEVERE", "WARNING")
 
 # Violation classes with the pattern parts that decide them, first class wins.
 VIOLATION_CLASSES = (
@@ -86,7 +85,7 @@ def sections(docs: DataFrame, text: str = "markdown") -> DataFrame:
 def priority_words(heading: Column, content: Column) -> Column:
     up_h, up_c = F.upper(heading), F.upper(content)
     return F.array_compact(F.array(*[
-        F.when(F.contains(up_h, F.lit(w)) | F.contains(up_c, F.lit(w)), F.lit(w)) for w in PRIORITY_WORDS]))
+        F.when(F.contains(up_h, F.lit(w)) | F.contains(up_c, F.lit(w)), F.lit(w)) for w in sorted(PRIORITY_WORDS)]))
 
 
 def priority_score(words: Column) -> Column:
@@ -234,14 +233,13 @@ def metric_lines(text: Column, cls: Column) -> Column:
 
 
 def compressed(df: DataFrame) -> DataFrame:
-    """Compress each distinct (pattern, context, guidelines, metrics) once.
+    """Compress each row's context, guidelines and metrics; needs no shuffle.
 
-    Rows with equal inputs share one result, keyed by the hash of the joined inputs.
+    Rows with equal inputs have equal results and one ``cache_key``, the hash of the joined inputs.
     """
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     key = F.sha2(F.concat_ws("|", F.col("pattern"), empty("context"), empty("guidelines"), empty("metrics")), 256)
-    once = df.withColumn("cache_key", key).dropDuplicates(["cache_key"])
-    once = once.withColumn("cls", violation_class(F.col("pattern")))
+    once = df.withColumn("cache_key", key).withColumn("cls", violation_class(F.col("pattern")))
     once = once.withColumn("words", keywords(F.col("pattern"), F.col("cls")))
     out = once.withColumns({
         "small_context": filtered_context(F.col("context"), F.col("words"), F.col("cls")),
@@ -257,6 +255,12 @@ def compressed(df: DataFrame) -> DataFrame:
         F.col("original_tokens") > 0, F.col("compressed_tokens") / F.col("original_tokens")).otherwise(1.0))
 
 
+def compression_sizes(df: DataFrame) -> DataFrame:
+    """Tokens before and after, once per distinct input; only sizes are shuffled, not texts."""
+    sizes = ("original_tokens", "compressed_tokens", "ratio")
+    return compressed(df).groupBy("cache_key").agg(*[F.max(c).alias(c) for c in sizes])
+
+
 # --- vectors -----------------------------------------------------------------------------------
 
 MAX_QUERIES = 4096

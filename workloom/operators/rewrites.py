@@ -89,11 +89,11 @@ def projection_report(df: DataFrame, wanted: list[str]) -> dict[str, list[str]]:
 
 
 def write_partitioned(spark: SparkSession, df: DataFrame, by: dict[str, Column]) -> str:
-    """Write a partitioned copy below the shared folder and return its path."""
+    """Write a partitioned copy below the shared folder and return its path; large partitions are
+    split by bytes."""
     path = f"{shared_folder(spark)}/partitioned-{uuid.uuid4().hex}"
     keyed = df.withColumns(by)
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(4))
-    keyed.repartition(*by, spread).write.partitionBy(*by).parquet(path)
+    keyed.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
     return path
 
 

@@ -22,7 +22,7 @@ SECTIONS = f"""(SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, trim(re
  CAST(min(line_no) AS BIGINT) AS line_start, CAST(max(line_no) AS BIGINT) AS line_end FROM {LINES} WHERE section_no > 0 GROUP BY doc_id, section_no)"""
 FENCE = "```"
 BLOCKS = f"list_filter(list_transform(regexp_extract_all(content, '(?si){FENCE}(?:sql)?\\s*\\n(.*?)\\n{FENCE}', 1), lambda b: regexp_replace(b, '^\\s+|\\s+$', '', 'g')), lambda b: b <> '')"
-WORDS = "list_filter([" + ", ".join(f"CASE WHEN contains(upper(heading), '{w}') OR contains(upper(content), '{w}') THEN '{w}' END" for w in ops.PRIORITY_WORDS) + "], lambda w: w IS NOT NULL)"
+WORDS = "list_filter([" + ", ".join(f"CASE WHEN contains(upper(heading), '{w}') OR contains(upper(content), '{w}') THEN '{w}' END" for w in sorted(ops.PRIORITY_WORDS)) + "], lambda w: w IS NOT NULL)"
 DESCRIBED = f"""(SELECT *, CASE WHEN list_has_any(words, {list(ops.TOP_WORDS)}) THEN 10 WHEN list_has_any(words, {list(ops.HIGH_WORDS)}) THEN 20 ELSE 40 END AS priority,
  list_sort(list_distinct(list_transform(flatten(list_transform(code_blocks, lambda b: regexp_extract_all(b, '(?i)\\b(?:FROM|JOIN|INTO|TABLE)\\s+([a-z_][a-z0-9_]*(?:\\.[a-z_][a-z0-9_]*)*)', 1))), lambda t: lower(t)))) AS affected_tables,
  length(content) // 4 AS tokens FROM (SELECT *, {WORDS} AS words, {BLOCKS} AS code_blocks FROM {SECTIONS}))"""
@@ -237,7 +237,7 @@ def k14(spark, d):
 def compression(spark, d):
     g = patterned(spark, d)
     metrics = F.concat_ws("\n", F.lit("**Run**"), F.lit("duration 5"), F.lit("memory_util 3"), F.lit("plain"))
-    return ops.compressed(g.select("pattern", F.col("markdown").alias("context"), F.col("markdown").alias("guidelines"), metrics.alias("metrics")))
+    return ops.compression_sizes(g.select("pattern", F.col("markdown").alias("context"), F.col("markdown").alias("guidelines"), metrics.alias("metrics")))
 
 
 METRIC_TEXT = "concat_ws(chr(10), '**Run**', 'duration 5', 'memory_util 3', 'plain')"

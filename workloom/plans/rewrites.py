@@ -88,8 +88,13 @@ def r9(spark, d):
 
 @query("R10_ordered_group_keys", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type")
 def r10(spark, d):
-    keys = r.ordered_keys({"user_id": 1500, "event_type": 5}, ["user_id", "event_type"])
-    return table(spark, d, "events").groupBy(*keys).agg(F.count("*").alias("n"))
+    """The profile of the keys is measured: one row per column."""
+    from workloom.operators.profiles import cardinality_approx
+
+    events = table(spark, d, "events")
+    profile = {x["column_name"]: x["distinct_values"] for x in cardinality_approx(events, ["user_id", "event_type"]).collect()}
+    keys = r.ordered_keys(profile, ["user_id", "event_type"])
+    return events.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 @query("R11_distinct_dropped", "SELECT DISTINCT o_orderkey FROM orders")

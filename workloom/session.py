@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,14 +34,19 @@ def local_session(cpus: int = 8, app: str = "workloom") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, a laptop) gets a fresh temporary folder.
+    Only a local session that names none (tests, a laptop) gets a fresh temporary folder, which
+    goes with the process. On a cluster a folder of one machine would lose rows, so none is made up.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master or 'the cluster'} share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        atexit.register(shutil.rmtree, _OWN_FOLDERS[app], ignore_errors=True)
     return _OWN_FOLDERS[app]
 
 

@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 def write_by_date(df: DataFrame, path: str, time_column: str, date_column: str, mode: str = "overwrite") -> None:
     """Write Parquet partitioned by the day of a time column.
 
-    Rows are spread over (day, salt) first, so a day that holds most rows is written by
-    several tasks and each task keeps few files open.
+    Rows are brought together by day and split by bytes (rebalance), so a day that holds most rows
+    is written by several tasks and each task keeps few files open.
     """
     day = F.to_date(F.col(time_column)).alias(date_column)
-    salted = df.select("*", day).repartition(
-        F.col(date_column), F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    )
-    salted.write.mode(mode).partitionBy(date_column).parquet(path)
+    df.select("*", day).hint("rebalance", date_column).write.mode(mode).partitionBy(date_column).parquet(path)
 
 
 def append_audit(df: DataFrame, path: str) -> None:
