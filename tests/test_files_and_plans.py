@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from workloom.functions import metrics, names, text
 from workloom.operators import rewrites as r
 from workloom.plans import load_all
+from workloom.plans.registry import QUERIES
 from workloom.sources import sinks, workspace
 from workloom.sources.tables import table
 
@@ -123,3 +124,26 @@ def test_names_and_comments(spark):
         text.strip_comments(F.lit("SELECT 1 -- a\n/* b\n c */ FROM t  \n")).alias("e"),
     ).first()
     assert row.asDict() == {"a": "main.default.customers", "b": "main.sales.orders", "c": None, "d": "reserved word", "e": "SELECT 1\n FROM t"}
+
+
+@pytest.mark.parametrize("name", ["J1_cluster_as_of", "A12_cost_rollup"])
+def test_history_is_read_once(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("events.parquet") == 1
+
+
+@pytest.mark.parametrize(("master", "ok"), [("local[4]", True), ("local", True), ("yarn", False), ("local-cluster[2,1,1024]", False), ("spark://h:7077", False)])
+def test_no_folder_of_one_machine_on_a_cluster(master, ok):
+    from types import SimpleNamespace
+
+    from workloom.session import shared_folder
+
+    named = {"spark.master": master}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: named.get(k, d)), sparkContext=SimpleNamespace(applicationId=f"app-{master}"))
+    if ok:
+        assert shared_folder(session).startswith("/tmp/run-")
+    else:
+        with pytest.raises(RuntimeError):
+            shared_folder(session)
+    named["spark.checkpoint.dir"] = "hdfs:///shared"
+    assert shared_folder(session) == "hdfs:///shared"
