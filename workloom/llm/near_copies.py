@@ -9,7 +9,7 @@ MEET times among their first (size - shared + MEET) values in any common order;
 lists stay short, and values of a single class need lists stay short, and values of a single class need no list.
 
 In each list and band of sizes the class with the fewest values of its own is the centre; every member
-is compared with the centres of its lists, and what is confirmed forms components. Components, and
+is compared with what is the centre of CENTRE of its lists, and what is confirmed forms components. Components, and
 classes with their most similar centres, form families. What is left is compared in two ways:
 
 * inside a family, members outside its largest component against all members, in blocks of BLOCK sets
@@ -50,6 +50,7 @@ MEET = 6
 ESTIMATE = 0.8 - 6 * (0.8 * 0.2 / K) ** 0.5
 BLOCK = 512
 HOT = 64
+CENTRE = 3
 SHINGLE = 2
 PERCENT = 80
 
@@ -136,12 +137,14 @@ def _fit(a: str, b: str) -> Column:
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): every class and the centres of its lists, in its own and the next bands of sizes."""
+    """(a, b): every class and the centres of CENTRE or more of its lists, in its own and the next bands
+    of sizes. Similar classes that no centre brings together are compared later."""
     banded = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))))
     centres = banded.groupBy("v", "band").agg(F.max(F.struct("common", "cid", "n")).alias("c")).select(
         "v", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), "c")
     pairs = banded.join(centres, ["v", "band"]).filter(_fit("n", "c.n") & (F.col("cid") != F.col("c.cid")))
-    return pairs.select(F.col("cid").alias("a"), F.col("c.cid").alias("b")).distinct()
+    return pairs.groupBy(F.col("cid").alias("a"), F.col("c.cid").alias("b")).agg(F.count("*").alias("lists")).filter(
+        F.col("lists") >= CENTRE).select("a", "b")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
@@ -155,13 +158,13 @@ def likely(pairs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
     return held.select("a", "b", share.alias("share")).filter(F.col("share") >= ESTIMATE)
 
 
-def families(stars: DataFrame, links: DataFrame) -> DataFrame:
-    """(cid, root, fam) of all classes in ``stars``: root by confirmed links, fam by links and each
+def families(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cid, root, fam) of all classes in ``stars``: root by confirmed links, fam by roots and each
     class's most similar centre."""
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
     own = stars.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    fams = _roots(links.unionByName(best)).select(F.col("u").alias("f"), F.col("root").alias("fam"))
-    return own.join(_roots(links), F.col("cid") == F.col("u"), "left").join(fams, F.col("cid") == F.col("f"), "left").select(
+    fams = _roots(_edges(roots).unionByName(best)).select(F.col("u").alias("f"), F.col("root").alias("fam"))
+    return own.join(roots, F.col("cid") == F.col("u"), "left").join(fams, F.col("cid") == F.col("f"), "left").select(
         "cid", F.coalesce("root", "cid").alias("root"), F.coalesce("fam", "cid").alias("fam"))
 
 
@@ -330,14 +333,19 @@ def near_components(docs: DataFrame) -> DataFrame:
     stars = kept(likely(star_pairs(lists), classes), "stars")
     sets = _sets_for(docs, classes, stars)
     first = kept(confirmed(stars, sets), "links")
-    placed = kept(families(stars, first), "families")
+    roots = _roots(first)
+    placed = kept(families(stars, roots), "families")
     inside = kept(links_in_families(placed, sets), "links")
     rest = kept(cross_pairs(lists, placed, classes), "cross")
     across = confirmed(rest, _sets_for(docs, classes, rest))
-    final = _roots(first.unionByName(inside).unionByName(across))
+    final = _roots(_edges(roots).unionByName(inside).unionByName(across))
     return named(rows, classes, final)
 
 
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("u").alias("a"), F.col("root").alias("b"))
+
+
 def _roots(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("v", "root")
 
