@@ -77,7 +77,7 @@ ORACLES: dict[str, str] = {
           FROM documents),
         s AS (
           SELECT doc_id, list_distinct(CASE WHEN len(words) >= 2
-            THEN list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1]) ELSE words END) AS set FROM w),
+            THEN list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) ELSE words END) AS set FROM w),
         sets AS (SELECT doc_id, md5(list_aggregate(list_sort(set), 'string_agg', chr(10))) AS class, set, len(set) AS n FROM s),
         reps AS (SELECT class, min(doc_id) AS rep, any_value(set) AS set, any_value(n) AS n FROM sets WHERE n > 0 GROUP BY class),
         flat AS (SELECT rep, n, unnest(set) AS x FROM reps),
@@ -101,14 +101,14 @@ ORACLES: dict[str, str] = {
     "op10_host_rules": rf"""
         WITH w AS (
           SELECT doc_id, source, coalesce(text, '') AS text, {WORDS} AS words,
-            list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
           FROM documents),
         win AS (
           SELECT doc_id, i, words[i:i + 7] AS x FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
         twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
         rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY doc_id),
         m AS (
-          SELECT w.doc_id, source, len(words) AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS word_chars,
+          SELECT w.doc_id, source, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
             len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines,
             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
           FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),

@@ -137,7 +137,9 @@ def template_items(benchmark: DataFrame) -> DataFrame:
     names = rows.groupBy("template").agg(
         F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"),
         F.count_distinct("place").alias("n_windows"))
-    one = rows.dropDuplicates(["template", "place"]).select("template", "place", "h", F.col("slots").alias("item_slots"))
+    # The windows of the item that names the class.
+    one = rows.groupBy("template", "place").agg(F.min_by(F.struct("h", "slots"), "item_id").alias("x")).select(
+        "template", "place", "x.h", F.col("x.slots").alias("item_slots"))
     return one.join(names, "template")
 
 
@@ -163,7 +165,8 @@ def document_windows(docs: DataFrame, known: Bitmap) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per contaminated document and item class: doc_id, th, item_id, n_items, coverage, exact."""
+    """One row per contaminated document and item class: doc_id, th, item_id, n_items, coverage, and
+    exact (all slots are those of the item that names the class)."""
     items = kept(template_items(benchmark), "item-windows")
     found = document_windows(docs, Bitmap.of(items, "h")).join(items, "h")
     shift = F.col("at") - F.col("place")
