@@ -196,6 +196,24 @@ def test_leaks_of_all_documents(spark, texts):
     assert got == want
 
 
+RUNS = [
+    "Who among the many guests that came there were Anna Brown, Carl Davis, Emma Fox and Greg Hall who left early that night?",
+    "Please explain how to continue the series 2, 4, 8, 16, 32, 64, 128 and why the rule must hold for ever.",
+    "Find the mean of the values 3 7 9 12 15 18 21 24 30 33 and then say which of them lies closest to it.",
+    "We met Ann Bo Cy Di Ed Flo near the river and walked on to the old mill with them.",
+    "Add the words one two three four five six seven eight and compare the sum with that of the other row.",
+]
+
+
+def test_exact_copies_of_runs_of_slots(spark):
+    bench = spark.createDataFrame(list(enumerate(RUNS)), "item_id bigint, text string")
+    places = [(k, shift) for k in range(len(RUNS)) for shift in range(16)]
+    docs = [(n, "so " * shift + RUNS[k] + " " + FILL) for n, (k, shift) in enumerate(places)]
+    got = template_leaks.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(n, k) for n, (k, _) in enumerate(places)}
+    assert all(r["exact"] for r in got)
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, brute.small("word0 said0 word1 said1 word2 said2 word3 said3"), "x")], "item_id bigint, text string, h string")
     found = template_leaks.contaminated(odd, bench)

@@ -1,11 +1,13 @@
 """Benchmark decontamination on templates, to catch copied and re-parameterised questions.
 
 Words lose outer punctuation and case. Numbers (also written-out ones), capitalised words and units
-after numbers become typed placeholders; what stood there is kept as a slot value. Windows of five
-template words of the benchmark and of the documents are joined by hash, and carry their slots along.
-A passage of a document holds an item if, near one alignment, windows of at least 80 % of the item's
-places are found and the slots agree: each slot value of the item always becomes the same value of the
-document (``SLOTS`` of the distinct values at least).
+after numbers become typed placeholders; what stood there is a slot value. Windows of five
+template words of the benchmark and of the documents are joined by hash.
+A passage of a document is a candidate if, near one alignment, windows of at least 80 % of the item's
+places are found. Candidates are decided on the texts: item and passage are aligned word by word, 80 %
+of the item's words must stand in line, and the slots of this alignment agree: each slot value of the
+item always becomes the same value of the document (``SLOTS`` of the distinct values at least). Equal
+windows at other shifts, as in runs of names or numbers, contradict nothing.
 
 Items of one template and one slot pattern form a class, named by the smallest item_id, so a family of
 like questions is met once. Before the join a bitmap of fixed size drops document windows that no
@@ -67,11 +69,11 @@ def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray):
-    """Template hash, slot hash (0 without a slot), first-word bounds of each row of a slice."""
+def _trimmed(data: np.ndarray, offsets: np.ndarray):
+    """Words without outer punctuation: start, end, first-word bounds of each row."""
     words = find_words(data, offsets)
     start, end = words.start.copy(), words.end.copy()
-    while len(start):  # outer punctuation, one sign a turn
+    while len(start):  # one sign a turn
         cut = (start < end - 1) & ~_WORDY[data[start]]
         if not cut.any():
             break
@@ -81,109 +83,215 @@ def canonical(data: np.ndarray, offsets: np.ndarray):
         if not cut.any():
             break
         end[cut] -= 1
+    return start, end, words.first
+
+
+def canonical(raw: tuple[np.ndarray, np.ndarray], lower: tuple[np.ndarray, np.ndarray]):
+    """Word hash, template hash, first-word bounds of each row of a slice, given as bytes and offsets,
+    and once more in lower case (which leaves the places of the words)."""
+    data, offsets = lower
+    start, end, first = _trimmed(data, offsets)
     hashes = span_hashes(data, start, end, byte_codes(fold_case=True))
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
     numeric = np.concatenate(([0], np.cumsum(_NUMERIC[data])))
     is_number = (digits[end] > digits[start]) & (numeric[end] - numeric[start] == end - start)
     is_number |= _among(hashes, _hashes(NUMBER_WORDS))
-    follows = np.concatenate(([False], is_number[:-1]))[: len(start)] & ~np.isin(np.arange(len(start)), words.first)
+    follows = np.concatenate(([False], is_number[:-1]))[: len(start)] & ~np.isin(np.arange(len(start)), first)
     is_unit = follows & ~is_number & _among(hashes, _hashes(UNIT_WORDS))
-    is_name = ~is_number & ~is_unit & _UPPER[data[start]] if len(start) else np.zeros(0, bool)
+    upper = _UPPER[raw[0][_trimmed(*raw)[0]]] if len(start) else np.zeros(0, bool)
+    is_name = ~is_number & ~is_unit & upper
     template = np.where(is_number, NUMBER, np.where(is_unit, UNIT, np.where(is_name, NAME, hashes)))
-    slot = np.where(is_number | is_unit | is_name, hashes | np.uint64(1), np.uint64(0))
-    return template, slot, words.first
+    return hashes, template, first
+
 
+def _placeholder(template: np.ndarray) -> np.ndarray:
+    return (template == NAME) | (template == NUMBER) | (template == UNIT)
 
-def _window_rows(data, offsets):
-    """Per window: row of the slice, place, hash, and the slot values inside it."""
-    template, slot, first = canonical(data, offsets)
-    h, at = windows(template, first, WINDOW)
-    row = np.searchsorted(first, at, "right") - 1
-    inside = at[:, None] + np.arange(WINDOW) if len(at) else np.zeros((0, WINDOW), np.int64)
-    return row, at - first[row] if len(at) else at, h, slot[inside] if len(at) else np.zeros((0, WINDOW), np.uint64)
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple, tuple]]:
+    """Row ranges of a batch with their texts, and these in lower case."""
+    both = flat(batch.column("text")), flat(batch.column("lower"))
+    for low, high in slices(both[0][1]):
+        yield low, high, *((d[o[low] : o[high]], o[low : high + 1] - o[low]) for d, o in both)
 
-def _slot_lists(slots: np.ndarray) -> pa.Array:
-    has = slots != 0
-    return list_array(signed(slots[has]), has.sum(axis=1), pa.int64())
+
+def _key(run: np.ndarray, pattern: np.ndarray) -> int:
+    x = mix(run * np.uint64(3) + pattern) * (2 * np.arange(len(run), dtype=np.uint64) + np.uint64(1))
+    return int(signed(mix(x.sum(keepdims=True, dtype=np.uint64) + np.uint64(len(run))))[0])
 
 
 def template_items(benchmark: DataFrame) -> DataFrame:
-    """Per class of items: item_id (the smallest), n_items, and its windows (h, place, slots)."""
+    """Per class of items: item_id (the smallest), n_items, and its words, templates and windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            for low, high in slices(offsets):
-                part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-                template, slot, first = canonical(part, at)
-                row, place, h, slots = _window_rows(part, at)
+            for low, high, raw, lower in _slices(batch):
+                word, template, first = canonical(raw, lower)
+                h, at = windows(template, first, WINDOW)
                 keys = []
                 for k in range(high - low):
-                    run, own = template[first[k] : first[k + 1]], slot[first[k] : first[k + 1]]
+                    run, own = template[first[k] : first[k + 1]], word[first[k] : first[k + 1]]
                     # Number the slot values by their first use: equal patterns, equal keys.
-                    _, where, inverse = np.unique(own, return_index=True, return_inverse=True)
-                    pattern = where[inverse].astype(np.uint64)
-                    x = mix(run * np.uint64(3) + pattern) * (2 * np.arange(len(run), dtype=np.uint64) + np.uint64(1))
-                    keys.append(int(signed(mix(x.sum(keepdims=True, dtype=np.uint64) + np.uint64(len(run))))[0]))
+                    _, where, inverse = np.unique(
+                        np.where(_placeholder(run), own | np.uint64(1), np.uint64(0)), return_index=True, return_inverse=True)
+                    keys.append(_key(run, where[inverse].astype(np.uint64)))
+                sizes = np.diff(first)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("item_id").take(pa.array(row + low, pa.int64())),
-                    pa.array(np.array(keys, np.int64)[row], pa.int64()), pa.array(place, pa.int64()),
-                    pa.array(signed(h), pa.int64()), _slot_lists(slots),
-                ], ["item_id", "template", "place", "h", "slots"])
-
-    rows = kept(benchmark.select("item_id", "text").mapInArrow(
-        work, "item_id bigint, template bigint, place bigint, h bigint, slots array<bigint>"), "items")
-    names = rows.groupBy("template").agg(
+                    batch.column("item_id").slice(low, high - low), pa.array(keys, pa.int64()),
+                    list_array(signed(word), sizes, pa.int64()), list_array(signed(template), sizes, pa.int64()),
+                    list_array(signed(h), np.maximum(sizes - WINDOW + 1, 0), pa.int64()),
+                ], ["item_id", "template", "words", "templates", "named"])
+
+    rows = kept(benchmark.select("item_id", "text", F.lower("text").alias("lower")).mapInArrow(
+        work, "item_id bigint, template bigint, words array<bigint>, templates array<bigint>, named array<bigint>",
+    ).filter(F.size("named") > 0), "items")
+    # The texts of the item that names the class.
+    return rows.groupBy("template").agg(
         F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"),
-        F.count_distinct("place").alias("n_windows"))
-    # The windows of the item that names the class.
-    one = rows.groupBy("template", "place").agg(F.min_by(F.struct("h", "slots"), "item_id").alias("x")).select(
-        "template", "place", "x.h", F.col("x.slots").alias("item_slots"))
-    return one.join(names, "template")
+        F.min_by(F.struct("words", "templates", "named"), "item_id").alias("x")).select(
+        F.col("template").alias("variant"), "item_id", "n_items", "x.*")
 
 
 def document_windows(docs: DataFrame, known: Bitmap) -> DataFrame:
-    """Windows of documents that pass the bitmap: doc_id, text hash, place, h, slots."""
+    """Windows of documents that pass the bitmap: doc_id, text hash, place, h."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            for low, high in slices(offsets):
-                row, place, h, slots = _window_rows(
-                    data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+            for low, high, raw, lower in _slices(batch):
+                word, template, first = canonical(raw, lower)
+                h, at = windows(template, first, WINDOW)
+                row = np.searchsorted(first, at, "right") - 1
                 hit = known.has(h)
                 if hit.any():
                     take = pa.array(row[hit] + low, pa.int64())
                     yield pa.RecordBatch.from_arrays([
                         batch.column("doc_id").take(take), batch.column("th").take(take),
-                        pa.array(place[hit], pa.int64()), pa.array(signed(h[hit]), pa.int64()), _slot_lists(slots[hit]),
-                    ], ["doc_id", "th", "at", "h", "slots"])
+                        pa.array((at - first[row])[hit], pa.int64()), pa.array(signed(h[hit]), pa.int64()),
+                    ], ["doc_id", "th", "at", "h"])
+
+    return docs.select("doc_id", "text", F.lower("text").alias("lower"), F.xxhash64("text").alias("th")).mapInArrow(
+        work, "doc_id bigint, th bigint, at bigint, h bigint")
+
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(
-        work, "doc_id bigint, th bigint, at bigint, h bigint, slots array<bigint>")
+def texts_of(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(th, text, lower): each candidate text once; the others are dropped before the shuffle."""
+    known = Bitmap.of(candidates, "th")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known.has(batch.column("th").to_numpy(zero_copy_only=False))))
+
+    return docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(work, "th bigint, text string").dropDuplicates(
+        ["th"]).select("th", "text", F.lower("text").alias("lower"))
+
+
+def _diagonals(match: np.ndarray) -> np.ndarray:
+    """All alignments without a gap, one a row, of a matrix item words x document words."""
+    n, wide = match.shape
+    x, y = match.strides
+    return np.lib.stride_tricks.as_strided(match, (wide - n + 1, n), (y, x + y))
+
+
+def align(match: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Item places and document places that stand in line: as many as can, by preference equal words.
+    A matching word may lie up to ten document words off the rest, a longer part farther."""
+    rows = _diagonals(match)
+    counts = rows.sum(axis=1) * 1000 + _diagonals(same).sum(axis=1)
+    best = int(counts.argmax())
+    n, wide = match.shape
+    if counts[best] >= 1000 * n:
+        return np.arange(n), np.arange(n) + best
+    gap, step = 100, np.arange(wide + 1) * 100
+    gain = np.where(match, 1000 + same, -1).astype(np.int64)
+    scores = np.zeros((n + 1, wide + 1), np.int64)
+    for i in range(n):
+        row = scores[i] - 1
+        row[1:] = np.maximum(row[1:], scores[i, :-1] + gain[i])
+        scores[i + 1] = np.maximum.accumulate(row + step) - step
+    i, j = n, int(scores[n].argmax())
+    pairs = []
+    while i and j:
+        if scores[i, j] == scores[i - 1, j - 1] + gain[i - 1, j - 1]:
+            i, j = i - 1, j - 1
+            if match[i, j]:
+                pairs.append((i, j))
+        elif scores[i, j] == scores[i - 1, j] - 1:
+            i -= 1
+        else:
+            j -= 1
+    out = np.array(pairs[::-1], np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
+def held(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], grid: int):
+    """Whether a text holds an item near one alignment, given both as words and templates: None, or the
+    share of the item's words that stand in line, and whether all slots are equal."""
+    (iw, it), n = item, len(item[0])
+    low = (grid - 1) * DRIFT
+    places = np.arange(low, low + 3 * DRIFT + n)
+    inside = (places >= 0) & (places < len(doc[0]))
+    dw, dt = (np.where(inside, x[np.clip(places, 0, len(x) - 1)], np.uint64(0)) for x in doc)
+    slot = _placeholder(it)
+    need = COVERAGE * n
+    if (np.isin(it, dt)).sum() < need:
+        return None
+    same = iw[:, None] == dw[None, :]
+    match = it[:, None] == dt[None, :]
+    i, j = align(match, same)
+    if len(i) < need:
+        return None
+    at = slot[i]
+    pairs = set(zip(iw[i[at]].tolist(), dw[j[at]].tolist()))
+    if len({x for x, _ in pairs}) < SLOTS * len(pairs):
+        return None
+    return len(i) / n, all(x == y for x, y in pairs)
+
+
+def verified(candidates: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(th, item_id, n_items, coverage, exact) of the candidates (th, variant, grids) that hold."""
+    by_text = candidates.join(items.select("variant", "item_id", "n_items", "words", "templates"), "variant").groupBy("th").agg(
+        F.collect_list(F.struct("item_id", "n_items", "words", "templates", "grids")).alias("items"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["th", "item_id", "n_items", "coverage", "exact"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+        unsigned = lambda x: np.array(x, np.int64).view(np.uint64)
+        for batch in batches:
+            out: list[tuple] = []
+            for low, high, raw, lower in _slices(batch):
+                word, template, first = canonical(raw, lower)
+                for k in range(low, high):
+                    run = slice(first[k - low], first[k - low + 1])
+                    for x in batch.column("items")[k].as_py():
+                        item = unsigned(x["words"]), unsigned(x["templates"])
+                        for grid in x["grids"]:
+                            got = held(item, (word[run], template[run]), grid)
+                            if got:
+                                out.append((batch.column("th")[k].as_py(), x["item_id"], x["n_items"], *got))
+            columns = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    rows = texts.join(by_text, "th").select("th", "text", "lower", "items").mapInArrow(
+        work, "th bigint, item_id bigint, n_items bigint, coverage double, exact boolean")
+    return rows.groupBy("th", "item_id", "n_items").agg(F.max("coverage").alias("coverage"), F.max("exact").alias("exact"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated document and item class: doc_id, th, item_id, n_items, coverage, and
     exact (all slots are those of the item that names the class)."""
-    items = kept(template_items(benchmark), "item-windows")
-    found = document_windows(docs, Bitmap.of(items, "h")).join(items, "h")
+    items = kept(template_items(benchmark), "item-classes")
+    places = items.select("variant", F.size("named").alias("n_windows"), F.posexplode("named").alias("place", "h"))
+    found = document_windows(docs, Bitmap.of(places, "h")).join(places, "h")
     shift = F.col("at") - F.col("place")
-    near = found.select(
-        "doc_id", "th", "item_id", "n_items", "n_windows", "place",
-        F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs"),
-        # Two grids of passages, half a step apart: alignments that lie close share one of them.
-        F.explode(F.array(F.floor(shift / DRIFT) * 2, F.floor((shift + DRIFT // 2) / DRIFT) * 2 + 1)).alias("grid"))
-    passages = near.groupBy("doc_id", "th", "item_id", "n_items", "n_windows", "grid").agg(
-        F.size(F.collect_set("place")).alias("matched"),  # at most the item's places
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    held = passages.filter(F.col("matched") >= COVERAGE * F.col("n_windows")).filter(
-        (F.size("pairs") == 0) | (values >= SLOTS * F.size("pairs")))
-    same = ~F.exists("pairs", lambda p: p["i"] != p["d"])
-    return held.groupBy("doc_id", "th", "item_id", "n_items").agg(
-        F.max(F.col("matched") / F.col("n_windows")).alias("coverage"), F.max(same).alias("exact"))
+    # Two grids of passages, half a step apart: alignments that lie close share one of them.
+    near = found.select("doc_id", "th", "variant", "n_windows", "place", F.explode(F.array(
+        F.floor(shift / DRIFT) * 2, F.floor((shift + DRIFT // 2) / DRIFT) * 2 + 1)).alias("grid"))
+    near = near.groupBy("doc_id", "th", "variant", "n_windows", "grid").agg(
+        F.count_distinct("place").alias("matched")).filter(F.col("matched") >= COVERAGE * F.col("n_windows"))
+    near = kept(near.select("doc_id", "th", "variant", F.floor(F.col("grid") / 2).alias("grid")).distinct(), "candidates")
+    candidates = near.groupBy("th", "variant").agg(F.collect_set("grid").alias("grids"))
+    return verified(candidates, texts_of(docs, near), items).join(near.select("doc_id", "th").distinct(), "th").select(
+        "doc_id", "th", "item_id", "n_items", "coverage", "exact")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
