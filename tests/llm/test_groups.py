@@ -154,6 +154,34 @@ def test_planted_passages(spark):
         assert abs(len(x & y) / len(x | y) - r["similarity"]) < 1e-9
 
 
+def test_passages_behind_fragments_and_lines(spark):
+    """Two full copies at large ids, and at smaller ids fragments of them, or the lines they consist of."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(1_000_000)}"
+    texts, full = {}, []
+
+    def put(inner):
+        texts[len(texts) + 1] = " ".join([word() for _ in range(60)] + inner + [word() for _ in range(60)])
+
+    for trial in range(120):
+        if trial % 3 == 0:
+            parts = [[word() for _ in range(20)] for _ in range(3)]
+            fragments, passage = parts, sum(parts, [])
+        elif trial % 3 == 1:
+            parts = [[word() for _ in range(14)] for _ in range(4)]
+            fragments, passage = parts, sum(parts, [])
+        else:
+            passage = [word() for _ in range(60)]
+            fragments = [passage[:40], passage[20:], passage[:45]]
+        for inner in fragments:
+            put(inner)
+        for _ in range(2):
+            put(passage)
+            full.append(len(texts))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert named(compact_windows.repeated_passages(docs).collect()) == set(full)
+
+
 def test_repeated_passages_of_odd_rows(odd, none):
     assert named(compact_windows.repeated_passages(odd).collect()) == {5, 6, 7, 11, 12}
     assert compact_windows.repeated_passages(none).count() == 0
