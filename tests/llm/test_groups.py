@@ -182,6 +182,16 @@ def test_passages_behind_fragments_and_lines(spark):
     assert named(compact_windows.repeated_passages(docs).collect()) == set(full)
 
 
+def test_pairs_never_looked_at_meet_in_the_second_round(spark):
+    """Documents 2 and 3 share token and left half; the head of their group reaches too few tokens."""
+    place = lambda at, before, after, left: at << 36 | before << 28 | after << 22 | left << 11
+    rows = [(5, 1, place(9, 9, 8, 0), 1), (5, 2, place(40, 40, 20, 7), 1), (5, 3, place(60, 45, 30, 7), 1), (5, 4, place(60, 45, 30, 8), 1)]
+    shared = spark.createDataFrame(rows, "sig bigint, doc_id bigint, place bigint, a bigint")
+    found = spark.createDataFrame([], "doc_id bigint, with_id bigint, first_word bigint, last_word bigint, with_first bigint, with_last bigint")
+    assert compact_windows.star_candidates(shared).count() == 0
+    assert [tuple(r) for r in compact_windows.neighbours(shared, found).collect()] == [(2, 3, 40, 60)]
+
+
 def test_repeated_passages_of_odd_rows(odd, none):
     assert named(compact_windows.repeated_passages(odd).collect()) == {5, 6, 7, 11, 12}
     assert compact_windows.repeated_passages(none).count() == 0
