@@ -252,6 +252,16 @@ def test_exact_copies_of_runs_of_slots(spark):
     assert all(r["exact"] for r in got)
 
 
+def test_copies_in_other_case(spark):
+    texts = [ITEMS[0][1], ITEMS[2][1], *RUNS, "Lo Que Ñandú y Élan miden en Madrid, Sevilla y Cádiz es 12 veces lo que Ana Ruiz vio."]
+    texts.append(texts[0].replace("Anna", "Zoe"))  # not the item that names its class
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    docs = [(3 * k + n, f"{FILL}{of(x)} {FILL}") for k, x in enumerate(texts) for n, of in enumerate((str.lower, str.upper, str.title))]
+    got = template_leaks.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    named_by = {len(texts) - 1: 0}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, named_by.get(d // 3, d // 3)) for d, _ in docs}
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, brute.small("word0 said0 word1 said1 word2 said2 word3 said3"), "x")], "item_id bigint, text string, h string")
     found = template_leaks.contaminated(odd, bench)

@@ -2,7 +2,8 @@
 
 Words lose outer punctuation and case. Numbers (also written-out ones), capitalised words and units
 after numbers become typed placeholders; what stood there is a slot value. Windows of five
-template words of the benchmark and of the documents are joined by hash.
+template words of the benchmark and of the documents are joined by hash, and beside them windows in
+which names stay words: case tells names, so a copy in lower or upper case has other ones.
 A passage of a document is a candidate if, near one alignment, windows of at least 80 % of the item's
 places are found. Candidates are decided on the texts: item and passage are aligned word by word, 80 %
 of the item's words must stand in line, and the slots of this alignment agree: each slot value of the
@@ -108,6 +109,13 @@ def _placeholder(template: np.ndarray) -> np.ndarray:
     return (template == NAME) | (template == NUMBER) | (template == UNIT)
 
 
+def _both_windows(word: np.ndarray, template: np.ndarray, first: np.ndarray):
+    """Hashes of all windows with names as placeholders, and as the words they are; and their first words."""
+    h, at = windows(template, first, WINDOW)
+    plain, _ = windows(np.where(template == NAME, word, template), first, WINDOW)
+    return h, plain, at
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple, tuple]]:
     """Row ranges of a batch with their texts, and these in lower case."""
     both = flat(batch.column("text")), flat(batch.column("lower"))
@@ -121,35 +129,41 @@ def _key(run: np.ndarray, pattern: np.ndarray) -> int:
 
 
 def template_items(benchmark: DataFrame) -> DataFrame:
-    """Per class of items: item_id (the smallest), n_items, and its words, templates and windows."""
+    """Per variant of a class of items: item_id (the smallest), n_items, and its words, templates and windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, raw, lower in _slices(batch):
                 word, template, first = canonical(raw, lower)
-                h, at = windows(template, first, WINDOW)
-                keys = []
+                h, plain, _ = _both_windows(word, template, first)
+                keys, variants = [], []
                 for k in range(high - low):
                     run, own = template[first[k] : first[k + 1]], word[first[k] : first[k + 1]]
                     # Number the slot values by their first use: equal patterns, equal keys.
                     _, where, inverse = np.unique(
                         np.where(_placeholder(run), own | np.uint64(1), np.uint64(0)), return_index=True, return_inverse=True)
                     keys.append(_key(run, where[inverse].astype(np.uint64)))
+                    variants.append(_key(np.where(run == NAME, own, run), np.full(len(run), keys[-1], np.int64).view(np.uint64)))
                 sizes = np.diff(first)
+                n_windows = np.maximum(sizes - WINDOW + 1, 0)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("item_id").slice(low, high - low), pa.array(keys, pa.int64()),
+                    batch.column("item_id").slice(low, high - low), pa.array(keys, pa.int64()), pa.array(variants, pa.int64()),
                     list_array(signed(word), sizes, pa.int64()), list_array(signed(template), sizes, pa.int64()),
-                    list_array(signed(h), np.maximum(sizes - WINDOW + 1, 0), pa.int64()),
-                ], ["item_id", "template", "words", "templates", "named"])
+                    list_array(signed(h), n_windows, pa.int64()), list_array(signed(plain), n_windows, pa.int64()),
+                ], ["item_id", "template", "variant", "words", "templates", "named", "plain"])
 
     rows = kept(benchmark.select("item_id", "text", F.lower("text").alias("lower")).mapInArrow(
-        work, "item_id bigint, template bigint, words array<bigint>, templates array<bigint>, named array<bigint>",
+        work, "item_id bigint, template bigint, variant bigint, words array<bigint>, templates array<bigint>, "
+              "named array<bigint>, plain array<bigint>",
     ).filter(F.size("named") > 0), "items")
-    # The texts of the item that names the class.
-    return rows.groupBy("template").agg(
-        F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"),
-        F.min_by(F.struct("words", "templates", "named"), "item_id").alias("x")).select(
-        F.col("template").alias("variant"), "item_id", "n_items", "x.*")
+    classes = rows.groupBy("template").agg(
+        F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"))
+    # Items of a class that differ in names are its variants; placeholders are met with the one that
+    # names the class only.
+    variants = rows.groupBy("template", "variant").agg(
+        F.min("item_id").alias("least"), F.min_by(F.struct("words", "templates", "named", "plain"), "item_id").alias("x"))
+    return variants.join(classes, "template").select(
+        "variant", "item_id", "n_items", (F.col("least") == F.col("item_id")).alias("leads"), "x.*")
 
 
 def document_windows(docs: DataFrame, known: Bitmap) -> DataFrame:
@@ -159,7 +173,9 @@ def document_windows(docs: DataFrame, known: Bitmap) -> DataFrame:
         for batch in batches:
             for low, high, raw, lower in _slices(batch):
                 word, template, first = canonical(raw, lower)
-                h, at = windows(template, first, WINDOW)
+                h, plain, at = _both_windows(word, template, first)
+                other = np.flatnonzero(plain != h)
+                h, at = np.concatenate((h, plain[other])), np.concatenate((at, at[other]))
                 row = np.searchsorted(first, at, "right") - 1
                 hit = known.has(h)
                 if hit.any():
@@ -233,10 +249,10 @@ def held(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray]
     dw, dt = (np.where(inside, x[np.clip(places, 0, len(x) - 1)], np.uint64(0)) for x in doc)
     slot = _placeholder(it)
     need = COVERAGE * n
-    if (np.isin(it, dt)).sum() < need:
+    if (np.isin(iw, dw) | slot & np.isin(it, dt)).sum() < need:
         return None
     same = iw[:, None] == dw[None, :]
-    match = it[:, None] == dt[None, :]
+    match = same | (slot[:, None] & (it[:, None] == dt[None, :]))
     i, j = align(match, same)
     if len(i) < need:
         return None
@@ -249,8 +265,8 @@ def held(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray]
 
 def verified(candidates: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
     """(th, item_id, n_items, coverage, exact) of the candidates (th, variant, grids) that hold."""
-    by_text = candidates.join(items.select("variant", "item_id", "n_items", "words", "templates"), "variant").groupBy("th").agg(
-        F.collect_list(F.struct("item_id", "n_items", "words", "templates", "grids")).alias("items"))
+    by_text = candidates.join(items.select("variant", "item_id", "n_items", "leads", "words", "templates"), "variant").groupBy("th").agg(
+        F.collect_list(F.struct("item_id", "n_items", "leads", "words", "templates", "grids")).alias("items"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["th", "item_id", "n_items", "coverage", "exact"]
@@ -267,7 +283,7 @@ def verified(candidates: DataFrame, texts: DataFrame, items: DataFrame) -> DataF
                         for grid in x["grids"]:
                             got = held(item, (word[run], template[run]), grid)
                             if got:
-                                out.append((batch.column("th")[k].as_py(), x["item_id"], x["n_items"], *got))
+                                out.append((batch.column("th")[k].as_py(), x["item_id"], x["n_items"], got[0], got[1] and x["leads"]))
             columns = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
@@ -280,7 +296,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated document and item class: doc_id, th, item_id, n_items, coverage, and
     exact (all slots are those of the item that names the class)."""
     items = kept(template_items(benchmark), "item-classes")
-    places = items.select("variant", F.size("named").alias("n_windows"), F.posexplode("named").alias("place", "h"))
+    places = items.select("variant", "leads", F.size("named").alias("n_windows"), F.posexplode(
+        F.arrays_zip("named", "plain")).alias("place", "x"))
+    hashes = F.when(F.col("leads"), F.array_distinct(F.array("x.named", "x.plain"))).when(
+        F.col("x.named") != F.col("x.plain"), F.array("x.plain"))
+    places = places.select("variant", "n_windows", "place", F.explode(hashes).alias("h"))
     found = document_windows(docs, Bitmap.of(places, "h")).join(places, "h")
     shift = F.col("at") - F.col("place")
     # Two grids of passages, half a step apart: alignments that lie close share one of them.
