@@ -262,6 +262,23 @@ def test_copies_in_other_case(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, named_by.get(d // 3, d // 3)) for d, _ in docs}
 
 
+def test_edited_and_partial_copies(spark):
+    item = ITEMS[2][1]
+    words = item.split()
+    rng = random.Random(3)
+    long = [f"x{rng.randrange(10**6)}y" for _ in range(59)]
+    cases = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(1, len(words) - 1)]
+    cases += [" ".join([*words[:k], "other", *words[k:]]) for k in range(1, len(words))]
+    cases += [" ".join([*words[:k], *words[k + 1 :]]) for k in range(1, len(words) - 1)]
+    cases += [ITEMS[0][1].replace("Anna", "Mary Ann"), " ".join(long[:40]), " ".join(long[10:50])]
+    want = [3] * (len(cases) - 3) + [1, 7, 7]
+    bench = spark.createDataFrame([ITEMS[0], ITEMS[2], (7, " ".join(long))], "item_id bigint, text string")
+    docs = [(n, f"{FILL}{x} {FILL}") for n, x in enumerate(cases)]
+    docs += [(1000, FILL + " ".join(long[:20]) + " " + FILL), (1001, FILL + " ".join(words[:9]) + " " + FILL)]
+    got = template_leaks.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(enumerate(want))
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, brute.small("word0 said0 word1 said1 word2 said2 word3 said3"), "x")], "item_id bigint, text string, h string")
     found = template_leaks.contaminated(odd, bench)

@@ -4,11 +4,12 @@ Words lose outer punctuation and case. Numbers (also written-out ones), capitali
 after numbers become typed placeholders; what stood there is a slot value. Windows of five
 template words of the benchmark and of the documents are joined by hash, and beside them windows in
 which names stay words: case tells names, so a copy in lower or upper case has other ones.
-A passage of a document is a candidate if, near one alignment, windows of at least 80 % of the item's
-places are found. Candidates are decided on the texts: item and passage are aligned word by word, 80 %
-of the item's words must stand in line, and the slots of this alignment agree: each slot value of the
+A passage of a document is a candidate if it shares a window with an item (so copies without five words
+in a row between two edits are not met). Candidates are decided on the texts: item and passage are
+aligned word by word, 80 % of the item's words must stand in line, and the slots of this alignment agree: each slot value of the
 item always becomes the same value of the document (``SLOTS`` of the distinct values at least). Equal
-windows at other shifts, as in runs of names or numbers, contradict nothing.
+windows at other shifts, as in runs of names or numbers, contradict nothing. ``VERBATIM`` equal words of
+an item in a row are a leak of their own.
 
 Items of one template and one slot pattern form a class, named by the smallest item_id, so a family of
 like questions is met once. Before the join a bitmap of fixed size drops document windows that no
@@ -34,7 +35,10 @@ from workloom.llm.bitmap import Bitmap
 from workloom.llm.shared import kept
 
 WINDOW = 5
+#: Share of an item's words that must stand in line.
 COVERAGE = 0.8
+#: So many equal words of an item in a row are a leak, whatever their share.
+VERBATIM = 30
 SLOTS = 0.8
 #: Alignments (document place less item place) up to this far apart belong to one passage.
 DRIFT = 16
@@ -239,6 +243,14 @@ def align(match: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[:, 0], out[:, 1]
 
 
+def verbatim(same: np.ndarray) -> bool:
+    """Whether VERBATIM words of the item stand in the document in a row."""
+    if len(same) < VERBATIM:
+        return False
+    total = np.cumsum(_diagonals(same), axis=1, dtype=np.int32)
+    return bool((total[:, VERBATIM - 1] == VERBATIM).any() or (total[:, VERBATIM:] - total[:, :-VERBATIM] == VERBATIM).any())
+
+
 def held(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], grid: int):
     """Whether a text holds an item near one alignment, given both as words and templates: None, or the
     share of the item's words that stand in line, and whether all slots are equal."""
@@ -249,16 +261,14 @@ def held(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray]
     dw, dt = (np.where(inside, x[np.clip(places, 0, len(x) - 1)], np.uint64(0)) for x in doc)
     slot = _placeholder(it)
     need = COVERAGE * n
-    if (np.isin(iw, dw) | slot & np.isin(it, dt)).sum() < need:
+    if (np.isin(iw, dw) | slot & np.isin(it, dt)).sum() < min(need, VERBATIM):
         return None
     same = iw[:, None] == dw[None, :]
     match = same | (slot[:, None] & (it[:, None] == dt[None, :]))
     i, j = align(match, same)
-    if len(i) < need:
-        return None
     at = slot[i]
     pairs = set(zip(iw[i[at]].tolist(), dw[j[at]].tolist()))
-    if len({x for x, _ in pairs}) < SLOTS * len(pairs):
+    if (len(i) < need or len({x for x, _ in pairs}) < SLOTS * len(pairs)) and not verbatim(same):
         return None
     return len(i) / n, all(x == y for x, y in pairs)
 
@@ -296,19 +306,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated document and item class: doc_id, th, item_id, n_items, coverage, and
     exact (all slots are those of the item that names the class)."""
     items = kept(template_items(benchmark), "item-classes")
-    places = items.select("variant", "leads", F.size("named").alias("n_windows"), F.posexplode(
+    places = items.select("variant", "leads", F.posexplode(
         F.arrays_zip("named", "plain")).alias("place", "x"))
     hashes = F.when(F.col("leads"), F.array_distinct(F.array("x.named", "x.plain"))).when(
         F.col("x.named") != F.col("x.plain"), F.array("x.plain"))
-    places = places.select("variant", "n_windows", "place", F.explode(hashes).alias("h"))
+    places = places.select("variant", "place", F.explode(hashes).alias("h"))
     found = document_windows(docs, Bitmap.of(places, "h")).join(places, "h")
-    shift = F.col("at") - F.col("place")
-    # Two grids of passages, half a step apart: alignments that lie close share one of them.
-    near = found.select("doc_id", "th", "variant", "n_windows", "place", F.explode(F.array(
-        F.floor(shift / DRIFT) * 2, F.floor((shift + DRIFT // 2) / DRIFT) * 2 + 1)).alias("grid"))
-    near = near.groupBy("doc_id", "th", "variant", "n_windows", "grid").agg(
-        F.count_distinct("place").alias("matched")).filter(F.col("matched") >= COVERAGE * F.col("n_windows"))
-    near = kept(near.select("doc_id", "th", "variant", F.floor(F.col("grid") / 2).alias("grid")).distinct(), "candidates")
+    # One window makes a candidate; the words decide.
+    near = kept(found.select("doc_id", "th", "variant", F.floor(
+        (F.col("at") - F.col("place")) / DRIFT).alias("grid")).distinct(), "candidates")
     candidates = near.groupBy("th", "variant").agg(F.collect_set("grid").alias("grids"))
     return verified(candidates, texts_of(docs, near), items).join(near.select("doc_id", "th").distinct(), "th").select(
         "doc_id", "th", "item_id", "n_items", "coverage", "exact")
