@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from workloom.llm import (
-    byte_pairs, compact_windows, host_rules, language_id, license_scan, near_copies, private_data,
-    template_leaks, token_files, web_archives,
+    byte_pairs, compact_windows, host_rules, impact_search, language_id, license_scan, near_copies, private_data,
+    template_leaks, token_files, vector_codes, web_archives,
 )
 from workloom.sources.tables import table
 
@@ -62,13 +62,37 @@ def op10_host_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_impact_search(spark: SparkSession, folder: str) -> DataFrame:
+    return impact_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.code_digest(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_private_data, op3_language_id, op4_repeated_passages, op5_byte_pairs,
-        op6_near_copies, op7_license_scan, op8_template_leaks, op9_web_archives, op10_host_rules)
+        op6_near_copies, op7_license_scan, op8_template_leaks, op9_web_archives, op10_host_rules,
+        op11_impact_search, op13_vector_codes)
 }
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERMS = (rf"regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), "
+         r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
+def _assigned(parts: str, books: str) -> str:
+    """Comparison SQL: the nearest entry of every part, ties to the lower index; parts of four."""
+    square = " + ".join(f"(v.x[{i}] - b.x[{i}]) * (v.x[{i}] - b.x[{i}])" for i in range(1, 5))
+    return f"""SELECT v.u, v.p, any_value(v.x) AS x, min(({square}) * 64 + b.k) // 64 AS e, min(({square}) * 64 + b.k) % 64 AS k
+          FROM {parts} v JOIN {books} b ON v.p = b.p GROUP BY v.u, v.p"""
+
+
+def _moved(books: str, assigned: str) -> str:
+    mean = ", ".join(f"floor(sum(x[{i}]) / count(*))::BIGINT" for i in range(1, 5))
+    return f"""SELECT b.p, b.k, coalesce(m.x, b.x) AS x FROM {books} b
+          LEFT JOIN (SELECT p, k, [{mean}] AS x FROM {assigned} GROUP BY p, k) m ON b.p = m.p AND b.k = m.k"""
 
 ORACLES: dict[str, str] = {
     "op6_near_copies": rf"""
@@ -130,4 +154,32 @@ ORACLES: dict[str, str] = {
           n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
           NOT base_failed AND NOT (rejected AND f2 + f3 + f4 > 0) AS kept
         FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source""",
+    "op11_impact_search": rf"""
+        WITH d AS (SELECT row_number() OVER () AS u, doc_id, unnest({TERMS}) AS t FROM documents),
+        tf AS (SELECT u, any_value(doc_id) AS doc_id, t, count(*) AS tf FROM d GROUP BY u, t),
+        n AS (SELECT u, sum(tf)::BIGINT AS n FROM tf GROUP BY u),
+        s AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM n),
+        q AS (SELECT i, any_value(item_id) AS item_id, t, count(*) AS times FROM (
+          SELECT row_number() OVER () AS i, item_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY i, t),
+        w AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY t, big_n),
+        r AS (
+          SELECT i, any_value(q.item_id) AS item_id, tf.u, any_value(tf.doc_id) AS doc_id,
+            sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::BIGINT AS score
+          FROM q JOIN tf ON q.t = tf.t JOIN w ON w.t = tf.t JOIN n ON n.u = tf.u, s GROUP BY i, tf.u)
+        SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+        FROM r WHERE score > 0 QUALIFY rank <= 10""",
+    "op13_vector_codes": f"""
+        WITH v AS (
+          SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS u, vec_id, label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        p AS (SELECT u, p, x[4 * p + 1:4 * p + 4] AS x FROM v, range(16) t(p)),
+        b0 AS (SELECT p, u - 1 AS k, x FROM p WHERE u <= 64),
+        a0 AS ({_assigned("p", "b0")}), b1 AS ({_moved("b0", "a0")}),
+        a1 AS ({_assigned("p", "b1")}), b2 AS ({_moved("b1", "a1")}),
+        a2 AS ({_assigned("p", "b2")}),
+        c AS (SELECT u, string_agg(format('{{:02x}}', k), '' ORDER BY p) AS code, sum(e)::BIGINT AS error FROM a2 GROUP BY u)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+          (SELECT sha256(string_agg(x[1] || ',' || x[2] || ',' || x[3] || ',' || x[4], ',' ORDER BY p, k)) FROM b2) AS codebooks_sha256
+        FROM v JOIN c ON v.u = c.u""",
 }
