@@ -150,6 +150,22 @@ def gather(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarr
     return values[base + np.arange(total)]
 
 
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
+
+
+def small_letters(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return SMALL[data]
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of each span, as a binary column."""
+    bounds = np.concatenate(([0], np.cumsum(end - start))).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(gather(data, start, end - start))])
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

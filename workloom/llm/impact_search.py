@@ -29,7 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from workloom.llm.arrays import SIGNS, byte_codes, find_words, flat, gather, list_array, signed, slices, span_hashes
+from workloom.llm.arrays import (
+    SIGNS, byte_codes, find_words, flat, list_array, signed, slices, small_letters, span_hashes, strings,
+)
 from workloom.llm.bitmap import Bitmap
 from workloom.llm.shared import kept
 
@@ -40,23 +42,17 @@ ITEM_BLOCK = 256
 #: Postings read of each list in the first round; each round reads GROW times as many.
 FIRST_DEPTH, GROW = 64, 4
 
-_SMALL = np.arange(256, dtype=np.uint8)
-_SMALL[65:91] += 32
-
 
 def terms_of(data: np.ndarray, offsets: np.ndarray, keep=None):
     """The terms of a slice of texts: distinct ones, the number of each occurrence's, its row, and all
     occurrences per row. ``keep`` may drop occurrences by hash; the counts per row are of all."""
-    data = _SMALL[data]
+    data = small_letters(data)
     words = find_words(data, offsets, SIGNS)
     start, end, row = words.start, words.end, words.doc
     if keep is not None:
         stay = keep(signed(span_hashes(data, start, end, byte_codes(fold_case=False))))
         start, end, row = start[stay], end[stay], row[stay]
-    bounds = np.concatenate(([0], np.cumsum(end - start)))
-    found = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(start), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(gather(data, start, end - start))])
-    coded = found.dictionary_encode()
+    coded = strings(data, start, end).dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(), row, np.diff(words.first)
 
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from workloom.llm import (
-    byte_pairs, compact_windows, host_rules, impact_search, language_id, license_scan, near_copies, private_data,
-    template_leaks, token_files, vector_codes, web_archives,
+    byte_pairs, compact_windows, host_rules, impact_search, language_id, license_scan, log_bilinear,
+    near_copies, private_data, template_leaks, token_files, vector_codes, web_archives,
 )
 from workloom.sources.tables import table
 
@@ -66,6 +66,10 @@ def op11_impact_search(spark: SparkSession, folder: str) -> DataFrame:
     return impact_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
+    return log_bilinear.scored(table(spark, folder, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes.code_digest(table(spark, folder, "embeddings"))
 
@@ -74,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_private_data, op3_language_id, op4_repeated_passages, op5_byte_pairs,
         op6_near_copies, op7_license_scan, op8_template_leaks, op9_web_archives, op10_host_rules,
-        op11_impact_search, op13_vector_codes)
+        op11_impact_search, op12_log_bilinear, op13_vector_codes)
 }
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
