@@ -379,3 +379,12 @@ def test_file_systems(tmp_path):
     for path in (f"file:{tmp_path}", f"file://{tmp_path}", str(tmp_path)):
         fs, inner = file_system(path)
         assert inner == str(tmp_path) and fs.get_file_info(inner).is_file is False
+
+
+def test_words_of_one_regular_pattern_are_no_copies(spark):
+    a, b = "a", "b"
+    while len(a) < 1024:
+        a, b = a + b, b + a
+    docs = spark.createDataFrame([(1, a), (2, b), (3, "q w e"), (4, b)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_components(docs).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 2}

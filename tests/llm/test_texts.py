@@ -13,7 +13,7 @@ import tiktoken
 from conftest import FOLDER, ROWS
 
 from workloom.llm import byte_pairs, host_rules, language_id, license_scan, private_data, queries, token_files
-from workloom.llm.arrays import flat, slices
+from workloom.llm.arrays import byte_codes, flat, slices, span_hashes
 
 PATH = public_tokenizers.path(queries.VOCABULARY)
 
@@ -242,3 +242,49 @@ def test_a_bad_host_loses_its_failing_documents_only(spark):
 def test_host_rules_stay_native(spark):
     plan = host_rules.measured(spark.read.parquet(f"{FOLDER}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- texts that hashes modulo a power of two take for each other ------------------------------------
+
+
+def doubled(size):
+    """Two different words of one length that differ at every place, built by swapping halves."""
+    a, b = "a", "b"
+    while len(a) < size:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("size", [256, 1024, 2048, 8192])
+def test_regular_words_have_ids_of_their_own(tokenizer, size):
+    a, b = doubled(size)
+    texts = [a, b, f"x {a} y", f"x {b} y", f"{b}\n{a}"]
+    assert encode_all(texts) == [tokenizer.encode_ordinary(t) for t in texts]
+
+
+def test_regular_words_have_hashes_of_their_own():
+    words = [w for size in (64, 256, 1024, 2048, 8192) for w in doubled(size)] + ["a" * 2048, "b" * 2048, "A" * 2048]
+    data, offsets = flat(pa.array(words))
+    for fold_case, n in ((False, len(words)), (True, len(words) - 1)):
+        assert len(set(span_hashes(data, offsets[:-1], offsets[1:], byte_codes(fold_case)).tolist())) == n
+
+
+def test_a_hash_does_not_depend_on_the_place():
+    data = np.frombuffer(b"word" + bytes(range(256)) * 3 + b"word", np.uint8)
+    first, second = span_hashes(data, np.array([0, len(data) - 4]), np.array([4, len(data)]), byte_codes(False))
+    assert first == second
+
+
+def test_every_code_point_is_classed_as_by_the_tokenizer():
+    """A vocabulary that joins a, 1 or ! with the first byte behind it shows in which piece a code point is."""
+    ranks, kinds = {bytes([b]): b for b in range(256)}, {}
+    for sign, kind in ((b"a", byte_pairs.LETTER), (b"1", byte_pairs.NUMBER), (b"!", byte_pairs.OTHER)):
+        for lead in range(0xC2, 0xF5):
+            kinds[len(ranks)] = kind
+            ranks[sign + bytes([lead])] = len(ranks)
+    probe = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    classes = byte_pairs._classes()
+    for c in range(0x80, 0x110000):
+        if not 0xD800 <= c < 0xE000:
+            found = [kinds[t] for t in probe.encode_ordinary(f"a{chr(c)} 1{chr(c)} !{chr(c)}") if t in kinds]
+            assert (found or [byte_pairs.BLANK]) == [classes[c]], hex(c)

@@ -90,12 +90,46 @@ def byte_codes(fold_case: bool) -> np.ndarray:
     return codes
 
 
+#: Spans are hashed modulo a prime: modulo a power of two, regular texts of one length share hashes.
+PRIME = np.uint64((1 << 31) - 1)
+PRIME_BASES = (0x3C6EF372, 0x1B873593)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Less than 2**33, and equal to x modulo PRIME."""
+    return (x & PRIME) + (x >> np.uint64(31))
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.empty(n, np.uint64)
+    out[:1] = 1
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, int(PRIME))) % PRIME
+        done += more
+    return out
+
+
+def prime_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For both bases the powers of the base and of its inverse, at least n of each."""
+    kept = per_process("prime powers", dict)
+    if kept.get("n", 0) < n:
+        size = max(n, SLICE_BYTES + 1)
+        kept.update(n=size, powers=[tuple(_prime_powers(b, size) for b in (base, pow(base, -1, int(PRIME)))) for base in PRIME_BASES])
+    return kept["powers"]
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span, from one running sum over the slice."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    """Hash of the bytes of each span, of 62 bits under two bases, from two running sums over the slice."""
+    out = (end - start).astype(np.uint64)
+    for k, (up, down) in enumerate(prime_powers(len(data) + 1)):
+        total = np.zeros(len(data) + 1, np.uint64)
+        own = (codes >> np.uint64(33 * k)) & PRIME
+        np.cumsum(_fold(own[data] * up[: len(data)]), out=total[1:])  # below 2**63 for 2**30 bytes
+        value = _fold(_fold(_fold(total[end] - total[start]))) % PRIME * down[start] % PRIME
+        out = mix(out + value + np.uint64(k))
+    return out
 
 
 class Words(NamedTuple):

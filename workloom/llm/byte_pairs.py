@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from workloom.llm.arrays import byte_codes, flat, gather, per_process, slices, span_hashes
+from workloom.llm.arrays import flat, gather, per_process, slices, strings
 
 LONG = 512
-#: A cache of encoded pieces per worker process is emptied beyond this many pieces.
-CACHE_PIECES = 300_000
+#: A cache of encoded pieces per worker process is emptied beyond this many pieces or bytes of them.
+CACHE_PIECES, CACHE_BYTES = 300_000, 1 << 26
 MATRIX_CELLS = 1 << 18
 #: Bytes of text encoded at once: enough new pieces for a matrix of many rows.
 SLICE = 1 << 21
@@ -41,9 +41,26 @@ WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
+#: Letters and numbers that the tokenizer's Unicode version has beyond Python's, as
+#: ranges with both ends.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65),
+    (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0),
+    (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED),
+    (0x1E5F0, 0x1E5F0))
+NEW_NUMBERS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+    (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+
+
 def _classes() -> np.ndarray:
+    """The class of every code point, as of Unicode 16 (a worker's Python knows 15.1 or 16)."""
     of = {"L": LETTER, "N": NUMBER}
     out = np.fromiter((of.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8)
+    for kind, ranges in ((LETTER, NEW_LETTERS), (NUMBER, NEW_NUMBERS)):
+        for low, high in ranges:
+            out[low : high + 1] = kind
     out[list(WHITE)] = BLANK
     return out
 
@@ -255,18 +272,21 @@ class Encoder:
     def __init__(self, path: str):
         self.ranks = Ranks(path)
         self.classes = _classes()
-        self.codes = byte_codes(fold_case=False)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[int, int] = {}  # hash of a piece -> its line below
+        self.number: dict[bytes, int] = {}  # a piece -> its line below
+        self.bytes = 0
         self.flat = np.zeros(0, np.int32)
         self.at = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
-    def _learn(self, hashes: list[int], data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        ids, count = encode_spans(data, start, end, self.ranks)
-        self.number.update(zip(hashes, range(len(self.number), len(self.number) + len(hashes))))
+    def _learn(self, pieces: list[bytes]) -> None:
+        end = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        start = np.concatenate(([0], end))[:-1]
+        ids, count = encode_spans(np.frombuffer(b"".join(pieces), np.uint8), start, end, self.ranks)
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
+        self.bytes += int(end[-1]) if len(end) else 0
         self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(count) - count))
         self.count = np.concatenate((self.count, count))
         self.flat = np.concatenate((self.flat, ids))
@@ -282,18 +302,12 @@ class Encoder:
         first = piece_starts(points, rows, self.classes)
         start = byte_of[first]
         end = np.append(start[1:], len(data))
-        hashes = span_hashes(data, start, end, self.codes)
-        coded = pa.array(hashes).dictionary_encode()
-        inverse, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-        where = np.zeros(len(distinct), np.int64)
-        where[inverse] = np.arange(len(inverse))
-        if len(self.number) > CACHE_PIECES:
+        coded = strings(data, start, end).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        if len(self.number) > CACHE_PIECES or self.bytes > CACHE_BYTES:
             self.forget()
-        known = distinct.tolist()
-        new = [k for k, h in enumerate(known) if h not in self.number]
-        fresh = where[new]
-        self._learn([known[k] for k in new], data, start[fresh], end[fresh])
-        number = np.fromiter((self.number[h] for h in known), np.int64, len(known))[inverse]
+        self._learn([piece for piece in known if piece not in self.number])
+        number = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
         ids = gather(self.flat, self.at[number], self.count[number])
         per_piece = np.concatenate(([0], np.cumsum(self.count[number])))
         return ids, per_piece[np.searchsorted(first, rows)]
