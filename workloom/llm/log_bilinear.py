@@ -42,8 +42,10 @@ END, START = TYPES - 1, TYPES
 CONTEXT, WIDTH, NOISE = 3, 16, 32
 LISTED = 1 << 18
 SAMPLE_DOCS, WARM_TOKENS = 4000, 2_000_000
-MINIBATCH, RATE, SWEEP_RATE = 1024, 0.1, 0.05
+MINIBATCH, RATE, SWEEP_RATE = 2048, 0.1, 0.05
 GROUP = 64
+#: Bytes of text scored at once: the list of words is indexed once for each.
+SLICE = 1 << 23
 #: Tokens scored by one product, and the size of scores up to which exp needs no shift.
 ROWS, SAFE = 128, 80
 FOLDS, HELD_FOLD = 7, 2
@@ -82,9 +84,9 @@ class Vocabulary(NamedTuple):
     words: pa.Array
     counts: np.ndarray
 
-    def places(self, distinct: pa.Array) -> np.ndarray:
-        """Place of each word in the list, -1 where it is not there."""
-        return pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+    def places(self, distinct: pa.Array, first: int = LISTED) -> np.ndarray:
+        """Place of each word among the first ones of the list, -1 where it is not there."""
+        return pc.index_in(distinct, value_set=self.words.slice(0, first)).fill_null(-1).to_numpy().astype(np.int64)
 
 
 def sequences(t: Tokens, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,7 +236,7 @@ def _warm(sample: DataFrame, vocabulary: Vocabulary, shares: np.ndarray) -> Trai
     parts = []
     for low, high in slices(offsets):
         t = tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-        parts.append(sequences(t, vocabulary.places(t.words))[:2])
+        parts.append(sequences(t, vocabulary.places(t.words, WORDS))[:2])
     if parts:
         ids, before = (np.concatenate(x) for x in zip(*parts))
         while trainer.seen < WARM_TOKENS and len(ids):
@@ -277,7 +279,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, shares: np.ndarray, n_docs:
             data, offsets = flat(batch.column("text"))
             for low, high in slices(offsets):
                 t = tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                ids, before, _ = sequences(t, words.places(t.words))
+                ids, before, _ = sequences(t, words.places(t.words, WORDS))
                 order = trainer.rng.permutation(len(ids))
                 trainer.sweep(ids[order], before[order])
         if trainer.seen:
@@ -316,7 +318,7 @@ def scored(docs: DataFrame) -> DataFrame:
         listed, own, log_counts, log_mass = sent.value
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            for low, high in slices(offsets):
+            for low, high in slices(offsets, SLICE):
                 t = tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 places = listed.places(t.words)
                 ids, before, bounds = sequences(t, places)
