@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from workloom.operators import budget, ranking, retrieval
+from workloom.operators.vector_index import cosine_top_k
 
 
 def frame(spark, n=3000, seed=1, sizes=(0, 1, 2, 3, 5, 8, 40, 90, 300)):
@@ -85,7 +86,7 @@ def test_cosine_top_k(spark):
     blocks, queries = rng.normal(size=(400, 8)), rng.normal(size=(5, 8))
     b = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(blocks)], "block_id bigint, vector array<double>")
     q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(queries)], "query_id bigint, vector array<double>")
-    got = {(r.query_id, r.rn): r.block_id for r in retrieval.cosine_top_k(b, q, 4).collect()}
+    got = {(r.query_id, r.rn): r.block_id for r in cosine_top_k(b, q, 4).collect()}
     sims = blocks @ queries.T / np.linalg.norm(blocks, axis=1)[:, None] / np.linalg.norm(queries, axis=1)
     want = {(j, k + 1): int(i) for j in range(5) for k, i in enumerate(np.argsort(-sims[:, j])[:4])}
     assert got == want

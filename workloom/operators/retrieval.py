@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workloom.operators.budget import take_until_overflow, take_what_fits
-from workloom.operators.ranking import join_same, spread_by, top_k
+from workloom.operators.ranking import join_same, top_k
 from workloom.session import written
 
 # Priority keywords, and those that score 10 and 20; anything else scores 40.
@@ -261,49 +256,6 @@ def compression_sizes(df: DataFrame) -> DataFrame:
     return compressed(df).groupBy("cache_key").agg(*[F.max(c).alias(c) for c in sizes])
 
 
-# --- vectors -----------------------------------------------------------------------------------
-
-MAX_QUERIES = 4096
-
-
-def cosine_top_k(blocks: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """The k nearest blocks per query by cosine.
-
-    ``blocks`` has (block_id, vector), ``queries`` (query_id, vector). Queries travel to the
-    tasks in portions of a checked size; each Arrow batch of blocks is one matrix product and
-    keeps k rows per query, so pairs are never written out.
-    """
-    portions = max(1, math.ceil(queries.count() / (MAX_QUERIES // 2)))
-    near = None
-    for p in range(portions):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(portions)) == p).toPandas()
-        if part.empty:
-            continue
-        ids = part["query_id"].to_numpy()
-        q = np.stack(part["vector"].to_numpy()).astype(np.float64)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-
-        def best(batches: Iterator[pd.DataFrame], q=q, ids=ids) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                m = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-                sims = (m @ q.T) / np.linalg.norm(m, axis=1, keepdims=True)
-                block = pdf["block_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(block[:, None], sims.shape), -sims), axis=0)[:k]
-                cols = np.arange(len(ids))
-                yield pd.DataFrame({
-                    "query_id": np.tile(ids, len(order)), "block_id": block[order].ravel(),
-                    "similarity": sims[order, cols].ravel()})
-
-        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, block_id {blocks.schema['block_id'].dataType.simpleString()}, similarity double"
-        found = blocks.select("block_id", "vector").mapInPandas(best, kinds)
-        near = found if near is None else near.unionByName(found)
-    if near is None:
-        return blocks.sparkSession.createDataFrame([], "query_id bigint, block_id bigint, similarity double, rn int")
-    return top_k(near, ["query_id"], [F.desc("similarity"), F.col("block_id")], k, spread_by("block_id"))
-
-
 # --- recommendations ---------------------------------------------------------------------------
 
 def addressed(recommendations: DataFrame) -> DataFrame:

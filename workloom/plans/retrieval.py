@@ -8,6 +8,7 @@ from workloom.functions.formats import rounded, rounded_sql
 from workloom.operators import budget, retrieval as ops
 from workloom.operators import detectors as det
 from workloom.operators.ranking import spread_by, top_k
+from workloom.operators.vector_index import cosine_top_k
 from workloom.plans.detection import expected_sql, violations
 from workloom.plans.history import H, history
 from workloom.plans.registry import query
@@ -220,7 +221,7 @@ def k13(spark, d):
     means = items.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     queries = means.groupBy(F.col("label").alias("query_id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
-    out = ops.cosine_top_k(e.select(F.col("vec_id").alias("block_id"), F.col("embedding").alias("vector")), queries)
+    out = cosine_top_k(e.select(F.col("vec_id").alias("block_id"), F.col("embedding").alias("vector")), queries)
     return out.withColumn("similarity", rounded(F.col("similarity"), 4))
 
 
