@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from workloom.functions.formats import rounded, rounded_sql
 from workloom.operators import enrich
 from workloom.operators import temporal_joins as tj
+from workloom.operators import time_index
 from workloom.plans.history import H
 from workloom.plans.registry import query
 from workloom.sources.tables import table
@@ -96,7 +97,7 @@ USAGE_SQL = f"""SELECT statement_id, max(mem_used_percent) AS peak_memory_percen
  peak_cpu_percent, {rounded_sql("avg_cpu_percent", 6)} AS avg_cpu_percent, {rounded_sql("avg_io_wait_percent", 6)} AS avg_io_wait_percent,
  total_network_sent, total_network_received, node_count, sample_count FROM ({USAGE_SQL})""")
 def a1(spark, d):
-    usage = tj.utilisation(tj.samples_in_run(view(spark, d, "history"), view(spark, d, "timeline")))
+    usage = time_index.utilisation(view(spark, d, "history"), view(spark, d, "timeline"))
     return usage.withColumns({
         c: rounded(F.col(c), 6) for c in ("avg_memory_percent", "avg_cpu_percent", "avg_io_wait_percent")
     })
