@@ -6,14 +6,17 @@ it shares no pattern with the detectors.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from workloom.functions.lexical import text_key
 from workloom.functions.text import statement_hash
 from workloom.operators import detectors as det
-from workloom.operators import rollups
+from workloom.operators import profile_store, rollups
 from workloom.plans.history import H
 from workloom.plans.registry import query
+from workloom.session import shared_folder
 from workloom.sources.tables import table
 from workloom.sources.workload import view
 
@@ -83,12 +86,28 @@ def expected_sql(keys=None) -> str:
  JOIN {values_sql(rows)} e(template_id, rule_key, severity, detail) ON h.template_id = e.template_id"""
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def profiled(spark, d):
+    """The profiles of the sales tables, from a store that is written once per session and folder:
+    the line items by ship month, orders and customers as a whole."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        path = f"{shared_folder(spark).rstrip('/')}/profiles-{uuid.uuid4().hex}"
+        lines, orders, customers = (table(spark, d, t) for t in ("lineitem", "orders", "customer"))
+        month = F.date_trunc("month", "l_shipdate")
+        found = profile_store.states(lines, "main.sales.lineitem", ["l_shipdate", "l_quantity"], "l_shipdate", value=month)
+        found = found.unionByName(profile_store.states(orders, "main.sales.orders", orders.columns, keys=("o_orderkey", "o_custkey")))
+        found = found.unionByName(profile_store.states(customers, "main.sales.customer", customers.columns, keys=("c_custkey", "c_name")))
+        profile_store.append(found, path, 1)
+        _STORES[key] = path
+    return profile_store.merged(profile_store.read(spark, _STORES[key], 1))
+
+
 def partition_registry(spark, d):
-    """Partition columns measured on the data: the ship date has few days per many rows."""
-    lines = table(spark, d, "lineitem").agg(
-        F.count("*").alias("n"), F.approx_count_distinct(F.to_date("l_shipdate")).alias("days"))
-    return lines.filter(F.col("days") < F.col("n")).select(
-        F.lit("main.sales.lineitem").alias("table_name"), F.lit("l_shipdate").alias("column_name"))
+    """(table_name, column_name): how tables are laid out, as the store knows it."""
+    return profile_store.partition_columns(profiled(spark, d))
 
 
 def history(spark, d):
@@ -199,3 +218,34 @@ def j7(spark, d):
     config = config.withColumn("confidence", F.col("confidence").cast("double"))
     out = det.with_rule_config(violations(spark, d), config)
     return out.select("statement_id", "rule_key", "severity", F.col("message").startswith("see ").alias("overridden"), "confidence")
+
+# --- facts that decide: statements whose names say nothing, one per order --------------------------
+
+FACT_TEXTS = """CASE o_orderkey % 4 WHEN 0 THEN concat('SELECT DISTINCT c_name FROM main.sales.customer WHERE c_acctbal > ', CAST(o_custkey AS VARCHAR(20)))
+ WHEN 1 THEN concat('SELECT DISTINCT c_mktsegment FROM main.sales.customer WHERE c_acctbal > ', CAST(o_custkey AS VARCHAR(20)))
+ WHEN 2 THEN concat('SELECT o_totalprice FROM main.sales.orders WHERE o_orderpriority = ', CAST(o_custkey AS VARCHAR(20)))
+ ELSE concat('SELECT o_totalprice FROM main.sales.orders WHERE o_orderstatus = "', o_orderstatus, '"') END"""
+
+
+def fact_statements(spark, d):
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("statement_id"), F.col("o_custkey").cast("string").alias("executed_by"),
+        F.expr(FACT_TEXTS).alias("statement_text"))
+
+
+@query("D6_measured_unique", """SELECT CAST(o_orderkey AS VARCHAR) AS statement_id, 'c_name' AS detail FROM orders
+ WHERE o_orderkey % 4 = 0 AND (SELECT count(DISTINCT c_name) = count(*) FROM customer)""")
+def d6_measured(spark, d):
+    """DISTINCT over a column that the profile store has proven unique, though its name does not say so."""
+    uniques = profile_store.unique_columns(profiled(spark, d))
+    found = det.detect_statements(fact_statements(spark, d), ["DISTINCT_ON_UNIQUE"], uniques=uniques)
+    return found.select("statement_id", detail("DISTINCT_ON_UNIQUE").alias("detail"))
+
+
+@query("D10_declared_types", """SELECT CAST(o_orderkey AS VARCHAR) AS statement_id, 'o_orderpriority string numeric ' || o_custkey AS detail FROM orders
+ WHERE o_orderkey % 4 = 2""")
+def d10_declared(spark, d):
+    """A number compared with a column whose type only the profile store knows to be text."""
+    columns = profile_store.column_types(profiled(spark, d))
+    found = det.detect_statements(fact_statements(spark, d), ["IMPLICIT_CAST"], columns=columns)
+    return found.select("statement_id", detail("IMPLICIT_CAST").alias("detail"))

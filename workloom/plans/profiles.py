@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from workloom.operators import profile_store
 from workloom.operators import profiles as p
 from workloom.plans.registry import query
+from workloom.session import shared_folder
 from workloom.sources.tables import table
 
 EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value"]
@@ -97,3 +101,38 @@ def m7s(spark, d):
 @query("M8_approximation_error")
 def m8(spark, d):
     return p.approximation_error(table(spark, d, "events"), EVENT_COLUMNS)
+
+
+# --- profiles as stored states ----------------------------------------------------------------------
+
+_EVENT_STORES: dict[tuple[str, str], str] = {}
+
+
+def event_profiles(spark, d, version):
+    """The profile of the events as of a version: even thousands of ids are written first, odd ones later."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _EVENT_STORES:
+        path = f"{shared_folder(spark).rstrip('/')}/profiles-{uuid.uuid4().hex}"
+        for number, ids in ((1, "event_id div 1000 % 2 = 0"), (2, "event_id div 1000 % 2 = 1")):
+            part = table(spark, d, "events").filter(ids)
+            profile_store.append(profile_store.states(
+                part, "main.web.events", EVENT_COLUMNS, "event_id", keys=("event_id", "user_id"), value=F.expr("event_id div 1000")), path, number)
+        _EVENT_STORES[key] = path
+    return profile_store.merged(profile_store.read(spark, _EVENT_STORES[key], version))
+
+
+@query("M2_profile_store", " UNION ALL ".join(
+    f"""SELECT {v} AS version, '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, true AS estimate_holds,
+ {"count(DISTINCT event_id) = count(*)" if c == "event_id" else "false"} AS is_unique FROM events WHERE {ids}"""
+    for v, ids in ((1, "event_id // 1000 % 2 = 0"), (2, "event_id IS NOT NULL")) for c in EVENT_COLUMNS))
+def m2_store(spark, d):
+    """Merged states of both versions; the estimate is held against an exact count, within three standard errors."""
+    out = None
+    for version, ids in ((1, "event_id div 1000 % 2 = 0"), (2, "event_id IS NOT NULL")):
+        exact = p.cardinality(table(spark, d, "events").filter(ids), EVENT_COLUMNS).select("column_name", "distinct_values")
+        off = F.abs(F.col("distinct_estimate") - F.col("distinct_values"))
+        one = event_profiles(spark, d, version).join(exact, "column_name").select(
+            F.lit(version).alias("version"), "column_name", "rows", "nulls",
+            (off <= 3 * profile_store.STANDARD_ERROR * F.col("distinct_values") + 1).alias("estimate_holds"), "is_unique")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from workloom.operators import rewrites as r
+from workloom.plans.detection import profiled
+from workloom.plans.profiles import event_profiles
 from workloom.plans.registry import query
 from workloom.sources.tables import table
 
@@ -88,23 +90,18 @@ def r9(spark, d):
 
 @query("R10_ordered_group_keys", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type")
 def r10(spark, d):
-    """The profile of the keys is measured: one row per column."""
-    from workloom.operators.profiles import cardinality_approx
-
+    """The order of the keys comes from stored profiles: one row per column."""
     events = table(spark, d, "events")
-    profile = {x["column_name"]: x["distinct_values"] for x in cardinality_approx(events, ["user_id", "event_type"]).collect()}
-    keys = r.ordered_keys(profile, ["user_id", "event_type"])
+    known = {x["column_name"]: x["distinct_estimate"] for x in event_profiles(spark, d, 2).collect()}
+    keys = r.ordered_keys(known, ["user_id", "event_type"])
     return events.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 @query("R11_distinct_dropped", "SELECT DISTINCT o_orderkey FROM orders")
 def r11(spark, d):
-    """The guard is the measured uniqueness of the key, taken from the data itself."""
-    from workloom.operators.profiles import uniqueness
-
-    orders = table(spark, d, "orders")
-    proven = uniqueness(orders, ["o_orderkey"]).first()["is_unique"]
-    return r.distinct_unless_unique(orders, "o_orderkey", proven)
+    """The guard is the stored proof that the key is unique."""
+    known = profiled(spark, d).filter("table_name = 'main.sales.orders' AND column_name = 'o_orderkey'").first()
+    return r.distinct_unless_unique(table(spark, d, "orders"), "o_orderkey", known is not None and known["is_unique"])
 
 
 @query("R12_decorrelated", """
