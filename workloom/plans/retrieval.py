@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from workloom.functions.formats import rounded, rounded_sql
-from workloom.operators import budget, retrieval as ops
+from workloom.functions.lexical import text_key
+from workloom.operators import budget, governance, retrieval as ops
 from workloom.operators import detectors as det
+from workloom.operators import statement_sections as sections
 from workloom.operators.ranking import spread_by, top_k
 from workloom.operators.vector_index import cosine_top_k
 from workloom.plans.detection import expected_sql, violations
+from workloom.plans.governance import TABLES_CASE
 from workloom.plans.history import H, history
 from workloom.plans.registry import query
 from workloom.sources.tables import table, widened
@@ -111,6 +114,42 @@ def k6(spark, d):
     return out.select("source", (F.col("doc_id") * 1000 + F.col("line_start")).alias("row_key"), "pass")
 
 
+# --- sections for the statement at hand ------------------------------------------------------------
+
+SETS = f"(SELECT tables, count(*) AS statements FROM (SELECT list_sort(list_distinct(string_split(lower({TABLES_CASE}), ', '))) AS tables FROM {H}) GROUP BY tables)"
+FOR_SETS = f"""(SELECT array_to_string(t.tables, ', ') AS tables, t.statements, d.doc_id, d.line_start, d.priority, d.tokens, list_has_any(d.affected_tables, t.tables) AS shared,
+ d.priority - CASE WHEN list_has_any(d.affected_tables, t.tables) THEN 15 ELSE 0 END - CASE WHEN len(d.code_blocks) > 0 THEN 5 ELSE 0 END AS score
+ FROM {DESCRIBED} d, {SETS} t)"""
+
+
+def table_sets(spark, d):
+    h = history(spark, d)
+    return sections.table_sets(h, governance.tables_by_text(h), text_key(F.col("statement_text")))
+
+
+@query("J10_statement_overlap", f"SELECT tables, doc_id, line_start, score FROM {FOR_SETS} WHERE shared")
+def j10_statements(spark, d):
+    """Sections that share a table with a statement, and their scores, per distinct set of tables."""
+    rows = ["doc_id", "line_start"]
+    found = sections.overlaps(table_sets(spark, d), sections.scored_sections(described(spark, d), rows), rows)
+    return found.select(F.array_join("tables", ", ").alias("tables"), "doc_id", "line_start", "score")
+
+
+CHOSEN = """list_reduce(list_prepend({'used': 0::BIGINT, 'ids': []::VARCHAR[]}, list({'used': tokens::BIGINT, 'ids': [concat(doc_id, ':', line_start)]::VARCHAR[]} ORDER BY score, doc_id, line_start)),
+ lambda a, x: CASE WHEN a.used + x.used <= 2000 THEN {'used': a.used + x.used, 'ids': list_concat(a.ids, x.ids)} ELSE a END)"""
+
+
+@query("K6_statement_sections", f"""WITH s AS (SELECT * FROM {FOR_SETS} WHERE tokens > 0),
+ p AS (SELECT tables, r.used AS used, r.ids AS ids FROM (SELECT tables, {CHOSEN} AS r FROM s WHERE priority <= 10 GROUP BY tables)),
+ m AS (SELECT s.*, coalesce(p.used, 0) AS used, coalesce(list_contains(p.ids, concat(doc_id, ':', line_start)), false) AS first FROM s LEFT JOIN p ON s.tables = p.tables)
+SELECT tables, statements, doc_id, line_start, 1 AS pass FROM m WHERE first UNION ALL SELECT tables, statements, doc_id, line_start, 2 FROM (
+ SELECT *, used + sum(tokens) OVER (PARTITION BY tables ORDER BY score, doc_id, line_start) AS total FROM m WHERE NOT first) WHERE total <= 2000""")
+def k6_statements(spark, d):
+    """The sections each set of tables gets under a budget of 2000 tokens, and how many statements name that set."""
+    found = sections.sections_for_statements(described(spark, d), table_sets(spark, d), ["doc_id", "line_start"])
+    return found.withColumn("tables", F.array_join("tables", ", "))
+
+
 @query("A9_guideline_stats", f"""SELECT count(*) AS total_sections, count(*) FILTER (priority <= 10) AS critical_sections, count(*) FILTER (priority > 10 AND priority <= 20) AS high_sections, count(*) FILTER (priority > 20 AND priority <= 30) AS medium_sections,
  CAST(sum(len(code_blocks)) AS BIGINT) AS total_code_blocks, CAST(sum(tokens) AS BIGINT) AS total_tokens, count(DISTINCT doc_id) AS files_loaded,
  (SELECT count(DISTINCT t) FROM (SELECT unnest(affected_tables) AS t FROM {DESCRIBED})) AS unique_tables FROM {DESCRIBED}""")
