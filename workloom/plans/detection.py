@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from workloom.functions.lexical import text_key
 from workloom.functions.text import statement_hash
 from workloom.operators import detectors as det
-from workloom.operators import profile_store, rollups
+from workloom.operators import findings_store, profile_store, rollups
 from workloom.plans.history import H
 from workloom.plans.registry import query
 from workloom.session import shared_folder
@@ -190,6 +190,17 @@ def d20(spark, d):
     return runs.join(per_text, "digest", "left").select("query_hash", "executions", F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
+@query("D20_stored_findings", f"""SELECT h.statement_id, e.rule_key, e.severity, CASE WHEN h.template_id < 12 THEN 1 ELSE 2 END AS batch
+ FROM {H} h JOIN {values_sql(EXPECTED)} e(template_id, rule_key, severity, detail) ON h.template_id = e.template_id""")
+def d20_stored(spark, d):
+    """Two runs against one store: the second one meets the texts of the first and analyses only the others."""
+    path = f"{shared_folder(spark).rstrip('/')}/findings-{uuid.uuid4().hex}"
+    h, facts = history(spark, d), partition_registry(spark, d)
+    findings_store.analyse(h.filter("template_id < 12"), path, "1", partitions=facts)
+    found = findings_store.detect_stored(h, path, "1", partitions=facts)
+    return found.select("statement_id", "rule_key", "severity", "batch")
+
+
 @query("P10_severity_filter", f"SELECT statement_id, rule_key, severity FROM ({expected_sql(['SELECT_STAR', 'CARTESIAN_JOIN', 'NON_SARGABLE'])}) WHERE severity IN ('critical', 'high')")
 def p10(spark, d):
     return violations(spark, d).filter(F.col("severity").isin("critical", "high")).select("statement_id", "rule_key", "severity")
