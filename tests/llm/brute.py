@@ -38,14 +38,14 @@ def base_spans(text):
     return [(kind, a, b) for a, _, kind, b in sorted(out)]
 
 
-def shingles(text):
+def shingles(text, width=2):
     w = WORD.findall(small(text))
-    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+    return frozenset(zip(*[w[k:] for k in range(width)])) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def components(texts):
+def components(texts, width=2):
     """{id: smallest id reachable} of {id: text}."""
-    sets = {i: shingles(t) for i, t in texts.items()}
+    sets = {i: shingles(t, width) for i, t in texts.items()}
     root = {i: i for i in sets}
 
     def find(x):

@@ -20,7 +20,7 @@ ROOT = Path(__file__).resolve().parents[2]
 def test_pipeline(spark, texts):
     bench = [r["text"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     stay = {i: r["text"] for i, r in texts.items() if not brute.quality(r["text"])[5]}
-    root = brute.components(stay)
+    root = brute.components(stay, 5)  # words of a shingle in the near-copy stage
     stay = {i: t for i, t in stay.items() if root[i] == i}
     stay = {i: t for i, t in stay.items() if not any(b in t for b in bench)}
     anchors = private_data.automaton()

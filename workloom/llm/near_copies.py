@@ -1,12 +1,12 @@
 """Near-duplicate documents: bottom-k sketches from one hash function, inverted lists of retained
 values, union-sketch estimates, and exact Jaccard on full sets.
 
-A document is the set of 64-bit hashes of its distinct 2-word shingles (with fewer words, its whole
-sequence); equal sets form a class, and all further work is on classes. A class keeps its K smallest
+A document is the set of 64-bit hashes of its distinct shingles of ``width`` words (with fewer words, its
+whole sequence); equal sets form a class, and all further work is on classes. A class keeps its K smallest
 hashes. Sets of similarity 0.8 share at least 20 of 48 retained values but for a chance below 1e-8; a
 set of fewer than K hashes shares three quarters of them for certain. Therefore two such sketches meet
 MEET times among their first (size - shared + MEET) values in any common order; with the rarest first,
-lists stay short, and values of a single class need lists stay short, and values of a single class need no list.
+lists stay short, and values of a single class need no list.
 
 In each list and band of sizes the class with the fewest values of its own is the centre; every member
 is compared with what is the centre of CENTRE of its lists, and what is confirmed forms components. Components, and
@@ -51,7 +51,8 @@ ESTIMATE = 0.8 - 6 * (0.8 * 0.2 / K) ** 0.5
 BLOCK = 512
 HOT = 64
 CENTRE = 3
-SHINGLE = 2
+#: Words of a shingle: of the contract's query, and where one document of each group is kept.
+SHINGLE, STAGE_SHINGLE = 2, 5
 PERCENT = 80
 
 
@@ -325,19 +326,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         100 * F.col("i") >= PERCENT * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, text hash, n_shingles, component_id, kept."""
-    rows = kept(sketches(docs), "sketches")
+    rows = kept(sketches(docs, width=width), "sketches")
     classes = kept(classes_of(rows), "classes")
     lists = kept(inverted_lists(classes), "lists")
     stars = kept(likely(star_pairs(lists), classes), "stars")
-    sets = _sets_for(docs, classes, stars)
+    sets = _sets_for(docs, classes, stars, width)
     first = kept(confirmed(stars, sets), "links")
     roots = _roots(first)
     placed = kept(families(stars, roots), "families")
     inside = kept(links_in_families(placed, sets), "links")
     rest = kept(cross_pairs(lists, placed, classes), "cross")
-    across = confirmed(rest, _sets_for(docs, classes, rest))
+    across = confirmed(rest, _sets_for(docs, classes, rest, width))
     final = _roots(_edges(roots).unionByName(inside).unionByName(across))
     return named(rows, classes, final)
 
@@ -350,9 +351,9 @@ def _roots(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("v", "root")
 
 
-def _sets_for(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _sets_for(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    return kept(full_sets(docs, kept(classes.select("cid", "th").join(involved, "cid", "left_semi"), "wanted")), "sets")
+    return kept(full_sets(docs, kept(classes.select("cid", "th").join(involved, "cid", "left_semi"), "wanted"), width), "sets")
 
 
 def named(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -372,9 +373,9 @@ def named(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
                    F.col("component_id").isNull() & F.coalesce("first", F.lit(True))).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns; rows that repeat stay once."""
-    stay = near_components(docs).filter("kept").select(
+def one_of_each(docs: DataFrame, width: int = STAGE_SHINGLE) -> DataFrame:
+    """One document of each component, with all its columns; of rows with one id and text one stays."""
+    stay = near_components(docs, width).filter("kept").select(
         F.col("doc_id").alias("__stay_id"), F.col("th").alias("__stay_th")).distinct()
     marked = docs.withColumn("__own_th", F.xxhash64("text"))
     on = (F.col("__own_th") == F.col("__stay_th")) & F.col("doc_id").eqNullSafe(F.col("__stay_id"))
