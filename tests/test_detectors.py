@@ -74,6 +74,31 @@ CASES = [
     ("SELECT SUM(COALESCE(ROUND(ABS(x)), 0)) OVER (ORDER BY b) FROM t", "WINDOW_NO_PARTITION", 1, {"function": "SUM"}),
     ("SELECT COUNT(DISTINCT x) OVER (ORDER BY f(g(h(b)))), MAX(y) OVER (PARTITION BY f(g(h(b)))) FROM t", "WINDOW_NO_PARTITION", 1, {"function": "COUNT"}),
     ("SELECT a FROM t WHERE ((((((((((YEAR(d) = 2024))))))))))", "NON_SARGABLE", 1, {"function": "YEAR", "column": "d"}),
+    # conditions anywhere inside WHERE
+    ("SELECT a FROM t WHERE CASE WHEN YEAR(d) = 2024 THEN 1 ELSE 0 END = 1", "NON_SARGABLE", 1, {"function": "YEAR", "column": "d", "predicate": "YEAR(d) = 2024"}),
+    ("SELECT CASE WHEN YEAR(d) = 2024 THEN 1 END FROM t WHERE a = 1", "NON_SARGABLE", 0, {}),
+    ("SELECT a FROM t WHERE b = 1 AND (YEAR(d) = 2024 OR c = 2)", "NON_SARGABLE", 1, {"function": "YEAR"}),
+    ("SELECT a FROM t WHERE ((b = 1 OR UPPER(n) = 'X') AND (c = 2 OR NOT (e = 1 AND MONTH(d) = 3)))", "NON_SARGABLE", 2, {"function": "UPPER"}),
+    ("SELECT a FROM t JOIN u ON (t.k = u.k AND YEAR(t.d) = 2024) WHERE t.a = 1", "NON_SARGABLE", 0, {}),
+    ("SELECT a FROM t WHERE (b = 1 OR k IN (SELECT k FROM u WHERE (YEAR(d) = 2024 OR z = 1)))", "NON_SARGABLE", 1, {"function": "YEAR"}),
+    ("SELECT a FROM t GROUP BY a HAVING (YEAR(MAX(d)) = 2024 OR COUNT(*) > 1)", "NON_SARGABLE", 0, {}),
+    ("SELECT a FROM t WHERE b = CASE c WHEN 'x' THEN CASE WHEN UPPER(n) = 'Y' THEN 1 END ELSE 2 END", "NON_SARGABLE", 1, {"column": "n"}),
+    ("SELECT a FROM t WHERE (c = 1 OR c = 2 OR c = 3) AND (d = 1 OR d = 2)", "OR_TO_IN", 1, {"column": "c"}),
+    ("SELECT a FROM t WHERE x = 1 OR (y = 2 AND z = 3) OR x = 2 OR x = 3", "OR_TO_IN", 1, {"column": "x"}),
+    ("SELECT a FROM t WHERE b = 1 AND (order_total = '12' OR note = 'z')", "IMPLICIT_CAST", 1, {"column": "order_total"}),
+    ("SELECT a FROM t WHERE (l_id = 1 OR CASE WHEN alive THEN flag ELSE 'n' END = 'y')", "NON_SARGABLE", 0, {}),
+    ("MERGE INTO tgt t USING s ON t.k = s.k WHEN MATCHED AND (t.v <> s.v OR t.w <> s.w) THEN UPDATE SET t.v = s.v", "NON_SARGABLE", 0, {}),
+    # named windows
+    ("SELECT SUM(x) OVER w FROM t WINDOW w AS (ORDER BY b)", "WINDOW_NO_PARTITION", 1, {"function": "SUM"}),
+    ("SELECT SUM(x) OVER w FROM t WINDOW w AS (PARTITION BY a ORDER BY b)", "WINDOW_NO_PARTITION", 0, {}),
+    ("SELECT SUM(x) OVER w, RANK() OVER v FROM t WINDOW w AS (PARTITION BY a), v AS (ORDER BY abs(b) DESC)", "WINDOW_NO_PARTITION", 1, {"function": "RANK"}),
+    ("SELECT SUM(x) OVER (w), MAX(f(y)) OVER (v ORDER BY c) FROM t WINDOW w AS (PARTITION BY a), v AS (w)", "WINDOW_NO_PARTITION", 0, {}),
+    ("SELECT SUM(x) OVER (w) FROM t WINDOW v AS (ORDER BY b), w AS v", "WINDOW_NO_PARTITION", 1, {"function": "SUM"}),
+    ("SELECT SUM(x) OVER w FROM t WINDOW w AS (ORDER BY b) UNION ALL SELECT SUM(x) OVER w FROM u WINDOW w AS (PARTITION BY a)", "WINDOW_NO_PARTITION", 1, {}),
+    ("SELECT a FROM (SELECT a, COUNT(DISTINCT z) OVER w FROM t WHERE (a = 1 OR b = 2) WINDOW w AS (ORDER BY b)) q", "WINDOW_NO_PARTITION", 1, {"function": "COUNT"}),
+    ("SELECT LAG(x, 1) OVER W FROM t WINDOW w AS ()", "WINDOW_NO_PARTITION", 1, {"function": "LAG"}),
+    ("SELECT SUM(x) OVER (), SUM(y) OVER (ROWS UNBOUNDED PRECEDING) FROM t", "WINDOW_NO_PARTITION", 2, {"function": "SUM"}),
+    ("SELECT a AS window FROM t WHERE note = 'OVER w WINDOW w AS (ORDER BY b)'", "WINDOW_NO_PARTITION", 0, {}),
     ("SELECT a FROM t WHERE k NOT IN (SELECT k FROM (SELECT k FROM (SELECT k FROM (SELECT k FROM u) v) w) x)", "NOT_IN_NULLS", 1, {"column": "k", "kind": "subquery"}),
     ("SELECT a FROM t WHERE x IN (SELECT k FROM u) AND y NOT IN (SELECT k FROM u)", "NOT_IN_NULLS", 1, {"column": "y"}),
     ("SELECT a FROM t WHERE c = 1 OR c = 2 OR c = 3 OR c = 4 OR c = 5 OR c = 6 OR c = 7 OR c = 8 OR c = 9 OR c = 10 OR c = 11", "OR_TO_IN", 1,

@@ -12,6 +12,8 @@ regular expression:
 * ``marked``: the code with plain function calls and arithmetic parentheses inside ``⟨⟩``.
 * ``segs``: one flat text per parenthesis left, innermost first, and the outermost text. A
   parenthesis inside a segment is shown as ``#``.
+* ``scopes``: like ``segs``, but groups of conditions and window definitions stay in place, inside
+  ``⟦⟧``: one text per SELECT, whose conditions and named windows stand in the clause they belong to.
 
 Calls and parentheses are opened until nothing changes; the number of passes is bounded by the
 number of parentheses of the statement itself.
@@ -27,8 +29,9 @@ LITERAL = r"'\d:\d+'"
 NOT_CALLS = "IN|EXISTS|AS|ON|AND|OR|NOT|WHERE|FROM|JOIN|USING|OVER|VALUES|BY|SELECT|ANY|ALL|SOME|WHEN|THEN|UNION"
 CLAUSE_END = (
     r"(?=\bWHERE\b|\bGROUP BY\b|\bHAVING\b|\bORDER BY\b|\bLIMIT\b|\bUNION\b|\bINTERSECT\b|\bEXCEPT\b"
-    r"|\bWINDOW\b|\bQUALIFY\b|\bWHEN\b|;|$)"
+    r"|\bWINDOW\b|\bQUALIFY\b|\bWHEN (?:NOT )?MATCHED\b|;|$)"
 )
+WINDOW_PARTS = "PARTITION BY|DISTRIBUTE BY|ORDER BY|SORT BY|CLUSTER BY|ROWS|RANGE|GROUPS"
 OPERATOR = r"(<=|>=|<>|!=|=|<|>|\bNOT I?LIKE\b|\bI?LIKE\b|\bNOT IN\b|\bIN\b)"
 IDENTIFIER = r"([A-Za-z_][\w.]*+)(?! ?⟨)"
 TOKEN = (
@@ -133,6 +136,45 @@ def segments(marked: Column) -> Column:
     return F.transform(F.array(opened), lambda x: F.concat(x["found"], F.array(x["text"])))[0]
 
 
+def scopes_marked(marked: Column) -> Column:
+    """Groups of conditions and window definitions inside ⟦⟧, and OVER (w …) as OVER w."""
+    group = r"(?i)(\b(?:WHERE|AND|OR|NOT|ON|HAVING|WHEN|THEN|ELSE|CASE)|[(⟦]) ?\((?![^()]*\bSELECT\b)([^()]*+)\)"
+    definition = rf"(?i)\b(AS) ?\((?=\)|\w+ ?\)|(?:\w+ )?(?:{WINDOW_PARTS})\b)([^()]*+)\)"
+    named = F.regexp_replace(marked, rf"(?i)\b(OVER) ?\((?!(?:{WINDOW_PARTS})\b)(\w+)[^()]*+\)", "$1 $2")
+    placed = settled(named, how_many(named, "("), lambda t: F.regexp_replace(
+        F.regexp_replace(t, group, "$1 ⟦$2⟧"), definition, "$1 ⟦$2⟧"))
+    # Most statements have none of these, and keep their text.
+    return F.when(marked.rlike(r"(?i)(?:\b(?:WHERE|AND|OR|NOT|WHEN|THEN|ELSE|CASE) ?|[(])\(|\bWINDOW\b"), placed).otherwise(marked)
+
+
+def scopes(marked: Column) -> Column:
+    """One text per SELECT: the segments of the marked scopes, cut at set operators."""
+    return F.filter(F.flatten(F.transform(segments(scopes_marked(marked)), lambda s: F.split(
+        s, r"(?i)\b(?:UNION|INTERSECT|EXCEPT|MINUS)\b(?: (?:ALL|DISTINCT)\b)?"))), lambda s: s != "")
+
+
+def window_uses(scope: Column) -> Column:
+    """(before, name, known, divided) per OVER name of a scope: the text in front, whether the scope
+    defines the window, and whether its definition, or the one that it builds on, has partitions."""
+    clause = F.regexp_extract(scope, r"(?i)\bWINDOW (\w+ AS\b.*)$", 1)
+    defined = F.transform(
+        F.regexp_extract_all(clause, F.lit(r"(?i)\w+ AS (?:⟦[^⟦⟧]*⟧|\w+)"), F.lit(0)),
+        lambda d: F.struct(
+            F.lower(F.regexp_extract(d, r"^(\w+)", 1)).alias("name"),
+            F.lower(F.regexp_extract(d, r"(?i)^\w+ AS ⟦? ?(\w+)", 1)).alias("base"),
+            d.rlike(r"(?i)\b(?:PARTITION|DISTRIBUTE) BY\b").alias("divided")))
+    start = F.transform(F.filter(defined, lambda d: d["divided"]), lambda d: d["name"])
+    divided = settled(start, F.size(defined), lambda names: F.array_distinct(F.concat(names, F.transform(
+        F.filter(defined, lambda d: F.array_contains(names, d["base"])), lambda d: d["name"]))))
+    pieces = F.split(scope, r"(?i)\bOVER (?=\w)")
+    name = lambda k: F.lower(F.regexp_extract(F.get(pieces, k), r"^(\w+)", 1))
+    uses = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda before, k: F.struct(
+        before.alias("before"), name(k + 1).alias("name"),
+        F.exists(defined, lambda d: d["name"] == name(k + 1)).alias("known"),
+        F.array_contains(divided, name(k + 1)).alias("divided")))
+    return uses
+
+
 def heads(segs: Column) -> Column:
     """Each segment's text up to its first inner parenthesis, which stands as it is in ``marked``."""
     return F.transform(segs, lambda s: F.struct(F.substring_index(s, "#", 1).alias("head"), s.alias("seg")))
@@ -159,9 +201,10 @@ def from_slices(segs: Column) -> Column:
 
 
 def predicates(wheres: Column) -> Column:
-    """WHERE slices cut at AND and OR."""
+    """WHERE slices cut at AND and OR, at groups and at the branches of CASE."""
+    cut = r"(?i)\b(?:AND|OR|CASE|WHEN|THEN|ELSE|END)\b|[⟦⟧]"
     return F.filter(
-        F.transform(F.flatten(F.transform(wheres, lambda w: F.split(w, r"(?i)\b(?:AND|OR)\b"))), lambda x: F.trim(x)),
+        F.transform(F.flatten(F.transform(wheres, lambda w: F.split(w, cut))), lambda x: F.trim(x)),
         lambda p: p != "",
     )
 

@@ -85,7 +85,8 @@ def prepared(statements: DataFrame, text: str = "statement_text") -> DataFrame:
     df = df.withColumns({"parts": lx.literal_parts(F.col("_tokens")), "code": lx.masked_code(F.col("_tokens"))}).drop("_tokens")
     df = df.withColumn("marked", lx.calls_marked(F.col("code")))
     df = df.withColumn("segs", lx.segments(F.col("marked")))
-    df = df.withColumns({"wheres": lx.where_slices(F.col("segs")), "froms": lx.from_slices(F.col("segs"))})
+    df = df.withColumn("scopes", lx.scopes(F.col("marked")))
+    df = df.withColumns({"wheres": lx.where_slices(F.col("scopes")), "froms": lx.from_slices(F.col("segs"))})
     return df.withColumns({
         "preds": lx.predicates(F.col("wheres")),
         "tables": lx.table_names(F.col("code"), F.col("segs")),
@@ -447,19 +448,25 @@ def not_in_nulls() -> Column:
 
 
 def window_no_partition() -> Column:
-    windows = F.filter(lx.heads(F.array_distinct(S.segs)), lambda h: h["seg"].rlike(r"(?i)^OVER ?\(")
-                       & ~h["seg"].rlike(r"(?i)\bPARTITION BY\b"))
+    windows = F.filter(lx.heads(F.array_distinct(S.segs)), lambda h: h["seg"].rlike(rf"(?i)^OVER ?\((?: ?\)|{lx.WINDOW_PARTS})")
+                       & ~h["seg"].rlike(r"(?i)\b(?:PARTITION|DISTRIBUTE) BY\b"))
 
     def one(before: Column) -> Column:
         # The call in front, its arguments closed from the inside out.
         call = lx.settled(F.regexp_replace(before, r"(?i)\bCOUNTDISTINCT:[\w.]+(?:⟨[^⟨⟩]*+⟩)?+", "COUNT§"),
                           lx.how_many(before, "⟨"), lambda x: F.regexp_replace(x, "⟨[^⟨⟩]*+⟩", "§"))
-        function = F.upper(F.regexp_extract(call, r"(\w+) ?§ ?$", 1))
+        function = F.upper(F.regexp_extract(call, r"(\w+) ?[§#] ?$", 1))
         return F.when(function != "", finding(
             "high", says(function, " runs over one single partition"),
             F.lit("Add PARTITION BY with a key of many values"), function=function))
 
-    return F.flatten(F.transform(windows, lambda h: F.array_compact(F.transform(lx.texts_before(S.marked, h["head"]), one))))
+    def by_name(scope: Column) -> Column:
+        loose = F.filter(lx.window_uses(scope), lambda u: u["known"] & ~u["divided"])
+        return F.array_compact(F.transform(loose, lambda u: one(u["before"])))
+
+    here = F.flatten(F.transform(windows, lambda h: F.array_compact(F.transform(lx.texts_before(S.marked, h["head"]), one))))
+    named = F.filter(S.scopes, lambda s: s.rlike(r"(?i)\bWINDOW\b"))
+    return F.concat(here, F.flatten(F.transform(named, by_name)))
 
 
 def union_no_all() -> Column:
