@@ -201,6 +201,41 @@ def test_licence_templates_are_found(spark):
     assert (got[91]["n_base"], got[91]["first_word"], got[91]["last_word"]) == (3, 0, 4)
 
 
+def _changed(text, phrases, step, how):
+    """Every ``step``-th word outside the mandatory phrases replaced, or a word added there once."""
+    words, out = text.split(), []
+    inside = {k + j for p in phrases for k in range(len(words)) if words[k : k + len(p.split())] == p.split()
+              for j in range(len(p.split()))}
+    for k, word in enumerate(words):
+        hit = k % step == step - 1 and k not in inside
+        out += [f"other{k}"] if hit and how == "replace" else [f"more{k}", word] if hit and k < 2 * step else [word]
+    return " ".join(out)
+
+
+def test_licences_are_decided_by_rare_words_in_place(spark):
+    """A phrase alone is none; one word in five replaced, or some added, still is."""
+    long = [x for x in license_scan.TEMPLATES if len(x[1].split()) >= 10]
+    rows = [(1, "published by the free software foundation in a book"), (2, "the mozilla public license party"),
+            (3, "apache license version 2 0 is a name"), (4, " ".join(reversed(long[0][1].split())))]
+    want = {1: "", 2: "", 3: "apache", 4: ""}
+    for how in ("replace", "add"):
+        for label, text, phrases in long:
+            want[len(rows) + 1] = label
+            rows.append((len(rows) + 1, "Some code. " + _changed(text, phrases, 5, how) + " end"))
+    rows.append((len(rows) + 1, (long[0][1] + " and then " + long[4][1] + " ") * 300))
+    want[len(rows)] = long[0][0]
+    got = {r["doc_id"]: r for r in license_scan.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k, label in want.items():
+        assert (label in got[k]["labels"].split(",")) if k > 4 else got[k]["labels"] == label, (k, got[k], rows[k - 1])
+    assert 0.75 <= got[5]["score"] < 1.0 and got[len(rows)]["score"] == 1.0
+
+
+def test_licence_templates_are_a_parameter(spark):
+    mine = (("beer", "as long as you keep this notice you can do whatever you want and buy me a beer", ("buy me a beer",)),)
+    docs = spark.createDataFrame([(1, mine[0][1].upper()), (2, "buy me a beer"), (3, None)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan.scanned(docs, mine).collect()} == {1: "beer", 2: "", 3: ""}
+
+
 def test_licences_of_odd_rows(odd, none):
     got = [r for r in license_scan.scanned(odd).collect()]
     want = sorted(map(str, (brute.licenses(t) for _, t, _, _ in ROWS)))

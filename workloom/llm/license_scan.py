@@ -1,13 +1,16 @@
 """Licence scan: a positional index of rare licence words.
 
 The words of the licence templates are the vocabulary; document frequencies of its words are
-counted over all documents. For each template a document is looked up by its highest-IDF words of
-that template, always with the rarest word of a mandatory phrase among them. Postings of these
-words, taken relative to their place in the template, give alignments; an alignment is verified by
-a mandatory phrase word for word, and scored by the share of template words that stand in place.
+counted over all documents. The index has postings of each template's ``RARE_WORDS`` highest-IDF words,
+and of the rarest word of each mandatory phrase: word -> (template, place). Every place of such a word
+in a document votes for the alignments (template, document place less template place) of its postings. An
+alignment is taken if ``AGREE`` of the template's rare places outside the mandatory phrase vote for
+it, up to ``DRIFT`` words off, and the phrase stands there word for word; its score is the share of template
+words in place. So a phrase alone is no licence, unless the template is hardly more than the phrase, and
+a licence with words replaced or a few added is found as long as a phrase is whole.
 
 Base places are the phrases of ``BASE``. Null or empty texts have no words. Rows are judged one by
-one, so repeated rows get equal results.
+one, so repeated rows get equal results. Templates are a parameter: (label, text, mandatory phrases).
 """
 
 from __future__ import annotations
@@ -67,32 +70,68 @@ TEMPLATES = (
      "this is free and unencumbered software released into the public domain",
      ("free and unencumbered software",)),
 )
-#: Highest-IDF words of a template that a document is looked up by.
-RARE_WORDS = 6
+Template = tuple[str, str, tuple[str, ...]]
+#: Highest-IDF words of a template that have postings.
+RARE_WORDS = 12
+#: Share of a template's rare places outside the phrase that must vote for an alignment.
+AGREE = 0.5
+#: Words by which a vote may lie off the alignment.
+DRIFT = 3
 
 
 class Index:
-    """Vocabulary, templates and postings as arrays of word numbers."""
+    """Vocabulary and templates as arrays of word numbers, and the postings of rare words."""
 
-    def __init__(self) -> None:
-        texts = [phrase for phrase, _ in BASE] + [text for _, text, _ in TEMPLATES]
+    def __init__(self, templates: tuple[Template, ...] = TEMPLATES) -> None:
+        texts = [phrase for phrase, _ in BASE] + [text for _, text, _ in templates]
         self.words = sorted({w for text in texts for w in text.split()})
         number = {w: k for k, w in enumerate(self.words)}
         data, offsets = flat(pa.array(self.words, pa.string()))
         hashes = span_hashes(data, offsets[:-1], offsets[1:], byte_codes(fold_case=True))
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
-        self.base = [(np.array([number[w] for w in phrase.split()]), label) for phrase, label in BASE]
-        self.templates = [
-            (label, np.array([number[w] for w in text.split()]), [np.array([number[w] for w in p.split()]) for p in phrases])
-            for label, text, phrases in TEMPLATES
-        ]
+        run = lambda text: np.array([number[w] for w in text.split()])
+        self.base = [(run(phrase), label) for phrase, label in BASE]
+        self.labels = [label for label, _, _ in templates]
+        self.templates = [run(text) for _, text, _ in templates]
+        self.phrases = [[run(p) for p in phrases] for _, _, phrases in templates]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary number of each word, -1 for other words."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.order[at], -1)
 
+    def post(self, idf: np.ndarray) -> None:
+        """Postings by word, and per template the ways to hold it: where a phrase stands, and the rare
+        places outside of it."""
+        rows, self.ways = [], []
+        for t, (template, phrases) in enumerate(zip(self.templates, self.phrases)):
+            words = np.unique(template)
+            rare = words[np.argsort(-idf[words], kind="stable")][:RARE_WORDS]
+            rare = np.union1d(rare, [p[np.argmax(idf[p])] for p in phrases])
+            places = np.flatnonzero(np.isin(template, rare))
+            rows += [(template[k], t, k) for k in places.tolist()]
+            self.ways.append([
+                (phrase, inside, outside, math.ceil(AGREE * len(outside)))
+                for phrase in phrases for inside in _found(template, phrase).tolist()
+                for outside in [places[(places < inside) | (places >= inside + len(phrase))]]])
+        rows = np.array(sorted(rows), np.int64).reshape(-1, 3)
+        self.template_of, self.place_of = rows[:, 1], rows[:, 2]
+        self.first = np.searchsorted(rows[:, 0], np.arange(len(self.words) + 1))
+        #: Votes without which no way of a template holds; the phrase has one of its own.
+        self.least = np.array([1 + min((need for *_, need in ways), default=len(self.words)) for ways in self.ways])
+
+    def votes(self, numbers: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(doc, template, shift, template place) of all rare words of a slice, in this order."""
+        known = np.flatnonzero(numbers >= 0)
+        low, size = self.first[numbers[known]], np.diff(self.first)[numbers[known]]
+        word = np.repeat(known, size)
+        posting = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - low, size)
+        d, t, q = doc[word], self.template_of[posting], self.place_of[posting]
+        shift = place[word] - q
+        order = np.lexsort((q, shift, t, d))
+        return d[order], t[order], shift[order], q[order]
+
 
 def _found(numbers: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     """Places where a phrase stands in a run of word numbers."""
@@ -105,9 +144,9 @@ def _found(numbers: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[int, list[int]]:
+def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> tuple[int, list[int]]:
     """Number of documents, and of those that contain each vocabulary word (a bounded list)."""
-    index = Index()
+    index = Index(templates)
     size = len(index.words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,41 +170,36 @@ def document_frequencies(docs: DataFrame) -> tuple[int, list[int]]:
     return found.get(-1, 0), [found.get(k, 0) for k in range(size)]
 
 
-def scan_numbers(numbers: np.ndarray, index: Index, idf: np.ndarray) -> tuple[set[str], float]:
-    """Verified labels of one document's word numbers, and the best score."""
-    labels, best = set(), 0.0
-    present = np.zeros(len(index.words), bool)
-    present[numbers[numbers >= 0]] = True
-    for label, template, phrases in index.templates:
-        there = [p for p in phrases if present[p].all()]
-        if not there:
-            continue
-        words = np.unique(template[present[template]])
-        rare = words[np.argsort(-idf[words], kind="stable")][:RARE_WORDS]
-        rare = np.unique(np.concatenate((rare, [p[np.argmax(idf[p])] for p in there])))
-        # Relative positions at which postings of rare words agree with the document.
-        shifts = np.unique(np.concatenate([
-            (np.flatnonzero(numbers == w)[:, None] - np.flatnonzero(template == w)[None, :]).ravel() for w in rare]))
-        good = np.zeros(len(shifts), bool)
-        for phrase in there:
-            starts = _found(numbers, phrase)
-            for inside in _found(template, phrase):
-                good |= np.isin(shifts, starts - inside)
-        for shift in shifts[good].tolist():
-            low, high = max(0, shift), min(len(numbers), shift + len(template))
-            share = float(np.mean(template[low - shift : high - shift] == numbers[low:high])) * (high - low) / len(template)
-            labels.add(label)
-            best = max(best, share)
-    return labels, best
-
-
-def scanned(docs: DataFrame) -> DataFrame:
+def alignments(index: Index, numbers: np.ndarray, words) -> Iterator[tuple[int, str, float]]:
+    """(row, label, score) of the alignments of a slice that hold."""
+    d, t, shift, q = index.votes(numbers, words.doc, np.arange(len(numbers)) - words.first[words.doc])
+    if not len(d):
+        return
+    # One number that keeps the order of (row, template, shift), with room for the drift.
+    longest = max(map(len, index.templates))
+    wide = int(np.diff(words.first).max()) + longest + 4 * DRIFT
+    key = (d * len(index.templates) + t) * wide + shift + longest + DRIFT
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    low, high = np.searchsorted(key, key[first] - DRIFT), np.searchsorted(key, key[first] + DRIFT, "right")
+    for k in np.flatnonzero(high - low >= index.least[t[first]]).tolist():
+        at, template = first[k], index.templates[t[first[k]]]
+        begin, end = words.first[d[at]], words.first[d[at] + 1]
+        places = np.unique(q[low[k] : high[k]])
+        start = begin + shift[at]
+        for phrase, inside, outside, need in index.ways[t[at]]:
+            x, y = start + inside, start + inside + len(phrase)
+            if begin <= x and y <= end and len(np.intersect1d(places, outside, assume_unique=True)) >= need and (
+                    numbers[x:y] == phrase).all():
+                x, y = max(start, begin), min(start + len(template), end)
+                yield int(d[at]), index.labels[t[at]], float((template[x - start : y - start] == numbers[x:y]).sum()) / len(template)
+                break
+
+
+def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """Per document: words, base places and labels, all labels, and the score of the best template."""
-    index = Index()
-    rows, counts = document_frequencies(docs)
-    idf = np.array([math.log((rows + 1) / (n + 1)) for n in counts])
-    # Words without which no mandatory phrase is complete: one for each phrase.
-    keys = np.unique([p[np.argmax(idf[p])] for _, _, phrases in index.templates for p in phrases])
+    index = Index(templates)
+    rows, counts = document_frequencies(docs, templates)
+    index.post(np.array([math.log((rows + 1) / (n + 1)) for n in counts]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = byte_codes(fold_case=True)
@@ -185,9 +219,9 @@ def scanned(docs: DataFrame) -> DataFrame:
                         places[row].append(hit - int(words.first[row]))
                         base[row].add(label)
                 labels, scores = [set(x) for x in base], [0.0] * n
-                for row in np.unique(words.doc[np.isin(numbers, keys)]).tolist():
-                    more, scores[row] = scan_numbers(numbers[words.first[row] : words.first[row + 1]], index, idf)
-                    labels[row] |= more
+                for row, label, share in alignments(index, numbers, words):
+                    labels[row].add(label)
+                    scores[row] = max(scores[row], share)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(low, n),
                     pa.array(np.diff(words.first), pa.int64()),
