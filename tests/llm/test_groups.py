@@ -279,6 +279,61 @@ def test_edited_and_partial_copies(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == set(enumerate(want))
 
 
+def test_runs_of_numbers_make_no_pairs(spark):
+    """Documents and items that have nothing but numbers in a row in common do not meet, copies do."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(1_000_000)}"
+    number = lambda: str(rng.randrange(1000))
+    items = [(k, " ".join([word() for _ in range(9)] + [number() for _ in range(7)] + [word() for _ in range(3)])) for k in range(1, 101)]
+    docs = [(k, " ".join([word() for _ in range(20)] + [number() for _ in range(40)] + [word() for _ in range(20)])) for k in range(1, 101)]
+    docs += [(500 + k, f"{word()} {word()} {items[k][1]} {word()}") for k in range(5)]
+    only = [(900, "2 4 8 16 32 64 128"), (901, " ".join([word() for _ in range(6)]) + " 2 4 8 16 32 64 128 " + word())]
+    bench = spark.createDataFrame([*items, only[0]], "item_id bigint, text string")
+    docs = spark.createDataFrame([*docs, only[1]], "doc_id bigint, text string")
+    found = template_leaks.near_items(docs, template_leaks.template_items(bench))
+    assert found.select("doc_id", "variant").distinct().filter("doc_id < 900").groupBy("variant").count().filter("count > 1").count() == 1
+    got = {(r["doc_id"], r["item_id"]) for r in template_leaks.contaminated(docs, bench).collect()}
+    assert {(500 + k, k + 1) for k in range(5)} | {(901, 900)} <= got and {i for _, i in got} == {1, 2, 3, 4, 5, 900}
+
+
+def test_long_items_are_aligned_in_a_band():
+    """One word of 1,500 changed is seen, an item of 20,000 words is held, with a part put in between."""
+    rng = np.random.default_rng(5)
+    for n in (1_500, 20_000):
+        item = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        doc = np.concatenate((rng.integers(1, 1 << 62, 100).astype(np.uint64), item))
+        doc[700] += np.uint64(1)
+        doc = np.insert(doc, 900, rng.integers(1, 1 << 62, 30).astype(np.uint64))
+        share, exact = template_leaks.held((item, item), (doc, doc), 130 // template_leaks.DRIFT)
+        assert share == (n - 1) / n and exact
+    same = np.zeros((40, 300), bool)
+    same[5:34, 7] = True
+    assert not template_leaks.verbatim(same)
+    same[34, 7] = True
+    assert template_leaks.verbatim(same)
+
+
+def test_leaks_by_rate_of_edits(spark):
+    """Items of 40 words, each word changed with a chance; below the coverage nothing is owed."""
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(1_000_000)}"
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(1, 61)]
+    docs, owed = [], {}
+    for rate in (0.02, 0.05, 0.1):
+        for k, text in items:
+            words = [word() if rng.random() < rate else w for w in text.split()]
+            i = len(docs) + 1
+            if sum(a == b for a, b in zip(words, text.split())) >= 32:
+                owed.setdefault(rate, set()).add((i, k))
+            docs.append((i, " ".join([word() for _ in range(10)] + words + [word() for _ in range(10)])))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in template_leaks.contaminated(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
+    assert got <= set().union(*owed.values())
+    for rate, pairs in owed.items():
+        assert len(pairs & got) >= 0.98 * len(pairs), (rate, len(pairs & got), len(pairs))
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, brute.small("word0 said0 word1 said1 word2 said2 word3 said3"), "x")], "item_id bigint, text string, h string")
     found = template_leaks.contaminated(odd, bench)

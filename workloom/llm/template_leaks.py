@@ -3,13 +3,16 @@
 Words lose outer punctuation and case. Numbers (also written-out ones), capitalised words and units
 after numbers become typed placeholders; what stood there is a slot value. Windows of five
 template words of the benchmark and of the documents are joined by hash, and beside them windows in
-which names stay words: case tells names, so a copy in lower or upper case has other ones.
+which names stay words: case tells names, so a copy in lower or upper case has other ones. A window of nothing but
+placeholders says little and may stand in very many texts; where an item has others, it is met by its own words
+instead. Places are joined by cells of ``DRIFT`` words, so long runs of like windows meet once a cell.
 A passage of a document is a candidate if it shares a window with an item (so copies without five words
 in a row between two edits are not met). Candidates are decided on the texts: item and passage are
 aligned word by word, 80 % of the item's words must stand in line, and the slots of this alignment agree: each slot value of the
 item always becomes the same value of the document (``SLOTS`` of the distinct values at least). Equal
 windows at other shifts, as in runs of names or numbers, contradict nothing. ``VERBATIM`` equal words of
-an item in a row are a leak of their own.
+an item in a row are a leak of their own. The alignment is looked for in a band: parts of an item that lie more than
+``BAND`` words off the rest aren't lined up with it, and memory grows with the item's words, not with their square.
 
 Items of one template and one slot pattern form a class, named by the smallest item_id, so a family of
 like questions is met once. Before the join a bitmap of fixed size drops document windows that no
@@ -42,6 +45,9 @@ VERBATIM = 30
 SLOTS = 0.8
 #: Alignments (document place less item place) up to this far apart belong to one passage.
 DRIFT = 16
+BAND = 256
+#: Items that are compared with one copy of a text, about.
+CHUNK = 32
 
 #: Words that stand for numbers, and units.
 NUMBER_WORDS = (
@@ -113,11 +119,14 @@ def _placeholder(template: np.ndarray) -> np.ndarray:
     return (template == NAME) | (template == NUMBER) | (template == UNIT)
 
 
-def _both_windows(word: np.ndarray, template: np.ndarray, first: np.ndarray):
-    """Hashes of all windows with names as placeholders, and as the words they are; and their first words."""
+def _windows(word: np.ndarray, template: np.ndarray, first: np.ndarray):
+    """Hashes of all windows with names as placeholders, with names as words, and of the words as they are; which
+    windows are nothing but placeholders; and the first word of each."""
     h, at = windows(template, first, WINDOW)
     plain, _ = windows(np.where(template == NAME, word, template), first, WINDOW)
-    return h, plain, at
+    own, _ = windows(word, first, WINDOW)
+    total = np.concatenate(([0], np.cumsum(_placeholder(template))))
+    return h, plain, own, total[at + WINDOW] - total[at] == WINDOW, at
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple, tuple]]:
@@ -139,7 +148,11 @@ def template_items(benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             for low, high, raw, lower in _slices(batch):
                 word, template, first = canonical(raw, lower)
-                h, plain, _ = _both_windows(word, template, first)
+                h, plain, raw_h, blank, at = _windows(word, template, first)
+                row = np.searchsorted(first, at, "right") - 1
+                blank &= (np.bincount(row[~blank], minlength=high - low) > 0)[row]  # others tell more
+                plain = np.where(blank & (plain == h), raw_h, plain)
+                h = np.where(blank, raw_h, h)
                 keys, variants = [], []
                 for k in range(high - low):
                     run, own = template[first[k] : first[k + 1]], word[first[k] : first[k + 1]]
@@ -171,26 +184,31 @@ def template_items(benchmark: DataFrame) -> DataFrame:
 
 
 def document_windows(docs: DataFrame, known: Bitmap) -> DataFrame:
-    """Windows of documents that pass the bitmap: doc_id, text hash, place, h."""
+    """Windows of documents that pass the bitmap, once for each cell of places: doc_id, text hash, cell, h."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, raw, lower in _slices(batch):
                 word, template, first = canonical(raw, lower)
-                h, plain, at = _both_windows(word, template, first)
-                other = np.flatnonzero(plain != h)
-                h, at = np.concatenate((h, plain[other])), np.concatenate((at, at[other]))
-                row = np.searchsorted(first, at, "right") - 1
+                h, plain, own, blank, at = _windows(word, template, first)
+                other, blank = np.flatnonzero(plain != h), np.flatnonzero(blank)
+                h, at = np.concatenate((h, plain[other], own[blank])), np.concatenate((at, at[other], at[blank]))
                 hit = known.has(h)
                 if hit.any():
-                    take = pa.array(row[hit] + low, pa.int64())
+                    h, at = h[hit], at[hit]
+                    row = np.searchsorted(first, at, "right") - 1
+                    cell = (at - first[row]) // DRIFT
+                    order = np.lexsort((h, cell, row))
+                    row, cell, h = row[order], cell[order], h[order]
+                    new = np.concatenate(([True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1]) | (h[1:] != h[:-1])))
+                    take = pa.array(row[new] + low, pa.int64())
                     yield pa.RecordBatch.from_arrays([
                         batch.column("doc_id").take(take), batch.column("th").take(take),
-                        pa.array((at - first[row])[hit], pa.int64()), pa.array(signed(h[hit]), pa.int64()),
-                    ], ["doc_id", "th", "at", "h"])
+                        pa.array(cell[new], pa.int64()), pa.array(signed(h[new]), pa.int64()),
+                    ], ["doc_id", "th", "cell", "h"])
 
     return docs.select("doc_id", "text", F.lower("text").alias("lower"), F.xxhash64("text").alias("th")).mapInArrow(
-        work, "doc_id bigint, th bigint, at bigint, h bigint")
+        work, "doc_id bigint, th bigint, cell bigint, h bigint")
 
 
 def texts_of(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -205,40 +223,34 @@ def texts_of(docs: DataFrame, candidates: DataFrame) -> DataFrame:
         ["th"]).select("th", "text", F.lower("text").alias("lower"))
 
 
-def _diagonals(match: np.ndarray) -> np.ndarray:
-    """All alignments without a gap, one a row, of a matrix item words x document words."""
-    n, wide = match.shape
-    x, y = match.strides
-    return np.lib.stride_tricks.as_strided(match, (wide - n + 1, n), (y, x + y))
-
-
-def align(match: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def align(match: np.ndarray, same: np.ndarray, main: slice) -> tuple[np.ndarray, np.ndarray]:
     """Item places and document places that stand in line: as many as can, by preference equal words.
-    A matching word may lie up to ten document words off the rest, a longer part farther."""
-    rows = _diagonals(match)
-    counts = rows.sum(axis=1) * 1000 + _diagonals(same).sum(axis=1)
-    best = int(counts.argmax())
+    A row is an item word, a column how far the document word lies from it; ``main`` are the columns of
+    the alignments looked for. A matching word may lie up to ten document words off the rest, a longer
+    part farther."""
     n, wide = match.shape
-    if counts[best] >= 1000 * n:
-        return np.arange(n), np.arange(n) + best
-    gap, step = 100, np.arange(wide + 1) * 100
+    hits = match[:, main].sum(axis=0)
+    best = int((hits * (n + 1) + same[:, main].sum(axis=0)).argmax())
+    if hits[best] == n:
+        return np.arange(n), np.arange(n) + main.start + best
+    step = np.arange(wide) * 100
     gain = np.where(match, 1000 + same, -1).astype(np.int64)
-    scores = np.zeros((n + 1, wide + 1), np.int64)
+    scores = np.zeros((n + 1, wide), np.int64)
     for i in range(n):
-        row = scores[i] - 1
-        row[1:] = np.maximum(row[1:], scores[i, :-1] + gain[i])
-        scores[i + 1] = np.maximum.accumulate(row + step) - step
-    i, j = n, int(scores[n].argmax())
+        row = scores[i] + gain[i]
+        row[:-1] = np.maximum(row[:-1], scores[i, 1:] - 1)  # the item's word has no partner
+        scores[i + 1] = np.maximum.accumulate(row + step) - step  # nor have the document's
+    i, k = n, int(scores[n].argmax())
     pairs = []
-    while i and j:
-        if scores[i, j] == scores[i - 1, j - 1] + gain[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-            if match[i, j]:
-                pairs.append((i, j))
-        elif scores[i, j] == scores[i - 1, j] - 1:
+    while i:
+        if scores[i, k] == scores[i - 1, k] + gain[i - 1, k]:
             i -= 1
+            if match[i, k]:
+                pairs.append((i, i + k))
+        elif k + 1 < wide and scores[i, k] == scores[i - 1, k + 1] - 1:
+            i, k = i - 1, k + 1
         else:
-            j -= 1
+            k -= 1
     out = np.array(pairs[::-1], np.int64).reshape(-1, 2)
     return out[:, 0], out[:, 1]
 
@@ -247,35 +259,41 @@ def verbatim(same: np.ndarray) -> bool:
     """Whether VERBATIM words of the item stand in the document in a row."""
     if len(same) < VERBATIM:
         return False
-    total = np.cumsum(_diagonals(same), axis=1, dtype=np.int32)
-    return bool((total[:, VERBATIM - 1] == VERBATIM).any() or (total[:, VERBATIM:] - total[:, :-VERBATIM] == VERBATIM).any())
+    total = np.cumsum(same, axis=0, dtype=np.int32)
+    return bool((total[VERBATIM - 1] == VERBATIM).any() or (total[VERBATIM:] - total[:-VERBATIM] == VERBATIM).any())
 
 
 def held(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], grid: int):
     """Whether a text holds an item near one alignment, given both as words and templates: None, or the
     share of the item's words that stand in line, and whether all slots are equal."""
     (iw, it), n = item, len(item[0])
-    low = (grid - 1) * DRIFT
-    places = np.arange(low, low + 3 * DRIFT + n)
-    inside = (places >= 0) & (places < len(doc[0]))
+    half, wide = min(n, BAND), 4 * DRIFT
+    low = (grid - 2) * DRIFT
+    places = np.arange(low - half, low + wide + n + half)
+    inside = (places >= max(low, 0)) & (places < min(low + wide + n, len(doc[0])))
     dw, dt = (np.where(inside, x[np.clip(places, 0, len(x) - 1)], np.uint64(0)) for x in doc)
     slot = _placeholder(it)
     need = COVERAGE * n
     if (np.isin(iw, dw) | slot & np.isin(it, dt)).sum() < min(need, VERBATIM):
         return None
-    same = iw[:, None] == dw[None, :]
-    match = same | (slot[:, None] & (it[:, None] == dt[None, :]))
-    i, j = align(match, same)
+    near = lambda x: np.lib.stride_tricks.sliding_window_view(x, wide + 2 * half + 1)
+    same = iw[:, None] == near(dw)
+    match = same | (slot[:, None] & (it[:, None] == near(dt)))
+    main = slice(half, half + wide + 1)
+    i, j = align(match, same, main)
     at = slot[i]
     pairs = set(zip(iw[i[at]].tolist(), dw[j[at]].tolist()))
-    if (len(i) < need or len({x for x, _ in pairs}) < SLOTS * len(pairs)) and not verbatim(same):
+    if (len(i) < need or len({x for x, _ in pairs}) < SLOTS * len(pairs)) and not verbatim(same[:, main]):
         return None
     return len(i) / n, all(x == y for x, y in pairs)
 
 
 def verified(candidates: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
-    """(th, item_id, n_items, coverage, exact) of the candidates (th, variant, grids) that hold."""
-    by_text = candidates.join(items.select("variant", "item_id", "n_items", "leads", "words", "templates"), "variant").groupBy("th").agg(
+    """(th, item_id, n_items, coverage, exact) of the candidates (th, variant, grids) that hold. The items of
+    a text come in parts of about CHUNK, each with its own copy of the text."""
+    parts = candidates.groupBy("th").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    split = candidates.join(parts, "th").withColumn("part", F.pmod(F.xxhash64("variant"), "parts"))
+    by_text = split.join(items.select("variant", "item_id", "n_items", "leads", "words", "templates"), "variant").groupBy("th", "part").agg(
         F.collect_list(F.struct("item_id", "n_items", "leads", "words", "templates", "grids")).alias("items"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,19 +320,23 @@ def verified(candidates: DataFrame, texts: DataFrame, items: DataFrame) -> DataF
     return rows.groupBy("th", "item_id", "n_items").agg(F.max("coverage").alias("coverage"), F.max("exact").alias("exact"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per contaminated document and item class: doc_id, th, item_id, n_items, coverage, and
-    exact (all slots are those of the item that names the class)."""
-    items = kept(template_items(benchmark), "item-classes")
+def near_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, th, variant, grid): documents and items that share a window, by cells of their distance."""
     places = items.select("variant", "leads", F.posexplode(
         F.arrays_zip("named", "plain")).alias("place", "x"))
     hashes = F.when(F.col("leads"), F.array_distinct(F.array("x.named", "x.plain"))).when(
         F.col("x.named") != F.col("x.plain"), F.array("x.plain"))
-    places = places.select("variant", "place", F.explode(hashes).alias("h"))
+    places = places.select("variant", F.floor(F.col("place") / DRIFT).alias("from"), F.explode(hashes).alias("h")).distinct()
     found = document_windows(docs, Bitmap.of(places, "h")).join(places, "h")
+    return found.select("doc_id", "th", "variant", (F.col("cell") - F.col("from")).alias("grid")).distinct()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per contaminated document and item class: doc_id, th, item_id, n_items, coverage, and
+    exact (all slots are those of the item that names the class)."""
+    items = kept(template_items(benchmark), "item-classes")
     # One window makes a candidate; the words decide.
-    near = kept(found.select("doc_id", "th", "variant", F.floor(
-        (F.col("at") - F.col("place")) / DRIFT).alias("grid")).distinct(), "candidates")
+    near = kept(near_items(docs, items), "candidates")
     candidates = near.groupBy("th", "variant").agg(F.collect_set("grid").alias("grids"))
     return verified(candidates, texts_of(docs, near), items).join(near.select("doc_id", "th").distinct(), "th").select(
         "doc_id", "th", "item_id", "n_items", "coverage", "exact")
