@@ -32,6 +32,9 @@ def test_sql_and_guideline_files(spark, tmp_path):
     docs = workspace.guideline_files(spark, str(tmp_path), max_bytes=1000).collect()
     assert [d.markdown for d in docs] == ["## A\ntext ü"]
     assert workspace.guideline_files(spark, str(tmp_path)).count() == 2
+    left_out, = workspace.skipped_files(spark, str(tmp_path), max_bytes=1000).collect()
+    assert left_out.path.endswith("big.md") and (left_out.bytes, left_out.reason) == (2000, "larger than 1000 bytes")
+    assert workspace.skipped_files(spark, str(tmp_path)).count() == 0
 
 
 def test_rules_table(spark):

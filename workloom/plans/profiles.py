@@ -103,6 +103,27 @@ def m8(spark, d):
     return p.approximation_error(table(spark, d, "events"), EVENT_COLUMNS)
 
 
+#: Estimates lie within three standard errors of the exact count, up to a chance of about 0.003.
+HOLDS = 3
+
+
+@query("M8_approximation_holds", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS exact, true AS holds FROM events" for c in EVENT_COLUMNS))
+def m8_holds(spark, d):
+    error = p.approximation_error(table(spark, d, "events"), EVENT_COLUMNS, 0.02)
+    return error.select("column_name", "exact", (F.col("relative_error") <= HOLDS * 0.02).alias("holds"))
+
+
+@query("M2_cardinality_approx_holds", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS rows, true AS holds FROM events" for c in EVENT_COLUMNS))
+def m2_holds(spark, d):
+    events = table(spark, d, "events")
+    exact = p.cardinality(events, EVENT_COLUMNS).select("column_name", F.col("distinct_values").alias("exact"))
+    off = F.abs(F.col("distinct_values") - F.col("exact"))
+    return p.cardinality_approx(events, EVENT_COLUMNS).join(exact, "column_name").select(
+        "column_name", "rows", (off <= HOLDS * 0.02 * F.col("exact")).alias("holds"))
+
+
 # --- profiles as stored states ----------------------------------------------------------------------
 
 _EVENT_STORES: dict[tuple[str, str], str] = {}

@@ -132,6 +132,15 @@ def r13a(spark, d):
     return r.distinct_counts_approx(table(spark, d, "orders"), ["o_orderpriority"], ["o_custkey", "o_orderdate"])
 
 
+@query("R13_distinct_approx_holds", "SELECT DISTINCT o_orderpriority, true AS n_o_custkey, true AS n_o_orderdate FROM orders")
+def r13_holds(spark, d):
+    """Whether each estimate lies within three standard errors of the exact count."""
+    orders, keys, columns = table(spark, d, "orders"), ["o_orderpriority"], ["o_custkey", "o_orderdate"]
+    near = r.distinct_counts_approx(orders, keys, columns, 0.02).select(*keys, *[F.col(f"n_{c}").alias(f"near_{c}") for c in columns])
+    return r.distinct_counts(orders, keys, columns).join(near, keys).select(*keys, *[
+        (F.abs(F.col(f"near_{c}") - F.col(f"n_{c}")) <= 3 * 0.02 * F.col(f"n_{c}")).alias(f"n_{c}") for c in columns])
+
+
 LEFT = "(SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey END AS k FROM customer)"
 RIGHT = "(SELECT CASE WHEN o_orderkey % 100 = 0 THEN NULL ELSE o_custkey * 2 END AS k FROM orders)"
 

@@ -20,8 +20,9 @@ from workloom.plans.protection import SANITISED, SEVERITY_SQL
 from workloom.plans.registry import query
 from workloom.plans.rollups import TEXTS
 from workloom.session import shared_folder
-from workloom.sources import sinks
+from workloom.sources import sinks, workspace
 from workloom.sources.tables import table
+from workloom.sources.workload import view, view_sql
 
 # Demo table -> (given table that provides the row ids, id column)
 FAMILIES = {
@@ -196,6 +197,69 @@ def s11(spark, d):
     return spark.read.schema("statement_id string, severity string, user_id string").json(path)
 
 
+ENTRY_SQL = f"""SELECT statement_id, start_time AS event_time, sha256(clean_text) AS query_hash, substr(clean_text, 1, 500) AS query_preview,
+ array_to_string(hits, ' ; ') AS patterns_detected, {SEVERITY_SQL} AS severity, executed_by AS user_id, coalesce(warehouse_id, 'unknown') AS session_id FROM {SANITISED} WHERE is_suspicious"""
+
+
+@query("S10_audit_table_entries", f"SELECT *, CAST(CAST(event_time AS DATE) AS VARCHAR) AS event_date FROM ({ENTRY_SQL})")
+def s10_entries(spark, d):
+    """All columns of the sink, and the day by which it is partitioned."""
+    path = fresh(spark, "audit")
+    sinks.append_audit(audit(spark, d), path)
+    return spark.read.parquet(path).withColumns({
+        "patterns_detected": F.array_join("patterns_detected", " ; "), "event_date": F.col("event_date").cast("string")})
+
+
+@query("S11_audit_json_entries", ENTRY_SQL)
+def s11_entries(spark, d):
+    path, entries = fresh(spark, "audit-json"), audit(spark, d)
+    sinks.append_json_lines(entries, path)
+    return spark.read.schema(entries.schema).json(path).withColumn("patterns_detected", F.array_join("patterns_detected", " ; "))
+
+
+@query("S15_date_partitioned_rows", "SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date FROM events")
+def s15_rows(spark, d):
+    path = fresh(spark, "events-by-day")
+    sinks.write_by_date(table(spark, d, "events"), path, "ts", "event_date")
+    return spark.read.parquet(path).withColumn("event_date", F.col("event_date").cast("string"))
+
+
+def file_key(name: str):
+    return F.regexp_extract("path", f"{name}=([^/]+)/", 1)
+
+
+def without_line_end(column: str):
+    return F.expr(f"substr({column}, 1, length({column}) - 1)")
+
+
+@query("S7_sql_files", f"SELECT md5(statement_text) AS digest, statement_text FROM (SELECT DISTINCT statement_text FROM {H} WHERE statement_text IS NOT NULL)")
+def s7(spark, d):
+    """Every distinct statement of the history as a file, read back from the folder."""
+    path = fresh(spark, "statements")
+    texts = history(spark, d).select("statement_text").distinct().withColumn("digest", F.md5("statement_text"))
+    sinks.write_files(texts, path, "digest", "statement_text")
+    return workspace.sql_files(spark, path, "*.txt").select(file_key("digest").alias("digest"), without_line_end("statement_text").alias("statement_text"))
+
+
+GUIDE_BYTES = 4000
+
+
+@query("S8_guideline_files", f"""SELECT CAST(doc_id AS BIGINT) AS doc_id, CASE WHEN bytes <= {GUIDE_BYTES} THEN markdown END AS markdown, CASE WHEN bytes > {GUIDE_BYTES} THEN bytes END AS skipped_bytes,
+ CASE WHEN bytes > {GUIDE_BYTES} THEN 'larger than {GUIDE_BYTES} bytes' END AS reason FROM (SELECT *, CAST(strlen(markdown) + 1 AS BIGINT) AS bytes FROM {view_sql("guidelines")} WHERE markdown IS NOT NULL)""")
+def s8(spark, d):
+    """Every guide as a file, read back; those over the limit come as rows with a reason."""
+    path = fresh(spark, "guides")
+    sinks.write_files(view(spark, d, "guidelines").select("doc_id", "markdown"), path, "doc_id", "markdown")
+    options = {"pattern": "*.txt", "max_bytes": GUIDE_BYTES}
+    read = workspace.guideline_files(spark, path, **options).select(
+        file_key("doc_id").cast("bigint").alias("doc_id"), without_line_end("markdown").alias("markdown"),
+        F.lit(None).cast("bigint").alias("skipped_bytes"), F.lit(None).cast("string").alias("reason"))
+    skipped = workspace.skipped_files(spark, path, **options).select(
+        file_key("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("markdown"),
+        F.col("bytes").alias("skipped_bytes"), "reason")
+    return read.unionByName(skipped)
+
+
 # --- context -------------------------------------------------------------------------------------
 
 @query("K16_statement_context", f"""SELECT p.statement_id, concat_ws(chr(10), '<context>', CASE WHEN e.rule_key IS NOT NULL THEN concat('  <violations count="1">', chr(10), '    <violation n="1" rule="', e.rule_key, '" severity="', e.severity, '">', e.message, '</violation>', chr(10), '  </violations>') END,

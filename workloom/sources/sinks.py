@@ -22,7 +22,16 @@ def append_audit(df: DataFrame, path: str) -> None:
 
 
 def append_json_lines(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """Append JSON lines; times keep their microseconds, which the default format drops."""
+    times = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    df.write.mode("append").option("timestampNTZFormat", times).option("timestampFormat", f"{times}XXX").json(path)
+
+
+def write_files(df: DataFrame, path: str, key: str, text: str) -> None:
+    """One file per key, with its text and a line end, below a folder named after the key. Null texts have
+    no file; keys are spread over the tasks, so a task writes one file after the other."""
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text))
+    rows.repartition(key).write.mode("overwrite").partitionBy(key).text(path)
 
 
 def ensure_rules_table(spark: SparkSession, name: str) -> None:

@@ -84,25 +84,36 @@ def tag_maps(tags: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def sql_files(spark: SparkSession, folder: str) -> DataFrame:
+def sql_files(spark: SparkSession, folder: str, pattern: str = "*.sql") -> DataFrame:
     """Each ``.sql`` file below a folder as one statement."""
     return (
-        spark.read.text(folder, wholetext=True, pathGlobFilter="*.sql", recursiveFileLookup=True)
+        spark.read.text(folder, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("statement_text"))
     )
 
 
+MOST_BYTES = 10 * 1024 * 1024
+
+
+def listed_files(spark: SparkSession, folder: str, pattern: str, recursive: bool = True) -> DataFrame:
+    """path, length and content of the files below a folder; contents are read only where they are used."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder)
+
+
 def guideline_files(
-    spark: SparkSession, folder: str, pattern: str = "*.md", recursive: bool = True,
-    max_bytes: int = 10 * 1024 * 1024,
+    spark: SparkSession, folder: str, pattern: str = "*.md", recursive: bool = True, max_bytes: int = MOST_BYTES,
 ) -> DataFrame:
-    """Markdown files below a folder; files over the size limit are skipped unread."""
-    listing = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", recursive).load(folder)
-        .filter(F.col("length") <= max_bytes)
-    )
-    return listing.select("path", F.decode("content", "UTF-8").alias("markdown"))
+    """Markdown files below a folder. Files over the size limit are not read; ``skipped_files`` has them."""
+    files = listed_files(spark, folder, pattern, recursive).filter(F.col("length") <= max_bytes)
+    return files.select("path", F.decode("content", "UTF-8").alias("markdown"))
+
+
+def skipped_files(
+    spark: SparkSession, folder: str, pattern: str = "*.md", recursive: bool = True, max_bytes: int = MOST_BYTES,
+) -> DataFrame:
+    """(path, bytes, reason) of the files that ``guideline_files`` leaves out, found by their length alone."""
+    files = listed_files(spark, folder, pattern, recursive).filter(F.col("length") > max_bytes)
+    return files.select("path", F.col("length").alias("bytes"), F.format_string("larger than %d bytes", F.lit(max_bytes)).alias("reason"))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
