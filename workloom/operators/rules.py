@@ -64,11 +64,6 @@ def validated(rules: DataFrame) -> DataFrame:
     return fill_defaults(parse_json(rules)).withColumn("reasons", invalid_reasons())
 
 
-def split_valid(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    checked = validated(rules)
-    return checked.filter(F.size("reasons") == 0).drop("reasons"), checked.filter(F.size("reasons") > 0)
-
-
 def latest_active(rules: DataFrame) -> DataFrame:
     """Newest active version per rule; versions compare as text, then by time."""
     active = rules.filter(F.col("is_active"))

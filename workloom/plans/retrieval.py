@@ -85,7 +85,7 @@ def j10(spark, d):
     return scored(spark, d).select("doc_id", "line_start", "table_overlap")
 
 
-REDUCE = """list_reduce(list_prepend({'used': 0::BIGINT, 'ids': []::BIGINT[]}, list({'used': tokens::BIGINT, 'ids': [doc_id * 1000 + line_start]::BIGINT[]} ORDER BY score, doc_id, line_start)),
+REDUCE = """list_reduce(list_prepend({'used': 0::BIGINT, 'ids': []::BIGINT[]}, list({'used': tokens::BIGINT, 'ids': [doc_id * 1000000000 + line_start]::BIGINT[]} ORDER BY score, doc_id, line_start)),
  lambda a, x: CASE WHEN a.used + x.used <= BUDGET THEN {'used': a.used + x.used, 'ids': list_concat(a.ids, x.ids)} ELSE a END)"""
 PASS1 = f"(SELECT source, r.used AS used, r.ids AS ids FROM (SELECT source, {REDUCE} AS r FROM {SCORED} WHERE priority <= 10 GROUP BY source))"
 
@@ -95,7 +95,7 @@ def w7(spark, d):
     """Critical sections per source that fit into 2000 tokens, skipping those that do not."""
     s = scored(spark, d).filter("priority <= 10")
     out = budget.take_what_fits(s, ["source"], F.struct("score", "doc_id", "line_start"), "tokens", ["doc_id", "line_start"], 2000)
-    return out.select("source", (F.col("doc_id") * 1000 + F.col("line_start")).alias("row_key"))
+    return out.select("source", (F.col("doc_id") * 1_000_000_000 + F.col("line_start")).alias("row_key"))
 
 
 @query("W6_budget_stop", f"""SELECT source, doc_id, line_start FROM (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY score, doc_id, line_start) AS s FROM {SCORED}) WHERE s <= 2000""")
@@ -107,11 +107,11 @@ def w6(spark, d):
 
 @query("K6_selected_sections", f"""WITH s AS {SCORED}, p AS {PASS1.replace('BUDGET', '2000').replace(SCORED, 's')}, one AS (SELECT source, used, unnest(ids) AS row_key FROM p)
 SELECT source, row_key, 1 AS pass FROM one UNION ALL SELECT source, row_key, 2 FROM (
- SELECT s.source, s.doc_id * 1000 + s.line_start AS row_key, sum(s.tokens) OVER (PARTITION BY s.source ORDER BY s.score, s.doc_id, s.line_start) + coalesce(p.used, 0) AS total FROM s LEFT JOIN p ON s.source = p.source
- WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.row_key = s.doc_id * 1000 + s.line_start)) WHERE total <= 2000""")
+ SELECT s.source, s.doc_id * 1000000000 + s.line_start AS row_key, sum(s.tokens) OVER (PARTITION BY s.source ORDER BY s.score, s.doc_id, s.line_start) + coalesce(p.used, 0) AS total FROM s LEFT JOIN p ON s.source = p.source
+ WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.row_key = s.doc_id * 1000000000 + s.line_start)) WHERE total <= 2000""")
 def k6(spark, d):
     out = ops.select_sections(scored(spark, d), ["source"], ["doc_id", "line_start"])
-    return out.select("source", (F.col("doc_id") * 1000 + F.col("line_start")).alias("row_key"), "pass")
+    return out.select("source", (F.col("doc_id") * 1_000_000_000 + F.col("line_start")).alias("row_key"), "pass")
 
 
 # --- sections for the statement at hand ------------------------------------------------------------

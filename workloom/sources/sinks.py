@@ -48,8 +48,3 @@ def ensure_rules_table(spark: SparkSession, name: str) -> None:
 
 def active_rules(rules: DataFrame) -> DataFrame:
     return rules.filter(F.col("is_active"))
-
-
-def write_reports(df: DataFrame, path: str, column: str) -> None:
-    """One report text per line-delimited file part."""
-    df.select(F.col(column).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
