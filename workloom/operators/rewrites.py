@@ -84,8 +84,11 @@ def project(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*wanted)
 
 
-def projection_report(df: DataFrame, wanted: list[str]) -> dict[str, list[str]]:
-    return {"kept": [c for c in df.columns if c in wanted], "dropped": [c for c in df.columns if c not in wanted]}
+def projection_report(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """(column_name, kept, n_values): which columns a projection keeps, and how many values each holds."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(c in wanted).alias("kept"), F.col(f"`{c}`").alias("n_values")) for c in df.columns])
+    return counts.select(F.inline(rows))
 
 
 def write_partitioned(spark: SparkSession, df: DataFrame, by: dict[str, Column]) -> str:

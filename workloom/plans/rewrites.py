@@ -56,6 +56,15 @@ def r4(spark, d):
     return r.project(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_quantity"])
 
 
+LINEITEM_KEPT = ["l_orderkey", "l_linenumber", "l_quantity"]
+
+
+@query("R4_projection_report", f"""SELECT column_name, column_name IN ({', '.join(f"'{c}'" for c in LINEITEM_KEPT)}) AS kept, n_values
+ FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM lineitem) ON COLUMNS(*) INTO NAME column_name VALUE n_values)""")
+def r4_report(spark, d):
+    return r.projection_report(table(spark, d, "lineitem"), LINEITEM_KEPT)
+
+
 @query("R5_pruned_read", """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
  WHERE year(l_shipdate) = 1996 AND month(l_shipdate) = 3""")
 def r5(spark, d):
