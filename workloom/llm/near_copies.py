@@ -14,10 +14,11 @@ classes with their most similar centres, form families. What is left is compared
 
 * inside a family, members outside its largest component against all members, in blocks of BLOCK sets
   that are intersected in numpy; no pairs are written out but the confirmed ones;
-* across families, classes of different components that meet MEET times in lists of fewer than HOT
-  members, by a join; lists of more members are taken in blocks, and only pairs whose sketches hold leave.
+* across families, classes of different components that meet in one of the first (size - shared + 1) lists;
+  lists of fewer than HOT members are taken many to a task, longer ones in blocks of members. Both compare
+  sketches on the spot, and only pairs that may hold leave.
 
-So every pair that meets so often is compared or already connected. A hot group of near copies costs a
+So every pair that meets is compared or already connected. A hot group of near copies costs a
 comparison per member and list, and one block product per BLOCK members that its centre misses.
 
 A pair is confirmed on the full sets: 100 * intersection >= 80 * union. The estimate from the union
@@ -51,6 +52,8 @@ ESTIMATE = 0.8 - 6 * (0.8 * 0.2 / K) ** 0.5
 BLOCK = 512
 HOT = 64
 CENTRE = 3
+#: Rows of short lists in a task's group, and values of the codes that stand for retained values there.
+LIST_ROWS, CODES = 20_000, 1024
 #: Words of a shingle: of the contract's query, and where one document of each group is kept.
 SHINGLE, STAGE_SHINGLE = 2, 5
 PERCENT = 80
@@ -118,19 +121,19 @@ def _shared(size: Column) -> Column:
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(v, cid, n, common): the rarest retained values of every class, enough for similar ones to
-    meet; ``common`` is the share of its values that other classes have."""
+    """(v, cid, n, common, first): the rarest retained values of every class, enough for similar ones to meet
+    MEET times, once among those marked ``first``; ``common`` is the share of its values that other classes have."""
     values = classes.select("cid", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = classes.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     frequent = values.join(often, "v").groupBy("cid", "n", "s").agg(
         F.sort_array(F.collect_list(F.struct("df", "v"))).alias("list"))  # at most k entries
     need = _shared(F.col("s"))
-    first = F.col("s") - need + F.least(F.lit(MEET), need)
-    take = first - (F.col("s") - F.size("list"))  # values of one class come before those in the list
+    once = F.size("list") - need + 1  # values of one class come before those in the list
+    take = once - 1 + F.least(F.lit(MEET), need)
     return frequent.filter(take > 0).select(
-        F.explode(F.slice("list", F.lit(1), take.cast("int"))).alias("x"), "cid", "n",
-        F.floor(F.size("list") * 1000 / F.col("s")).alias("common"),
-    ).select("x.v", "cid", "n", "common")
+        F.posexplode(F.slice("list", F.lit(1), take.cast("int"))).alias("at", "x"), "cid", "n",
+        F.floor(F.size("list") * 1000 / F.col("s")).alias("common"), once.alias("once"),
+    ).select("x.v", "cid", "n", "common", (F.col("at") < F.col("once")).alias("first"))
 
 
 def _fit(a: str, b: str) -> Column:
@@ -215,29 +218,63 @@ def links_in_families(placed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def cross_pairs(lists: DataFrame, placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of different families and components: lists of fewer than HOT members by
-    a join, those of more members by blocks."""
-    at = lists.select("v", "cid", "n").join(placed.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c"), "left").select(
+    """Likely pairs (a, b) of different families and components: lists of fewer than HOT members many to
+    a group, those of more members by blocks."""
+    at = lists.filter("first").select("v", "cid", "n").join(
+        placed.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c"), "left").select(
         "v", "cid", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("fam", "cid").alias("fam"))
     sizes = at.groupBy("v", "fam").agg(F.count("*").alias("m"))
     main = sizes.groupBy("v").agg(
         F.max_by("fam", F.struct("m", "fam")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("size"),
         F.max("m").alias("top")).filter("k > 1").drop("k")
     mixed = kept(at.join(main, "v"), "mixed")
-    few = likely(_joined(mixed.filter(F.col("size") < HOT)), classes).select("a", "b")
+    few = likely(kept(_met(mixed.filter(F.col("size") < HOT), classes).distinct(), "met"), classes).select("a", "b")
     return few.unionByName(_blocked(mixed.filter(F.col("size") >= HOT), classes)).distinct()
 
 
-def _joined(mixed: DataFrame) -> DataFrame:
-    """Pairs that meet often enough in lists of bounded length."""
-    strays = mixed.filter("fam <> main").select(
-        "v", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("fam").alias("fa"))
-    pairs = strays.join(mixed.select("v", "cid", "n", "root", "fam", "main"), "v").filter(
-        (F.col("ra") != F.col("root")) & (F.col("fa") != F.col("fam")) & _fit("na", "n")
-        & ((F.col("fam") == F.col("main")) | (F.col("a") < F.col("cid"))))
-    often = F.least(F.lit(MEET), _shared(F.least(F.lit(K), F.max(F.greatest("na", "n")))))
-    return pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"), "na", "n").groupBy("a", "b").agg(
-        F.count("*").alias("met"), often.alias("often")).filter("met >= often").select("a", "b")
+def _met(mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) in lists of fewer than HOT members that may share enough retained values.
+
+    Lists are dealt into groups of about LIST_ROWS rows, whole lists each. Values are compared by codes
+    below CODES: equal values have equal codes, so a pair is never missed; the few that meet by chance go in
+    ``likely``. No pair is written but those.
+    """
+    groups = mixed.count() // LIST_ROWS + 1
+    code = F.transform("sketch", lambda x: x.bitwiseAND(CODES - 1).cast("smallint"))
+    rows = mixed.join(classes.select("cid", code.alias("codes")), "cid").select(
+        F.pmod(F.xxhash64("v"), F.lit(groups)).alias("g"), "v", "cid", "n", "root", "fam",
+        (F.col("fam") != F.col("main")).alias("stray"), "codes")
+
+    def work(group: pa.Table) -> pa.Table:
+        group = group.sort_by("v")
+        v, n, stray = (group.column(c).to_numpy() for c in ("v", "n", "stray"))
+        cids, roots, fams = (
+            np.unique(group.column(c).to_numpy(zero_copy_only=False), return_inverse=True) for c in ("cid", "root", "fam"))
+        names, own, roots, fams = cids[0], cids[1], roots[1], fams[1]
+        lists = group.column("codes").combine_chunks()
+        size = lists.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(v)), size)
+        codes = np.full((len(v), K), CODES, np.int16)
+        codes[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+        has = np.zeros((len(v), CODES + 1), bool)
+        has[row, lists.flatten().to_numpy()] = True
+        need = np.where(size < K, np.ceil(size * 0.75), SHARED)
+        found = [np.empty((0, 2), np.int64)]
+        for step in range(1, HOT):
+            i = np.flatnonzero(v[:-step] == v[step:])
+            if not len(i):
+                break
+            j = i + step
+            fits = (stray[i] | stray[j]) & (roots[i] != roots[j]) & (fams[i] != fams[j])
+            fits &= 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            fits = has[j[:, None], codes[i]].sum(axis=1) >= np.maximum(need[i], need[j])
+            a, b = own[i[fits]], own[j[fits]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({side: pa.array(names[pairs[:, k]], pa.binary()) for k, side in enumerate("ab")})
+
+    return rows.groupBy("g").applyInArrow(work, "a binary, b binary")
 
 
 def _blocked(mixed: DataFrame, classes: DataFrame) -> DataFrame:
