@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from workloom.functions.lexical import text_key
 from workloom.functions.names import full_table_name, is_system_table
 from workloom.operators import governance as ops
+from workloom.operators import merge_store
 from workloom.operators.rewrites import union_distinct
 from workloom.plans.history import H, history
 from workloom.plans.registry import query
+from workloom.session import shared_folder
 from workloom.sources import workspace as ws
 from workloom.sources.tables import table
 from workloom.sources.workload import view, view_sql
@@ -109,6 +113,16 @@ def g5(spark, d):
         ws.latest_tags(tags.filter("applied_seq % 2 = 0"), "table_name"), ["table_name", "tag_name"])
 
 
+@query("G5_written_tags", f"SELECT table_name, tag_name, arg_max(tag_value, rank) AS tag_value FROM (SELECT table_name, tag_name, tag_value, applied_seq + CASE WHEN applied_seq % 2 = 0 THEN 1000000000000 ELSE 0 END AS rank FROM {TAGS} WHERE applied_seq % 3 <> 0 OR applied_seq % 2 = 0) GROUP BY ALL")
+def g5w(spark, d):
+    """Tags as a merged table, read back after the bulk upsert."""
+    path = f"{shared_folder(spark).rstrip('/')}/merged-tags-{uuid.uuid4().hex}"
+    tags, keys = view(spark, d, "tags"), ["table_name", "tag_name"]
+    merge_store.create(ws.latest_tags(tags.filter("applied_seq % 3 <> 0"), "table_name"), path, keys, buckets=16)
+    merge_store.merge_into(ws.latest_tags(tags.filter("applied_seq % 2 = 0"), "table_name"), path, keys, ["tag_value"])
+    return merge_store.read(spark, path).select(*keys, "tag_value")
+
+
 # Full table names a reader finds in each statement template.
 TABLES_OF = {
     **{i: "main.sales.orders" for i in (0, 2, 8, 12, 23)}, 1: "main.sales.lineitem",

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
+from workloom.operators import merge_store
 from workloom.operators import rewrites as r
 from workloom.plans.detection import profiled
 from workloom.plans.profiles import event_profiles
 from workloom.plans.registry import query
+from workloom.session import shared_folder
 from workloom.sources.tables import table
 
 
@@ -235,6 +238,38 @@ def r17h(spark, d):
     return merged(spark, d, by_hash=True).select("o_orderkey", "o_totalprice", "o_orderstatus", "action")
 
 
+@query("R17_written_merge", f"""SELECT o_orderkey, o_totalprice, o_orderstatus, CASE WHEN action IN ('insert', 'update') THEN action ELSE 'same' END AS action,
+ 2 AS version, 0 AS written_again FROM ({MERGED_SQL})""")
+def r17w(spark, d):
+    """The orders as a merged table: the changes are merged twice, and the second time writes nothing."""
+    path = f"{shared_folder(spark).rstrip('/')}/merged-orders-{uuid.uuid4().hex}"
+    orders, keys = table(spark, d, "orders"), ["o_orderkey"]
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"]
+    merge_store.create(orders.select(*columns), path, keys)
+    changes = spark.sql(CHANGES, orders=orders).select(*columns)
+    merge_store.merge_into(changes, path, keys, ["o_totalprice", "o_orderstatus"])
+    again = merge_store.merge_into(changes, path, keys, ["o_totalprice", "o_orderstatus"])
+    moved = merge_store.log(spark, path).select(*keys, "action")
+    return merge_store.read(spark, path).join(moved, keys, "left").select(
+        "o_orderkey", "o_totalprice", "o_orderstatus", F.coalesce("action", F.lit("same")).alias("action"),
+        F.lit(again["version"]).alias("version"), F.lit(again["buckets_written"]).alias("written_again"))
+
+
+@query("R17_former_versions", """SELECT t.o_orderkey, t.o_totalprice AS before_price, s.o_totalprice AS after_price, t.o_orderstatus AS before_status, s.o_orderstatus AS after_status
+ FROM orders t JOIN (""" + CHANGES.format(orders="orders") + """) s ON t.o_orderkey = s.o_orderkey WHERE t.o_totalprice IS DISTINCT FROM s.o_totalprice OR t.o_orderstatus IS DISTINCT FROM s.o_orderstatus""")
+def r17v(spark, d):
+    """What a merge changed, from the two versions of the table, without its log."""
+    path = f"{shared_folder(spark).rstrip('/')}/merged-orders-{uuid.uuid4().hex}"
+    orders, keys = table(spark, d, "orders"), ["o_orderkey"]
+    columns = ["o_orderkey", "o_totalprice", "o_orderstatus"]
+    merge_store.create(orders.select(*columns), path, keys)
+    merge_store.merge_into(spark.sql(CHANGES, orders=orders).select(*columns), path, keys)
+    side = lambda at, name: merge_store.read(spark, path, at).select(
+        "o_orderkey", F.col("o_totalprice").alias(f"{name}_price"), F.col("o_orderstatus").alias(f"{name}_status"))
+    same = F.col("before_price").eqNullSafe(F.col("after_price")) & F.col("before_status").eqNullSafe(F.col("after_status"))
+    return side(1, "before").join(side(2, "after"), keys).filter(~same)
+
+
 @query("R18_rewrites_avoided", f"""SELECT count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated,
  count(*) FILTER (action IN ('update', 'unchanged')) AS unconditional_updates, count(*) FILTER (action = 'unchanged') AS rewrites_avoided,
  count(*) FILTER (action = 'keep') AS untouched FROM ({MERGED_SQL})""")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from workloom.operators import merge_store
 from workloom.operators import rules as ops
 from workloom.operators.ranking import latest_per_key
 from workloom.plans.registry import query
+from workloom.session import shared_folder
 from workloom.sources.sinks import active_rules
 from workloom.sources.workload import view, view_sql
 
@@ -52,19 +56,40 @@ def q3(spark, d):
     return ops.validated(rules(spark, d)).select("load_seq", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("Q4_rule_upsert", f"""SELECT coalesce(t.rule_id, s.rule_id) AS rule_id, coalesce(t.config_version, s.config_version) AS config_version, CASE WHEN s.rule_id IS NULL THEN t.severity WHEN t.rule_id IS NULL OR t.severity IS DISTINCT FROM s.severity THEN s.severity ELSE t.severity END AS severity,
+UPSERTED = f"""SELECT coalesce(t.rule_id, s.rule_id) AS rule_id, coalesce(t.config_version, s.config_version) AS config_version, CASE WHEN s.rule_id IS NULL THEN t.severity WHEN t.rule_id IS NULL OR t.severity IS DISTINCT FROM s.severity THEN s.severity ELSE t.severity END AS severity,
  CASE WHEN t.rule_id IS NULL THEN 'insert' WHEN s.rule_id IS NULL THEN 'keep' WHEN t.severity IS DISTINCT FROM s.severity THEN 'update' ELSE 'unchanged' END AS action
  FROM (SELECT * FROM {R} WHERE {VALID_ID} AND load_seq % 3 <> 0) t FULL OUTER JOIN (SELECT rule_id, config_version, CASE WHEN load_seq % 4 = 1 THEN 'low' ELSE severity END AS severity FROM {R} WHERE {VALID_ID} AND load_seq % 2 = 0) s
- ON t.rule_id = s.rule_id AND t.config_version = s.config_version""")
-def q4(spark, d):
+ ON t.rule_id = s.rule_id AND t.config_version = s.config_version"""
+
+
+def upsert_sides(spark, d):
+    """One row per rule and version on both sides of the upsert."""
     cols = ["rule_id", "config_version", "severity", "enabled", "updated_at", "load_seq"]
     every = named_rules(spark, d).select(*cols)
     one_each = lambda df: latest_per_key(df, ["rule_id", "config_version"], F.col("load_seq"))
     incoming = every.filter("load_seq % 2 = 0").withColumn("severity", F.when(F.col("load_seq") % 4 == 1, "low").otherwise(F.col("severity")))
-    out = ops.upsert(one_each(every.filter("load_seq % 3 <> 0")), one_each(incoming))
+    return one_each(every.filter("load_seq % 3 <> 0")), one_each(incoming)
+
+
+@query("Q4_rule_upsert", UPSERTED)
+def q4(spark, d):
+    out = ops.upsert(*upsert_sides(spark, d))
     return out.select("rule_id", "config_version", "severity", "action")
 
 
+@query("Q4_written_upsert", f"SELECT rule_id, config_version, severity, CASE WHEN action IN ('insert', 'update') THEN action ELSE 'same' END AS action FROM ({UPSERTED})")
+def q4w(spark, d):
+    """The rules as a merged table: files of rules without a change stay as they are."""
+    path = f"{shared_folder(spark).rstrip('/')}/merged-rules-{uuid.uuid4().hex}"
+    held, incoming = upsert_sides(spark, d)
+    keys = ["rule_id", "config_version"]
+    merge_store.create(held, path, keys, buckets=16)
+    merge_store.merge_into(incoming, path, keys, ["severity", "enabled"])
+    moved = merge_store.log(spark, path).select(*keys, "action")
+    return merge_store.read(spark, path).join(moved, keys, "left").select(
+        *keys, "severity", F.coalesce("action", F.lit("same")).alias("action"))
+
+
 @query("W1_latest_rules", f"""SELECT rule_id, config_version, severity, load_seq FROM {R} WHERE is_active
  QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY config_version DESC, updated_at DESC, load_seq DESC) = 1""")
 def w1(spark, d):
