@@ -619,10 +619,10 @@ def with_context(texts: DataFrame, partitions: DataFrame | None = None, uniques:
     return joined.select(*texts.columns, "lex.*", *CONTEXT_KINDS)
 
 
-def detect(texts: DataFrame, keys: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+def detect(texts: DataFrame, keys: list[str] | tuple[str, ...] | None = None, more: Column | None = None) -> DataFrame:
     """Findings of the chosen rules per text, long form with an ordinal.
 
-    ``texts`` comes from ``with_context``.
+    ``texts`` comes from ``with_context``; ``more`` is an array of further findings with the rule's names.
     """
     chosen = list(keys or RULES)
     app = texts.sparkSession.sparkContext.applicationId
@@ -634,11 +634,12 @@ def detect(texts: DataFrame, keys: list[str] | tuple[str, ...] | None = None) ->
             v["message"].alias("message"), v["context"].alias("context"), v["fix"].alias("fix")))
 
     rest = [c for c in ("query_hash", "statement_text") if c in texts.columns]
-    per_rule = texts.select(*rest, *[tagged(k).alias(k) for k in chosen])
+    columns = {k: tagged(k) for k in chosen} | ({} if more is None else {"_more": more})
+    per_rule = texts.select(*rest, *[c.alias(k) for k, c in columns.items()])
     # An outer explode: for an inner one Spark derives a filter on the array, which would run
     # the rules a second time, below the distinct, on every execution of a text.
     return (
-        per_rule.select(*rest, F.posexplode_outer(F.concat(*[F.col(k) for k in chosen])).alias("pos", "v"))
+        per_rule.select(*rest, F.posexplode_outer(F.concat(*[F.col(k) for k in columns])).alias("pos", "v"))
         .filter(F.col("v").isNotNull())
         .select(*rest, (F.col("pos") + 1).alias("ordinal"), "v.*")
     )
@@ -653,12 +654,22 @@ def detect_statements(statements: DataFrame, keys=None, **context: DataFrame) ->
     return runs.join(own, "_digest").drop("_digest")
 
 
+#: A rule table of up to this many rows goes to every task.
+CONFIG_ROWS = 10_000
+
+
 def with_rule_config(violations: DataFrame, rules: DataFrame) -> DataFrame:
-    """Apply the configured severity and message; findings of disabled rules drop out."""
+    """Apply the configured severity and message; findings of disabled rules drop out.
+
+    Rule keys are few and some are hot, so findings are not shuffled by them: the rules are counted, and
+    up to CONFIG_ROWS of them are broadcast. Beyond that the join is Spark's choice.
+    """
     config = rules.select(
         F.col("rule_key"), F.col("severity").alias("set_severity"), F.col("enabled"),
         F.col("custom_message"), F.col("confidence"),
     )
+    if config.limit(CONFIG_ROWS + 1).count() <= CONFIG_ROWS:
+        config = F.broadcast(config)
     return (
         violations.join(config, "rule_key", "left").filter(F.coalesce("enabled", F.lit(True)))
         .withColumn("severity", F.coalesce("set_severity", "severity"))

@@ -104,11 +104,11 @@ def changed_fields(rules: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
 
 
 def override_stats(rules: DataFrame) -> DataFrame:
-    per_rule = rules.groupBy("rule_id").agg(F.count("*").alias("n"))
-    counts = per_rule.agg(
-        F.count("*").alias("total_rules"), F.count(F.when(F.col("n") > 1, 1)).alias("overridden_rules"))
-    names = rules.agg(F.array_join(F.array_sort(F.collect_set("source_name")), ", ").alias("sources_used"))
-    return counts.withColumn("one", F.lit(1)).join(names.withColumn("one", F.lit(1)), "one").drop("one")
+    # A rule has at most one entry per source, so the sets that meet in the last step are few and small.
+    per_rule = rules.groupBy("rule_id").agg(F.count("*").alias("n"), F.collect_set("source_name").alias("sources"))
+    return per_rule.agg(
+        F.count("*").alias("total_rules"), F.count(F.when(F.col("n") > 1, 1)).alias("overridden_rules"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))), ", ").alias("sources_used"))
 
 
 def upsert(table: DataFrame, incoming: DataFrame) -> DataFrame:

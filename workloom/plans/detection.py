@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from workloom.functions.lexical import text_key
 from workloom.functions.text import statement_hash
+from workloom.operators import code_rules
 from workloom.operators import detectors as det
 from workloom.operators import findings_store, profile_store, rollups
 from workloom.plans.history import H
@@ -260,3 +261,43 @@ def d10_declared(spark, d):
     columns = profile_store.column_types(profiled(spark, d))
     found = det.detect_statements(fact_statements(spark, d), ["IMPLICIT_CAST"], columns=columns)
     return found.select("statement_id", detail("IMPLICIT_CAST").alias("detail"))
+
+
+# --- rules as code: statements whose parentheses are as deep as their order's key says ---------------
+
+NESTED_TEXTS = """CASE WHEN o_orderkey % 7 = 0 THEN concat('SELECT * FROM main.sales.orders WHERE o_custkey = ', CAST(o_custkey AS STRING))
+ ELSE concat('SELECT ', repeat('(', int(o_orderkey % 6)), 'o_totalprice', repeat(')', int(o_orderkey % 6)), ' FROM main.sales.orders WHERE o_comment <> "((((((" AND o_custkey = ', CAST(o_custkey AS STRING)) END"""
+
+
+def nested_statements(spark, d):
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("statement_id"), F.col("o_custkey").cast("string").alias("executed_by"),
+        F.expr(NESTED_TEXTS).alias("statement_text"))
+
+
+def _odd_customers(text):
+    """A rule that raises on every text of a customer whose key ends in 3."""
+    if text.endswith("3"):
+        raise ValueError("no such customer")
+    return [code_rules.Found("low", "customer ends in 4")] if text.endswith("4") else []
+
+
+CODE_RULES = (code_rules.nesting(3), code_rules.CodeRule("CUSTOMER_DIGIT", "CODE_002", _odd_customers))
+BY_CODE = """SELECT CAST(o_orderkey AS VARCHAR) AS statement_id, 'DEEP_NESTING' AS rule_key, 'medium' AS severity, 1 AS place FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 6 > 3
+ UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'CUSTOMER_DIGIT', CASE WHEN o_custkey % 10 = 3 THEN 'failed' ELSE 'low' END, 2 FROM orders WHERE o_custkey % 10 IN (3, 4)"""
+
+
+@query("F1_code_rules", f"""SELECT statement_id, rule_key, severity, row_number() OVER (PARTITION BY statement_id ORDER BY place) AS ordinal FROM ({BY_CODE}
+ UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'SELECT_STAR', 'high', 0 FROM orders WHERE o_orderkey % 7 = 0)""")
+def f1_code(spark, d):
+    """A Column rule and two rules as code in one pass; the one that raises loses its own findings only."""
+    found = code_rules.detect_mixed(nested_statements(spark, d), CODE_RULES, ["SELECT_STAR"], failures=True)
+    return found.select("statement_id", "rule_key", "severity", "ordinal")
+
+
+@query("F1_sql_rules", f"SELECT statement_id, rule_key, severity FROM ({BY_CODE})")
+def f1_sql(spark, d):
+    """The same code rules as a table function of SQL."""
+    code_rules.register_sql(spark, CODE_RULES, "code_findings")
+    return spark.sql("SELECT s.statement_id, f.rule_key, f.severity FROM {s} s, LATERAL code_findings(s.statement_text) f",
+                     s=nested_statements(spark, d))
