@@ -104,7 +104,7 @@ def changed_fields(rules: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
 
 
 def override_stats(rules: DataFrame) -> DataFrame:
-    # A rule has at most one entry per source, so the sets that meet in the last step are few and small.
+    # Source names are few (SOURCE_RANK), and so are the different sets of them that meet in the last step.
     per_rule = rules.groupBy("rule_id").agg(F.count("*").alias("n"), F.collect_set("source_name").alias("sources"))
     return per_rule.agg(
         F.count("*").alias("total_rules"), F.count(F.when(F.col("n") > 1, 1)).alias("overridden_rules"),
