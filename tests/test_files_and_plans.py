@@ -120,6 +120,12 @@ def test_cost_formula(spark):
     assert (row.region, row.loose, row.memory, row.nothing) == (1.38, 9.0, 25.0, 2.0)
 
 
+def test_waste_note_with_a_baseline_of_zero(spark):
+    rows = spark.createDataFrame([(2500, 1000), (5, 0), (0, 0), (None, 0), (5, None)], "actual bigint, best bigint")
+    got = [r.note for r in rows.select(metrics.waste_text(F.col("actual"), F.col("best")).alias("note")).collect()]
+    assert got == ["takes 2.5x longer than optimal (2s vs 1s)", "takes infx longer than optimal (0s vs 0s)", "already at its best", None, None]
+
+
 def test_names_and_comments(spark):
     row = spark.range(1).select(
         names.full_table_name(F.lit("customers")).alias("a"), names.full_table_name(F.lit("sales.orders")).alias("b"),

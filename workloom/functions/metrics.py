@@ -165,9 +165,11 @@ def run_cost(hourly: Column, duration_ms: Column) -> Column:
 
 
 def waste_text(actual_ms: Column, baseline_ms: Column) -> Column:
+    """A baseline below a millisecond is zero; the factor is then infinite, written as printf does."""
+    factor = F.when(baseline_ms == 0, "inf").otherwise(fixed(F.try_divide(actual_ms, baseline_ms), 1))
     return F.when(actual_ms <= baseline_ms, "already at its best").otherwise(
         F.concat(
-            F.lit("takes "), fixed(actual_ms / baseline_ms, 1), F.lit("x longer than optimal ("),
+            F.lit("takes "), factor, F.lit("x longer than optimal ("),
             fixed(actual_ms / 1000, 0), F.lit("s vs "), fixed(baseline_ms / 1000, 0), F.lit("s)"),
         )
     )
