@@ -37,6 +37,25 @@ def test_sql_and_guideline_files(spark, tmp_path):
     assert workspace.skipped_files(spark, str(tmp_path)).count() == 0
 
 
+def test_files_are_written_and_listed_by_many_tasks(spark, tmp_path):
+    """Few bytes, many files: neither side may be packed into one task, nor go through the driver."""
+    rows = [(i % 400, f"text {i % 400}\nü") for i in range(500)] + [(1000, None), (1001, "")]
+    path = f"{tmp_path}/texts"
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    sinks.write_files(df.limit(3), path, "k", "t")
+    sinks.write_files(df, path, "k", "t")
+    assert len(list((tmp_path / "texts").iterdir())) > 1
+    (tmp_path / "texts" / "_hidden.txt").write_text("x")
+    (tmp_path / "texts" / "empty.txt").write_text("")
+    got = workspace.guideline_files(spark, path, "*.txt")
+    assert got.rdd.getNumPartitions() > 1
+    want = {k: f"text {k}\nü\n" * (2 if k < 100 else 1) for k in range(400)} | {1001: "\n"}
+    assert {int(r.path.split("k=")[1].split("/")[0]): r.markdown for r in got.collect()} == want
+    left_out = workspace.skipped_files(spark, path, "*.txt", max_bytes=12).collect()
+    assert {r.bytes for r in left_out} == {len(t.encode()) for t in want.values() if len(t.encode()) > 12}
+    assert workspace.guideline_files(spark, path, "*.txt", recursive=False).count() == 0
+
+
 def test_rules_table(spark):
     spark.sql("DROP TABLE IF EXISTS wl_rules")
     sinks.ensure_rules_table(spark, "wl_rules")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from workloom.sources.files import write_keyed
+
 
 def write_by_date(df: DataFrame, path: str, time_column: str, date_column: str, mode: str = "overwrite") -> None:
     """Write Parquet partitioned by the day of a time column.
@@ -29,9 +31,8 @@ def append_json_lines(df: DataFrame, path: str) -> None:
 
 def write_files(df: DataFrame, path: str, key: str, text: str) -> None:
     """One file per key, with its text and a line end, below a folder named after the key. Null texts have
-    no file; keys are spread over the tasks, so a task writes one file after the other."""
-    rows = df.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text))
-    rows.repartition(key).write.mode("overwrite").partitionBy(key).text(path)
+    no file; keys are dealt over a fixed number of tasks, however few bytes they are."""
+    write_keyed(df, path, key, text)
 
 
 def ensure_rules_table(spark: SparkSession, name: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workloom.functions.metrics import TASK_MS_USD
+from workloom.sources.files import listed_files
 
 
 def query_history(raw: DataFrame) -> DataFrame:
@@ -95,16 +96,11 @@ def sql_files(spark: SparkSession, folder: str, pattern: str = "*.sql") -> DataF
 MOST_BYTES = 10 * 1024 * 1024
 
 
-def listed_files(spark: SparkSession, folder: str, pattern: str, recursive: bool = True) -> DataFrame:
-    """path, length and content of the files below a folder; contents are read only where they are used."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder)
-
-
 def guideline_files(
     spark: SparkSession, folder: str, pattern: str = "*.md", recursive: bool = True, max_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """Markdown files below a folder. Files over the size limit are not read; ``skipped_files`` has them."""
-    files = listed_files(spark, folder, pattern, recursive).filter(F.col("length") <= max_bytes)
+    files = listed_files(spark, folder, pattern, recursive, max_bytes).filter(F.col("length") <= max_bytes)
     return files.select("path", F.decode("content", "UTF-8").alias("markdown"))
 
 
@@ -112,7 +108,7 @@ def skipped_files(
     spark: SparkSession, folder: str, pattern: str = "*.md", recursive: bool = True, max_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """(path, bytes, reason) of the files that ``guideline_files`` leaves out, found by their length alone."""
-    files = listed_files(spark, folder, pattern, recursive).filter(F.col("length") > max_bytes)
+    files = listed_files(spark, folder, pattern, recursive, max_bytes=-1).filter(F.col("length") > max_bytes)
     return files.select("path", F.col("length").alias("bytes"), F.format_string("larger than %d bytes", F.lit(max_bytes)).alias("reason"))
 
 
