@@ -51,6 +51,9 @@ def test_files_are_written_and_listed_by_many_tasks(spark, tmp_path):
     assert got.rdd.getNumPartitions() > 1
     want = {k: f"text {k}\nü\n" * (2 if k < 100 else 1) for k in range(400)} | {1001: "\n"}
     assert {int(r.path.split("k=")[1].split("/")[0]): r.markdown for r in got.collect()} == want
+    texts = workspace.sql_files(spark, path, "*.txt")
+    assert "FileScan" not in plan(texts) and texts.rdd.getNumPartitions() > 1
+    assert {int(r.path.split("k=")[1].split("/")[0]): r.statement_text for r in texts.collect()} == want
     left_out = workspace.skipped_files(spark, path, "*.txt", max_bytes=12).collect()
     assert {r.bytes for r in left_out} == {len(t.encode()) for t in want.values() if len(t.encode()) > 12}
     assert workspace.guideline_files(spark, path, "*.txt", recursive=False).count() == 0

@@ -87,10 +87,8 @@ def tag_maps(tags: DataFrame, *keys: str) -> DataFrame:
 
 def sql_files(spark: SparkSession, folder: str, pattern: str = "*.sql") -> DataFrame:
     """Each ``.sql`` file below a folder as one statement."""
-    return (
-        spark.read.text(folder, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("statement_text"))
-    )
+    return listed_files(spark, folder, pattern).select(
+        F.regexp_replace("path", "^file:/(?!/)", "file:///").alias("path"), F.col("content").cast("string").alias("statement_text"))
 
 
 MOST_BYTES = 10 * 1024 * 1024
