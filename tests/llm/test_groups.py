@@ -192,6 +192,31 @@ def test_pairs_never_looked_at_meet_in_the_second_round(spark):
     assert [tuple(r) for r in compact_windows.neighbours(shared, found).collect()] == [(2, 3, 40, 60)]
 
 
+def test_one_shared_minimum_makes_a_candidate(spark):
+    """Documents 1 and 2 meet under the second hash function only, and neither half window has an equal minimum."""
+    place = lambda at, left, right: at << 36 | 1 << 34 | 30 << 28 | 30 << 22 | left << 11 | right
+    rows = [(5, 1, place(40, 3, 4), 1), (5, 2, place(70, 5, 6), 1)]
+    shared = spark.createDataFrame(rows, "sig bigint, doc_id bigint, place bigint, a bigint")
+    assert [(r.a, r.b, [tuple(x) for x in r.starts]) for r in compact_windows.star_candidates(shared).collect()] == [(1, 2, [(70, 40)])]
+
+
+def test_near_passages_with_scattered_changes(spark):
+    """Two of 100 words differ, so 86 of 106 shingles are shared."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(1_000_000)}"
+    texts, pairs = {}, set()
+    for k in range(150):
+        one = [word() for _ in range(100)]
+        other = list(one)
+        other[33], other[66] = word(), word()
+        for n, inner in ((2 * k, one), (2 * k + 1, other)):
+            texts[n] = " ".join([word() for _ in range(40)] + inner + [word() for _ in range(40)])
+        pairs.add((2 * k + 1, 2 * k))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {(r.doc_id, r.with_id) for r in compact_windows.repeated_passages(docs).select("doc_id", "with_id").collect()}
+    assert got <= pairs and len(got) >= 0.97 * len(pairs)
+
+
 def test_repeated_passages_of_odd_rows(odd, none):
     assert named(compact_windows.repeated_passages(odd).collect()) == {5, 6, 7, 11, 12}
     assert compact_windows.repeated_passages(none).count() == 0
