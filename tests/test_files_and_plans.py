@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from workloom.functions import metrics, names, text
+from workloom.operators import retrieval, statement_sections
 from workloom.operators import rewrites as r
 from workloom.plans import load_all
 from workloom.plans.registry import QUERIES
@@ -59,6 +60,10 @@ def test_files_are_written_and_listed_by_many_tasks(spark, tmp_path):
     assert workspace.guideline_files(spark, path, "*.txt", recursive=False).count() == 0
 
 
+def test_budget_reads_the_sections_once(spark):
+    assert "documents.parquet" not in plan(QUERIES["W7_budget_skip"](spark, FOLDER))
+
+
 def test_rules_table(spark):
     spark.sql("DROP TABLE IF EXISTS wl_rules")
     sinks.ensure_rules_table(spark, "wl_rules")

@@ -15,6 +15,7 @@ from workloom.plans.detection import expected_sql, violations
 from workloom.plans.governance import TABLES_CASE
 from workloom.plans.history import H, history
 from workloom.plans.registry import query
+from workloom.session import written
 from workloom.sources.tables import table, widened
 from workloom.sources.workload import view, view_sql
 
@@ -93,15 +94,17 @@ PASS1 = f"(SELECT source, r.used AS used, r.ids AS ids FROM (SELECT source, {RED
 @query("W7_budget_skip", f"SELECT source, unnest(ids) AS row_key FROM {PASS1.replace('BUDGET', '2000')}")
 def w7(spark, d):
     """Critical sections per source that fit into 2000 tokens, skipping those that do not."""
-    s = scored(spark, d).filter("priority <= 10")
+    # The choice reads the sections three times; they are written once, without the texts.
+    s = written(scored(spark, d).filter("priority <= 10").select("source", "doc_id", "line_start", "score", "tokens"))
     out = budget.take_what_fits(s, ["source"], F.struct("score", "doc_id", "line_start"), "tokens", ["doc_id", "line_start"], 2000)
     return out.select("source", (F.col("doc_id") * 1_000_000_000 + F.col("line_start")).alias("row_key"))
 
 
 @query("W6_budget_stop", f"""SELECT source, doc_id, line_start FROM (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY score, doc_id, line_start) AS s FROM {SCORED}) WHERE s <= 2000""")
 def w6(spark, d):
+    s = written(scored(spark, d).select("source", "doc_id", "line_start", "score", "tokens"))
     out = budget.take_until_overflow(
-        scored(spark, d), ["source"], F.struct("score", "doc_id", "line_start"), "tokens", ["doc_id", "line_start"], 2000)
+        s, ["source"], F.struct("score", "doc_id", "line_start"), "tokens", ["doc_id", "line_start"], 2000)
     return out.select("source", "doc_id", "line_start")
 
 
