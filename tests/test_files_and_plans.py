@@ -64,6 +64,15 @@ def test_budget_reads_the_sections_once(spark):
     assert "documents.parquet" not in plan(QUERIES["W7_budget_skip"](spark, FOLDER))
 
 
+def test_overlaps_derive_no_filter_on_the_tables(spark):
+    """Such a filter runs the analysis that finds the tables on every row below the grouping."""
+    sets = spark.range(9).select(F.split(F.concat(F.lit("a,b"), F.col("id") % 3), ",").alias("tables")).distinct()
+    scored = spark.createDataFrame([(1, 10, 5, ["a"], 10), (2, 10, 5, [], 10), (3, 10, 5, None, 10)],
+                                   "doc_id bigint, priority int, tokens bigint, affected_tables array<string>, score int")
+    found = statement_sections.overlaps(sets, scored, ["doc_id"])
+    assert "size(" not in plan(found) and {(r.doc_id, r.score) for r in found.collect()} == {(1, -5)} and found.count() == 3
+
+
 def test_rules_table(spark):
     spark.sql("DROP TABLE IF EXISTS wl_rules")
     sinks.ensure_rules_table(spark, "wl_rules")

@@ -44,13 +44,16 @@ def scored_sections(described: DataFrame, row_id: list[str]) -> DataFrame:
 
 def index_by_table(scored: DataFrame, row_id: list[str]) -> DataFrame:
     """(table_name, section) with the score for a statement that names the table."""
-    return scored.withColumn("table_name", F.explode("affected_tables")).select(
+    return scored.withColumn("table_name", F.explode_outer("affected_tables")).filter("table_name IS NOT NULL").select(
         "table_name", *row_id, "priority", "tokens", (F.col("score") - SHARED).alias("score"))
 
 
 def overlaps(sets: DataFrame, scored: DataFrame, row_id: list[str]) -> DataFrame:
-    """(tables, section, score) of all pairs that share a table."""
-    named = sets.select("tables", F.explode("tables").alias("table_name"))
+    """(tables, section, score) of all pairs that share a table.
+
+    An inner explode would have Spark derive a filter on the array of tables and run the lexical analysis
+    that finds it on every statement of the history, below the grouping."""
+    named = sets.select("tables", F.explode_outer("tables").alias("table_name")).filter("table_name IS NOT NULL")
     return named.join(index_by_table(scored, row_id), "table_name").drop("table_name").distinct()
 
 
