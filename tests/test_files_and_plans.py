@@ -73,6 +73,14 @@ def test_overlaps_derive_no_filter_on_the_tables(spark):
     assert "size(" not in plan(found) and {(r.doc_id, r.score) for r in found.collect()} == {(1, -5)} and found.count() == 3
 
 
+def test_texts_are_lowered_once_per_paragraph(spark):
+    row = spark.createDataFrame([("Slow SLOW scan", ["scan", "slow"], "slow"), (None, ["scan"], "slow")], "t string, words array<string>, cls string")
+    out = row.select(retrieval.section_score(F.col("t"), F.col("words"), F.col("cls")).alias("score"))
+    assert plan(out).count("lower(") == 1 and [r.score for r in out.collect()] == [6, None]
+    words = row.select(retrieval.priority_words(F.col("t"), F.col("t")).alias("w"))
+    assert plan(words).count("upper(") == 2
+
+
 def test_rules_table(spark):
     spark.sql("DROP TABLE IF EXISTS wl_rules")
     sinks.ensure_rules_table(spark, "wl_rules")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ TABLE_REF = r"(?i)\b(?:FROM|JOIN|INTO|TABLE)\s+([a-z_][a-z0-9_]*(?:\.[a-z_][a-z0
 KNOWN_NODES = ("i3.xlarge", "i3.2xlarge", "i3.4xlarge", "i3.8xlarge")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; inside a lambda Spark computes it at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 
@@ -78,9 +85,8 @@ def sections(docs: DataFrame, text: str = "markdown") -> DataFrame:
 
 
 def priority_words(heading: Column, content: Column) -> Column:
-    up_h, up_c = F.upper(heading), F.upper(content)
-    return F.array_compact(F.array(*[
-        F.when(F.contains(up_h, F.lit(w)) | F.contains(up_c, F.lit(w)), F.lit(w)) for w in sorted(PRIORITY_WORDS)]))
+    return once(F.upper(heading), lambda up_h: once(F.upper(content), lambda up_c: F.array_compact(F.array(*[
+        F.when(F.contains(up_h, F.lit(w)) | F.contains(up_c, F.lit(w)), F.lit(w)) for w in sorted(PRIORITY_WORDS)]))))
 
 
 def priority_score(words: Column) -> Column:
@@ -180,9 +186,11 @@ def occurrences(text: Column, word: Column) -> Column:
 
 
 def section_score(section: Column, words: Column, cls: Column) -> Column:
-    low = F.lower(section)
-    total = F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: acc + occurrences(low, w))
-    return total * F.when(F.contains(low, cls), 2).otherwise(1)
+    def score(low: Column) -> Column:
+        total = F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: acc + occurrences(low, w))
+        return total * F.when(F.contains(low, cls), 2).otherwise(1)
+
+    return once(F.lower(section), score)
 
 
 def _ordered_desc(items: Column) -> Column:
@@ -213,7 +221,7 @@ def filtered_context(text: Column, words: Column, cls: Column, budget: int = 250
 def keyword_top(text: Column, words: Column, k: int = 3) -> Column:
     """The k blocks with most keywords present, else the first 800 characters."""
     scored = F.transform(header_blocks(text), lambda b: F.struct(
-        F.size(F.filter(words, lambda w: F.contains(F.lower(b), w))).alias("score"), b.alias("text")))
+        once(F.lower(b), lambda low: F.size(F.filter(words, lambda w: F.contains(low, w)))).alias("score"), b.alias("text")))
     best = F.transform(F.slice(_ordered_desc(scored), 1, k), lambda s: s["text"])
     return F.when(F.size(best) > 0, F.array_join(best, "\n\n")).otherwise(F.substring(text, 1, 800))
 
