@@ -217,6 +217,52 @@ def test_near_passages_with_scattered_changes(spark):
     assert got <= pairs and len(got) >= 0.97 * len(pairs)
 
 
+def test_only_promising_pairs_get_both_texts(spark):
+    """Short stretches around the starts tell which pairs may hold a passage; all that ``verify`` confirms stay."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(1_000_000)}"
+    texts, starts, confirmed = {}, [], set()
+    for k in range(40):
+        line, passage = [word() for _ in range(40)], [word() for _ in range(51 + k)]
+        near = list(passage)
+        near[k] = word()
+        for n, (before, inner, after) in enumerate((
+            (0, passage, 30), (k % 3, passage, 0), (k, near, 40), (300, line, 300), (200, line, 200),
+        ), 10 * k):
+            texts[n] = " ".join([word() for _ in range(before)] + inner + [word() for _ in range(after)])
+        for a, b in ((0, 1), (0, 2), (1, 2), (3, 4)):
+            one, two = (compact_windows.tokens_of(x, np.array([0, len(x)]))[0] for x in (
+                np.frombuffer(texts[10 * k + i].encode(), np.uint8) for i in (a, b)))
+            both = [(int(np.flatnonzero(one == t)[0]), cb) for cb, t in enumerate(two.tolist()) if t in set(one.tolist())]
+            for chosen in ([both[0]], [both[-1]], both[::10]):
+                row = (10 * k + a, 10 * k + b, [(cb, ca) for ca, cb in chosen])
+                starts.append(row)
+                if compact_windows.verify(one, two, sorted(chosen, key=lambda x: x[::-1]))[0]:
+                    confirmed.add((row[0], row[1], tuple(row[2])))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    pairs = spark.createDataFrame(starts, "a bigint, b bigint, starts array<struct<cb:bigint,ca:bigint>>")
+    sent = compact_windows.contexts(pairs, docs)
+    assert "string" not in dict(sent.dtypes).values()
+    assert all(len(r.codes) <= 91 for r in sent.collect() if len(r.starts) == 1)
+    stay = {(r.a, r.b, tuple(tuple(x) for x in r.starts)) for r in compact_windows.promising(pairs, docs).collect()}
+    assert confirmed <= stay and len(confirmed) > 200
+    assert not any(a % 10 == 3 for a, _, _ in stay)
+
+
+@pytest.mark.parametrize("penalty", [4, 8])
+def test_best_runs(penalty):
+    rng = np.random.default_rng(penalty)
+    for n in (1, 2, 30):
+        hit = rng.random(n) < 0.8
+        score = np.where(hit, 1, -penalty)
+        first, last = compact_windows.best_runs(hit, penalty)
+        for at in range(n):
+            left = {j: score[j : at + 1].sum() for j in range(at + 1)}
+            right = {j: score[at : j + 1].sum() for j in range(at, n)}
+            assert first[at] == min(j for j in left if left[j] == max(left.values()))
+            assert last[at] == max(j for j in right if right[j] == max(right.values()))
+
+
 def test_repeated_passages_of_odd_rows(odd, none):
     assert named(compact_windows.repeated_passages(odd).collect()) == {5, 6, 7, 11, 12}
     assert compact_windows.repeated_passages(none).count() == 0
