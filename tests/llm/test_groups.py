@@ -52,6 +52,17 @@ def test_no_edges(spark):
 # --- near copies -------------------------------------------------------------------------------
 
 
+def test_short_lists_lose_only_members_that_no_other_fits(spark):
+    rng = random.Random(31)
+    rows = [(v, bytes([v, k]), rng.choice((10, 12, 13, 40, 51, 200)), size) for v in range(60) for size in ((near_copies.HOT,) if v % 7 == 0 else (5,))
+            for k in range(rng.randrange(2, 6))]
+    fits = lambda x, y: 100 * min(x, y) >= 80 * max(x, y)
+    want = {r[:2] for r in rows if r[3] >= near_copies.HOT or any(
+        o[0] == r[0] and o[1] != r[1] and fits(o[2], r[2]) for o in rows)}
+    got = near_copies._with_partners(spark.createDataFrame(rows, "v bigint, cid binary, n bigint, size bigint")).collect()
+    assert {(r.v, bytes(r.cid)) for r in got} == want and len(got) == len(want) < len(rows)
+
+
 def near(docs):
     return {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_copies.near_components(docs).collect()}
 

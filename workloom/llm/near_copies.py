@@ -15,7 +15,8 @@ classes with their most similar centres, form families. What is left is compared
 * inside a family, members outside its largest component against all members, in blocks of BLOCK sets
   that are intersected in numpy; no pairs are written out but the confirmed ones;
 * across families, classes of different components that meet in one of the first (size - shared + 1) lists;
-  lists of fewer than HOT members are taken many to a task, longer ones in blocks of members. Both compare
+  lists of fewer than HOT members, without those whom no other fits by size, are taken many to a task, longer
+  ones in blocks of members. Both compare
   sketches on the spot, and only pairs that may hold leave.
 
 So every pair that meets is compared or already connected. A hot group of near copies costs a
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from workloom.llm.arrays import (
     byte_codes, find_words, flat, gather, list_array, mix, signed, slices, span_hashes, windows,
@@ -227,11 +229,21 @@ def cross_pairs(lists: DataFrame, placed: DataFrame, classes: DataFrame) -> Data
     main = sizes.groupBy("v").agg(
         F.max_by("fam", F.struct("m", "fam")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("size"),
         F.max("m").alias("top")).filter("k > 1").drop("k")
-    mixed = kept(at.join(main, "v"), "mixed")
+    mixed = kept(_with_partners(at.join(main, "v")), "mixed")
     few = likely(kept(_met(mixed.filter(F.col("size") < HOT), classes).distinct(), "met"), classes).select("a", "b")
     return few.unionByName(_blocked(mixed.filter(F.col("size") >= HOT), classes)).distinct()
 
 
+def _with_partners(rows: DataFrame) -> DataFrame:
+    """Without the rows of short lists that no other member fits by its size: if the next smaller and the
+    next larger set don't, none does. Rows of long lists all stay, each by itself, so no window is long."""
+    alone = F.when(F.col("size") >= HOT, F.xxhash64("cid"))
+    by_size = W.partitionBy("v", alone).orderBy("n")
+    fits = (100 * F.lag("n").over(by_size) >= PERCENT * F.col("n")) | (
+        100 * F.col("n") >= PERCENT * F.lead("n").over(by_size))
+    return rows.withColumn("_fits", fits).filter(F.col("_fits") | (F.col("size") >= HOT)).drop("_fits")
+
+
 def _met(mixed: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) in lists of fewer than HOT members that may share enough retained values.
 
