@@ -63,6 +63,22 @@ def test_short_lists_lose_only_members_that_no_other_fits(spark):
     assert {(r.v, bytes(r.cid)) for r in got} == want and len(got) == len(want) < len(rows)
 
 
+def test_lists_hold_only_values_that_a_class_of_a_fitting_size_shares(spark):
+    rng, rows = random.Random(32), []
+    for family, size in enumerate((4, 5, 12, 40, 48, 60, 400) * 2):
+        values = rng.sample(range(family * 1000, family * 1000 + 900), min(size, near_copies.K))
+        # Two similar classes, and one or two of other sizes that share all values by chance.
+        rows += [(10 * family + k, n, values) for k, n in enumerate((size, size * 5 // 4, size * 3, size * 9)[: 3 + family % 2])]
+    rows += [(1000 + k, 5 * 3 ** k, list(range(-1, -49, -1))) for k in range(4)]
+    classes = spark.createDataFrame(rows, "cid bigint, n bigint, sketch array<bigint>")
+    lists = {}
+    for r in near_copies.inverted_lists(classes).collect():
+        lists.setdefault(r.cid, set()).add(r.v)
+    assert set(lists) == {c for c, _, _ in rows if c < 1000 and c % 10 < 2}
+    for c in lists:
+        assert len(lists[c] & lists[c // 10 * 10 + 1 - c % 10]) >= 4
+
+
 def near(docs):
     return {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_copies.near_components(docs).collect()}
 

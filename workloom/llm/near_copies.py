@@ -6,14 +6,14 @@ whole sequence); equal sets form a class, and all further work is on classes. A
 hashes. Sets of similarity 0.8 share at least 20 of 48 retained values but for a chance below 1e-8; a
 set of fewer than K hashes shares three quarters of them for certain. Therefore two such sketches meet
 MEET times among their first (size - shared + MEET) values in any common order; with the rarest first,
-lists stay short, and values of a single class need no list.
+lists stay short, and values that no other class of a fitting size has need no list: no similar class shares them.
 
 In each list and band of sizes the class with the fewest values of its own is the centre; every member
 is compared with what is the centre of CENTRE of its lists, and what is confirmed forms components. Components, and
 classes with their most similar centres, form families. What is left is compared in two ways:
 
 * inside a family, members outside its largest component against all members, in blocks of BLOCK sets
-  that are intersected in numpy; no pairs are written out but the confirmed ones;
+  that are intersected in numpy; only links between a member and a component are written out;
 * across families, classes of different components that meet in one of the first (size - shared + 1) lists;
   lists of fewer than HOT members, without those whom no other fits by size, are taken many to a task, longer
   ones in blocks of members. Both compare
@@ -32,6 +32,7 @@ not give their component a name, and where no row with an id is in it, its small
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,8 @@ ESTIMATE = 0.8 - 6 * (0.8 * 0.2 / K) ** 0.5
 BLOCK = 512
 HOT = 64
 CENTRE = 3
+#: Steps of size that lie between fitting sizes at most; a step is a bit of 64, steps of one bit are apart by a factor of 35.
+REACH = 4
 #: Rows of short lists in a task's group, and values of the codes that stand for retained values there.
 LIST_ROWS, CODES = 20_000, 1024
 #: Words of a shingle: of the contract's query, and where one document of each group is kept.
@@ -91,7 +94,7 @@ def fingerprint(values: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame, k: int = K, width: int = SHINGLE) -> DataFrame:
-    """doc_id, text hash, class id (null without words), set size, and the k smallest hashes."""
+    """doc_id, text hash, the set's fingerprint (key, null without words), set size, and the k smallest hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,17 +107,18 @@ def sketches(docs: DataFrame, k: int = K, width: int = SHINGLE) -> DataFrame:
                     pa.array([fingerprint(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     list_array(np.concatenate(heads), np.array([len(s) for s in heads]), pa.int64()),
-                ], ["doc_id", "th", "cid", "n", "sketch"])
+                ], ["doc_id", "th", "key", "n", "sketch"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(
-        work, "doc_id bigint, th bigint, cid binary, n bigint, sketch array<bigint>")
+        work, "doc_id bigint, th bigint, key binary, n bigint, sketch array<bigint>")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """One row per distinct set: cid, n, sketch, the smallest doc_id, and the hash of one of its texts."""
-    return rows.filter("cid IS NOT NULL").groupBy("cid").agg(
+    """One row per distinct set: key, n, sketch, the smallest doc_id, the hash of one of its texts, and a number
+    (cid) that stands for the set once the frame is written: joins carry half as many bytes as with keys."""
+    return rows.filter("key IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.min("th").alias("th"),
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id())
 
 
 def _shared(size: Column) -> Column:
@@ -124,20 +128,39 @@ def _shared(size: Column) -> Column:
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
     """(v, cid, n, common, first): the rarest retained values of every class, enough for similar ones to meet
-    MEET times, once among those marked ``first``; ``common`` is the share of its values that other classes have."""
-    values = classes.select("cid", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    often = classes.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    frequent = values.join(often, "v").groupBy("cid", "n", "s").agg(
+    MEET times, once among those marked ``first``; ``common`` is the share of its values that other classes of
+    a fitting size have. Values that none of these has are shared with no similar class and need no list."""
+    step = F.floor(F.log(F.col("n").cast("double")) * (REACH / math.log(100 / PERCENT)))
+    values = classes.select("cid", "n", F.explode("sketch").alias("v"))
+    bit = F.expr("shiftleft(1L, CAST(step & 63 AS INT))")
+    steps = classes.select(step.alias("step"), F.explode("sketch").alias("v")).select("v", bit.alias("bit"))
+    often = steps.groupBy("v").agg(
+        F.count("*").alias("df"), F.bit_or("bit").alias("seen"), F.bit_xor("bit").alias("odd")).filter("df > 1")
+    # Exactly one class has a step if the odd ones hold one and the even ones two each; else it may be several.
+    plain = F.col("df") == 2 * F.bit_count("seen") - F.bit_count("odd")
+    often = often.select("v", "df", "seen", F.when(plain, F.col("odd")).otherwise(F.lit(0)).alias("once")).filter(
+        F.col("seen").bitwiseAND(_around("seen")).bitwiseOR(F.col("seen").bitwiseAND(F.bitwise_not("once"))) != 0)
+    own = values.withColumn("step", step).select("cid", "n", "v", bit.alias("bit"))
+    partner = F.col("seen").bitwiseAND(_around("bit")).bitwiseOR(F.col("bit").bitwiseAND(F.bitwise_not("once"))) != 0
+    frequent = own.join(often, "v").filter(partner).groupBy("cid", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "v"))).alias("list"))  # at most k entries
-    need = _shared(F.col("s"))
-    once = F.size("list") - need + 1  # values of one class come before those in the list
+    size = F.least(F.col("n"), F.lit(K))
+    need = _shared(size)
+    once = F.size("list") - need + 1
     take = once - 1 + F.least(F.lit(MEET), need)
     return frequent.filter(take > 0).select(
         F.posexplode(F.slice("list", F.lit(1), take.cast("int"))).alias("at", "x"), "cid", "n",
-        F.floor(F.size("list") * 1000 / F.col("s")).alias("common"), once.alias("once"),
+        F.floor(F.size("list") * 1000 / size).alias("common"), once.alias("once"),
     ).select("x.v", "cid", "n", "common", (F.col("at") < F.col("once")).alias("first"))
 
 
+def _around(bits: str) -> Column:
+    """The bits up to REACH places beside those that are set, round the end of the 64."""
+    turned = [f"shiftleft({bits}, {k}) | shiftrightunsigned({bits}, {64 - k}) | shiftrightunsigned({bits}, {k}) | shiftleft({bits}, {64 - k})"
+              for k in range(1, REACH + 1)]
+    return F.expr(" | ".join(turned))
+
+
 def _fit(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
@@ -175,7 +198,8 @@ def families(stars: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def links_in_families(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed pairs (a, b) of members outside a family's largest component with any member, by blocks."""
+    """Confirmed links of members outside a family's largest component with any member, by blocks: (a, b), where
+    b is the root of the member that a is like. One link per root is enough, and a hot family gets no row per pair."""
     parts = placed.groupBy("fam", "root").agg(F.count("*").alias("n"))
     sizes = parts.groupBy("fam").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("m"), F.max("n").alias("top"),
@@ -195,7 +219,7 @@ def links_in_families(placed: DataFrame, sets: DataFrame) -> DataFrame:
 
     def work(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy()
-        cids, roots = group.column("cid").to_pylist(), group.column("root").to_pylist()
+        cids, roots = group.column("cid").to_numpy(), group.column("root").to_numpy()
         lists = group.column("hashes").combine_chunks()
         bounds = lists.offsets.to_numpy()
         _, codes = np.unique(lists.values.to_numpy()[bounds[0] : bounds[-1]], return_inverse=True)
@@ -205,18 +229,19 @@ def links_in_families(placed: DataFrame, sets: DataFrame) -> DataFrame:
         others = np.flatnonzero(~asks)
         flat_codes = gather(codes, bounds[:-1][others], size[others])
         starts = np.cumsum(size[others]) - size[others]
-        out: list[tuple[bytes, bytes]] = []
+        out = [np.empty((2, 0), np.int64)]
         for k in np.flatnonzero(asks).tolist():
             own = codes[bounds[k] : bounds[k + 1]]
             mine[own] = True
             common = np.add.reduceat(mine[flat_codes].astype(np.int64), starts)
             mine[own] = False
             hit = 100 * common >= PERCENT * (size[k] + size[others] - common)
-            out += [(cids[k], cids[o]) for o in others[hit].tolist() if roots[o] != roots[k]]
-        columns = list(zip(*out)) or [(), ()]
-        return pa.table({"a": pa.array(columns[0], pa.binary()), "b": pa.array(columns[1], pa.binary())})
+            near = np.unique(roots[others[hit & (roots[others] != roots[k])]])
+            out.append(np.stack([np.full(len(near), cids[k]), near]))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": a, "b": b})
 
-    return asking.unionByName(asked).groupBy("fam", "i", "j").applyInArrow(work, "a binary, b binary")
+    return asking.unionByName(asked).groupBy("fam", "i", "j").applyInArrow(work, "a bigint, b bigint")
 
 
 def cross_pairs(lists: DataFrame, placed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -261,8 +286,7 @@ def _met(mixed: DataFrame, classes: DataFrame) -> DataFrame:
         group = group.sort_by("v")
         v, n, stray = (group.column(c).to_numpy() for c in ("v", "n", "stray"))
         cids, roots, fams = (
-            np.unique(group.column(c).to_numpy(zero_copy_only=False), return_inverse=True) for c in ("cid", "root", "fam"))
-        names, own, roots, fams = cids[0], cids[1], roots[1], fams[1]
+            group.column(c).to_numpy() for c in ("cid", "root", "fam"))
         lists = group.column("codes").combine_chunks()
         size = lists.value_lengths().to_numpy()
         row = np.repeat(np.arange(len(v)), size)
@@ -281,12 +305,12 @@ def _met(mixed: DataFrame, classes: DataFrame) -> DataFrame:
             fits &= 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
             i, j = i[fits], j[fits]
             fits = has[j[:, None], codes[i]].sum(axis=1) >= np.maximum(need[i], need[j])
-            a, b = own[i[fits]], own[j[fits]]
+            a, b = cids[i[fits]], cids[j[fits]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({side: pa.array(names[pairs[:, k]], pa.binary()) for k, side in enumerate("ab")})
+        return pa.table({side: pairs[:, k] for k, side in enumerate("ab")})
 
-    return rows.groupBy("g").applyInArrow(work, "a binary, b binary")
+    return rows.groupBy("g").applyInArrow(work, "a bigint, b bigint")
 
 
 def _blocked(mixed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -307,8 +331,7 @@ def _blocked(mixed: DataFrame, classes: DataFrame) -> DataFrame:
     def work(group: pa.Table) -> pa.Table:
         v = group.column("v")[0].as_py()
         asks, stray, n = (group.column(c).to_numpy() for c in ("asks", "stray", "n"))
-        cids = group.column("cid").to_pylist()
-        roots, fams = (np.unique(np.array(group.column(c).to_pylist(), object), return_inverse=True)[1] for c in ("root", "fam"))
+        cids, roots, fams = (group.column(c).to_numpy() for c in ("cid", "root", "fam"))
         sketch = group.column("sketch").combine_chunks()
         bounds = sketch.offsets.to_numpy() - sketch.offsets[0].as_py()
         values = sketch.flatten().to_numpy()
@@ -320,7 +343,7 @@ def _blocked(mixed: DataFrame, classes: DataFrame) -> DataFrame:
         starts = np.cumsum(size[others]) - size[others]
         mine = np.zeros(len(codes) + 1, bool)
         places = group.column("lists")
-        out: list[tuple[bytes, bytes]] = []
+        out: list[tuple[int, int]] = []
         for k in np.flatnonzero(asks).tolist():
             own_codes = codes[bounds[k] : bounds[k + 1]]
             mine[own_codes] = True
@@ -338,16 +361,16 @@ def _blocked(mixed: DataFrame, classes: DataFrame) -> DataFrame:
                 if share >= ESTIMATE and min(set(places[k].as_py()) & set(places[o].as_py())) == v:
                     out.append((min(cids[k], cids[o]), max(cids[k], cids[o])))
         columns = list(zip(*out)) or [(), ()]
-        return pa.table({"a": pa.array(columns[0], pa.binary()), "b": pa.array(columns[1], pa.binary())})
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
 
-    return asking.unionByName(asked).groupBy("v", "i", "j").applyInArrow(work, "a binary, b binary")
+    return asking.unionByName(asked).groupBy("v", "i", "j").applyInArrow(work, "a bigint, b bigint")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(cid, hashes) of the wanted classes (cid, th), from the texts.
+    """(cid, hashes) of the wanted classes (cid, key, th), from the texts.
 
     A bitmap of text hashes, of fixed size, drops the other documents before anything is shuffled;
-    where it lets one through, the join on cid drops it.
+    where it lets one through, the join on key drops it.
     """
     bits = Bitmap.of(wanted, "th")
 
@@ -360,10 +383,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataF
                 yield pa.RecordBatch.from_arrays([
                     pa.array([fingerprint(s) for s in sets], pa.binary()),
                     list_array(np.concatenate(sets), np.array([len(s) for s in sets]), pa.int64()),
-                ], ["cid", "hashes"])
+                ], ["key", "hashes"])
 
-    found = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(work, "cid binary, hashes array<bigint>")
-    return found.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("hashes").alias("hashes"))
+    found = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(work, "key binary, hashes array<bigint>")
+    return found.join(wanted.select("key", "cid"), "key").groupBy("key").agg(
+        F.first("cid").alias("cid"), F.first("hashes").alias("hashes")).drop("key")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -402,20 +426,20 @@ def _roots(links: DataFrame) -> DataFrame:
 
 def _sets_for(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    return kept(full_sets(docs, kept(classes.select("cid", "th").join(involved, "cid", "left_semi"), "wanted"), width), "sets")
+    return kept(full_sets(docs, kept(classes.select("cid", "key", "th").join(involved, "cid", "left_semi"), "wanted"), width), "sets")
 
 
 def named(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Give every document the smallest doc_id of its component, and say which one stays."""
-    placed = classes.select("cid", "rep").join(roots, F.col("cid") == F.col("u"), "left").select(
-        "cid", "rep", F.coalesce("root", "cid").alias("root"))
-    names = placed.groupBy("root").agg(F.min("rep").alias("name"))
+    placed = classes.select("cid", "key", "rep").join(roots, F.col("cid") == F.col("u"), "left").select(
+        "key", "rep", F.coalesce("root", "cid").alias("root"))
+    names = placed.groupBy("root").agg(F.min("rep").alias("name"), F.min("key").alias("least"))
     by_class = placed.join(names, "root").select(
-        F.col("cid").alias("c"), "name", (F.col("cid") == F.col("root")).alias("first"))
-    own = rows.select("doc_id", "th", "n", "cid").join(by_class, F.col("cid") == F.col("c"), "left")
+        F.col("key").alias("c"), "name", (F.col("key") == F.col("least")).alias("first"))
+    own = rows.select("doc_id", "th", "n", "key").join(by_class, F.col("key") == F.col("c"), "left")
     return own.select(
         "doc_id", "th", F.col("n").alias("n_shingles"),
-        F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"), "first",
+        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"), "first",
     ).select(
         "doc_id", "th", "n_shingles", "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"),
