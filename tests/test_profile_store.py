@@ -60,3 +60,12 @@ def test_detection_does_not_read_the_table(spark):
     scans = [f for f in profiled(spark, folder).inputFiles()]
     assert scans and not any("/testdata/" in f for f in scans)
     assert profiled(spark, folder).filter(F.col("partition_column").isNotNull()).select("table_name").distinct().collect()[0][0] == "main.sales.lineitem"
+
+
+def test_distinct_values_of_keys_are_counted_apart(spark):
+    """Counting several keys beside the sketches would repeat all columns, sketches included, for every value of a key."""
+    rows = [(1, "a", "d1"), (2, None, "d1"), (2, "b", "d1"), (3, None, None), (4, None, None)]
+    found = profile_store.states(frame(spark, rows), "t", COLUMNS, "day", keys=("id", "name"))
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    counts = {(r["partition_value"], r["column_name"]): r["distinct_values"] for r in found.collect()}
+    assert counts == {("d1", "id"): 2, ("d1", "name"): 2, ("d1", "day"): None, (None, "id"): 2, (None, "name"): 0, (None, "day"): None}

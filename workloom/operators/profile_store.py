@@ -34,7 +34,8 @@ def states(
     df: DataFrame, table_name: str, columns: list[str], partition: str | None = None, keys: tuple[str, ...] = (),
     value: Column | None = None,
 ) -> DataFrame:
-    """States of the columns per partition (or one for the whole table), in one pass.
+    """States of the columns per partition (or one for the whole table): one pass for all of them, and one per
+    key column for its distinct values, so that no value of a key carries the sketches of all columns.
 
     ``partition`` names the column the table is laid out by, ``value`` how (its value, by default).
     """
@@ -44,8 +45,12 @@ def states(
     for c in columns:
         out += [F.count(c).alias(f"_n_{c}"), F.hll_sketch_agg(_sketched(df, c), LG_K).alias(f"_s_{c}")]
     for c in keys:
-        out += [F.count_distinct(c).alias(f"_d_{c}"), F.min(c).alias(f"_l_{c}"), F.max(c).alias(f"_h_{c}")]
+        out += [F.min(c).alias(f"_l_{c}"), F.max(c).alias(f"_h_{c}")]
     per = own.groupBy("_part").agg(*out)
+    for c in keys:
+        values = own.filter(F.col(c).isNotNull()).select(F.col("_part").alias("_p"), F.col(c).alias("_v")).distinct()
+        per = per.join(values.groupBy("_p").agg(F.count("*").alias("_d")), F.col("_part").eqNullSafe(F.col("_p")), "left")
+        per = per.withColumn(f"_d_{c}", F.coalesce("_d", F.lit(0))).drop("_p", "_d")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     number = lambda c: kinds[c].startswith(("int", "bigint", "smallint", "tinyint", "decimal"))
 
