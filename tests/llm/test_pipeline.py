@@ -55,3 +55,37 @@ def test_entry_without_the_subpackage(gone):
         f"assert len(e.queries()) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
     )
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_stages_hold_batches_small(spark):
+    """Executors and workers keep copies of Arrow batches outside the heap, so the stages bound them."""
+    from workloom.llm.shared import BATCH
+
+    rows, size = BATCH
+    for name, stage in corpus_pipeline.STAGES[3:]:
+        fresh = spark.newSession()
+        fresh.conf.set(rows, "10000")
+        fresh.conf.set(size, "1m")
+        stage(fresh, fresh.createDataFrame([(1, "a text")], "doc_id bigint, text string"), "")
+        assert (fresh.conf.get(rows), fresh.conf.get(size)) == (str(BATCH[rows]), "1m"), name
+
+
+def test_joined_texts_need_little_room():
+    """The strings of many ids are joined a few texts at a time, to the same texts."""
+    import tracemalloc
+
+    import numpy as np
+
+    from workloom.llm.byte_pairs import _Ragged
+
+    lines = [b"%d," % k for k in range(50_000)]
+    ids = np.random.default_rng(1).integers(0, len(lines), 600_000)
+    bounds = np.append(np.arange(0, len(ids), 500), len(ids))
+    ragged = _Ragged(lines)
+    tracemalloc.start()
+    try:
+        for a, b, joined in zip(bounds, bounds[1:], ragged.join(ids, bounds), strict=False):
+            assert bytes(joined[:20]) == b"".join(lines[k] for k in ids[a : a + 20])[:20] and len(joined) == ragged.size[ids[a:b]].sum()
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()

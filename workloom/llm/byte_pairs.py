@@ -30,8 +30,10 @@ LONG = 512
 #: A cache of encoded pieces per worker process is emptied beyond this many pieces or bytes of them.
 CACHE_PIECES, CACHE_BYTES = 300_000, 1 << 26
 MATRIX_CELLS = 1 << 18
-#: Bytes of text encoded at once: enough new pieces for a matrix of many rows.
-SLICE = 1 << 21
+#: Bytes of text encoded at once: enough new pieces for a matrix of many rows, and little that a worker keeps.
+SLICE = 1 << 19
+#: Bytes of decimal ids or decoded texts joined at once.
+JOINED = 1 << 18
 
 NEVER = np.int32(np.iinfo(np.int32).max)
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
@@ -107,11 +109,15 @@ class _Ragged:
         self.size = np.array([len(x) for x in lines], np.int64)
         self.at = np.cumsum(self.size) - self.size
 
-    def join(self, numbers: np.ndarray, bounds: np.ndarray) -> tuple[memoryview, list[int]]:
-        """The strings of all numbers in a row, and where those of each text begin and end."""
-        size = self.size[numbers]
-        ends = np.concatenate(([0], np.cumsum(size)))[bounds]
-        return memoryview(gather(self.data, self.at[numbers], size)), ends.tolist()
+    def join(self, numbers: np.ndarray, bounds: np.ndarray) -> Iterator[memoryview]:
+        """The strings of each text's numbers in a row. Texts are joined a few at a time, since the indexes
+        of their bytes take many times their room."""
+        ends = np.concatenate(([0], np.cumsum(self.size[numbers])))[bounds]
+        for low, high in slices(ends, JOINED):
+            part = numbers[bounds[low] : bounds[high]]
+            joined = memoryview(gather(self.data, self.at[part], self.size[part]))
+            at = (ends[low : high + 1] - ends[low]).tolist()
+            yield from (joined[a:b] for a, b in zip(at, at[1:]))
 
 
 class Ranks:
@@ -347,10 +353,8 @@ def encoding_digest(docs: DataFrame, path: str) -> DataFrame:
             data, offsets = flat(batch.column("text"))
             for low, high in slices(offsets, SLICE):
                 ids, at = coder.encode(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                decimals, ends = coder.ranks.decimal_of.join(ids, at)
-                numbers = [hashlib.sha256(decimals[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends, ends[1:])]
-                decoded, ends = coder.ranks.bytes_of.join(ids, at)
-                texts = [hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+                numbers = [hashlib.sha256(x[:-1]).hexdigest() for x in coder.ranks.decimal_of.join(ids, at)]
+                texts = [hashlib.sha256(x).hexdigest() for x in coder.ranks.bytes_of.join(ids, at)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(low, high - low), pa.array(np.diff(at), pa.int64()),
                      pa.array(numbers, pa.string()), pa.array(texts, pa.string())],
