@@ -227,6 +227,24 @@ def test_one_shared_minimum_makes_a_candidate(spark):
     assert [(r.a, r.b, [tuple(x) for x in r.starts]) for r in compact_windows.star_candidates(shared).collect()] == [(1, 2, [(70, 40)])]
 
 
+def test_signatures_are_counted_without_places(spark, odd):
+    """Counting needs no places: the same rows come without them, and without the work for half windows."""
+    whole = compact_windows.signatures(odd).select("sig", "doc_id")
+    plain = compact_windows.signatures(odd, places=False)
+    assert plain.columns == ["sig", "doc_id"] and plain.count() == whole.count() > 0
+    assert plain.exceptAll(whole).count() == 0
+
+
+def test_lists_of_a_column():
+    import pyarrow as pa
+
+    column = pa.array([[{"x": 1, "y": 2}, {"x": 3, "y": 4}], None, [], [{"x": 5, "y": 6}]])
+    bounds, x, y = compact_windows.lists_of(column.slice(1), "x", "y")
+    assert bounds.tolist() == [0, 0, 0, 1] and (x.tolist(), y.tolist()) == ([5], [6])
+    bounds, x, y = compact_windows.lists_of(column, "x", "y")
+    assert bounds.tolist() == [0, 2, 2, 2, 3] and (x.tolist(), y.tolist()) == ([1, 3, 5], [2, 4, 6])
+
+
 def test_near_passages_with_scattered_changes(spark):
     """Two of 100 words differ, so 86 of 106 shingles are shared."""
     rng = random.Random(12)
