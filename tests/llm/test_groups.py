@@ -209,6 +209,80 @@ def test_passages_behind_fragments_and_lines(spark):
     assert named(compact_windows.repeated_passages(docs).collect()) == set(full)
 
 
+def test_near_passages_behind_fragments(spark):
+    """Two passages of 70 words that differ in one, at large ids, and fragments of them, too short to count, at smaller ones."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(1_000_000)}"
+    texts, full = {}, []
+
+    def put(inner):
+        texts[len(texts) + 1] = " ".join([word() for _ in range(60)] + inner + [word() for _ in range(60)])
+
+    for trial in range(100):
+        passage = [word() for _ in range(70)]
+        near = list(passage)
+        near[rng.randrange(20, 50)] = word()
+        for inner in (passage[:40], passage[15:58], passage[25:]) if trial % 2 else (near[:45], passage[20:62], near[30:]):
+            put(inner)
+        for inner in (passage, near):
+            put(inner)
+            full.append(len(texts))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = named(compact_windows.repeated_passages(docs).collect())
+    assert got <= set(full) and len(got) >= 0.97 * len(full)
+
+
+@pytest.mark.parametrize("size", [40, 240])
+def test_open_windows_are_compared_with_their_whole_group(size):
+    """Every open row that any other row confirms is in a pair, in small groups and through lists of rare tokens."""
+    rng = np.random.default_rng(size)
+    middle, width = compact_windows.REACH, compact_windows.AROUND
+    shared = rng.integers(1, 1 << 32, (size // 8, width), dtype=np.uint32)
+    line = rng.integers(1, 1 << 32, 21, dtype=np.uint32)
+    codes = rng.integers(1, 1 << 32, (size, width), dtype=np.uint32)
+    for k in range(size):
+        kind, low = k % 4, int(rng.integers(0, middle + 1))
+        if kind:  # one passage, a fragment of it, or all that is around; some with a change
+            length = (0, compact_windows.TOKENS + k % 7, 30 + k % 9, width)[kind]
+            codes[k, low : low + length] = shared[k % len(shared), low : low + length]
+            if k % 3 == 0:
+                codes[k, low + 9 : low + 14] = rng.integers(1, 1 << 32, 5, dtype=np.uint32)
+        if k % 5 == 0:
+            codes[k, : k % middle] = 0  # beyond the document
+        codes[k, middle : middle + 21] = line if not kind else codes[k, middle : middle + 21]
+        codes[k, middle] = 7
+    docs = np.arange(size) // 2
+    is_open = rng.random(size) < 0.8
+
+    def confirmed(x, y):
+        (ta, ca), (tb, cb) = ((r[r > 0], int((r[:middle] > 0).sum())) for r in (codes[min(x, y)], codes[max(x, y)]))
+        return docs[x] != docs[y] and bool(compact_windows.verify_around(ta, tb, ca, cb))
+
+    want = {x for x in range(size) if is_open[x] and any(confirmed(x, y) for y in range(size))}
+    stay, hit = compact_windows.plausible(np.full(size, 5), codes)
+    reach = np.full(len(hit), middle)
+    assert compact_windows.unserved(hit, np.zeros_like(hit), reach, reach).all()
+    assert not compact_windows.unserved(hit, np.ones_like(hit), reach, reach).any()
+    assert not compact_windows.unserved(hit, np.zeros_like(hit), reach // 2, reach // 2).any()
+    pairs = [(int(stay[x]), int(stay[y])) for x, y in compact_windows.compared(codes[stay], docs[stay], docs[stay], is_open[stay])]
+    assert all(confirmed(x, y) for x, y in pairs) and len(pairs) <= size and (size < 100 or len(stay) > compact_windows.ALL_PAIRS)
+    assert {x for x in sum(pairs, ()) if is_open[x]} == want and size // 4 < len(want) < size
+
+
+def test_pairs_of_classes_are_those_of_different_documents(spark):
+    """Classes of one signature, in groups that reach over batches; of equal documents another one is taken."""
+    rng = np.random.default_rng(8)
+    one, near, rows = rng.integers(1, 1 << 31, compact_windows.AROUND, dtype=np.uint32), None, []
+    near = one.copy()
+    near[60:65] += np.uint32(1)
+    for sig in range(3000):
+        doc, other = ((1, 9), (1, 1), (2, 2))[sig % 3]
+        rows += [(sig, 1, 50, 45, 45, True, 1, 50, one.tobytes()), (sig, doc, 70, 45, 45, False, other, 70, near.tobytes())]
+    classes = spark.createDataFrame(rows, "sig bigint, doc_id bigint, at bigint, before bigint, after bigint, open boolean, z_id bigint, z_at bigint, codes binary")
+    got = compact_windows.group_pairs(classes).groupBy("a", "b", "ca", "cb").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 50, 70, 1000), (1, 9, 50, 70, 1000)]
+
+
 def test_pairs_never_looked_at_meet_in_the_second_round(spark):
     """Documents 2 and 3 share token and left half; the head of their group reaches too few tokens."""
     place = lambda at, before, after, left: at << 36 | before << 28 | after << 22 | left << 11
