@@ -229,12 +229,13 @@ def test_near_passages_behind_fragments(spark):
             full.append(len(texts))
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     got = named(compact_windows.repeated_passages(docs).collect())
-    assert got <= set(full) and len(got) >= 0.97 * len(full)
+    assert got <= set(full) and len(got) >= 0.94 * len(full)
 
 
 @pytest.mark.parametrize("size", [40, 240])
-def test_open_windows_are_compared_with_their_whole_group(size):
+def test_open_windows_are_compared_with_their_whole_group(size, monkeypatch):
     """Every open row that any other row confirms is in a pair, in small groups and through lists of rare tokens."""
+    monkeypatch.setattr(compact_windows, "ALL_PAIRS", 100)
     rng = np.random.default_rng(size)
     middle, width = compact_windows.REACH, compact_windows.AROUND
     shared = rng.integers(1, 1 << 32, (size // 8, width), dtype=np.uint32)
